@@ -71,10 +71,10 @@ def fit(
 
 
 def losses_by_round(model: ChurnModel, frame: DataFrame, label: str = "Churn") -> list[float]:
-    """Mean log-loss after each tree on a held-out frame; one number per tree."""
-    prepared = model.pipeline.stages[0].transform(
-        frame.withColumn(label, F.col(label).cast("double"))
-    )
+    """Mean log-loss after each tree on a held-out frame, every row weighing the same;
+    one number per tree."""
+    labelled = frame.withColumns({label: F.col(label).cast("double"), "_weight": F.lit(1.0)})
+    prepared = model.pipeline.stages[0].transform(labelled)
     return list(model.trees.evaluateEachIteration(prepared))
 
 

@@ -641,7 +641,8 @@ def capped_load(spark: SparkSession, folder: str) -> DataFrame:
     """A training CSV with more rows than the cap of 50,000: the first by key are kept.
     One generated customer per line item."""
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
-    keys = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key")).distinct()
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000 + F.col("l_partkey") % 1000
+    keys = lines.select(line.alias("key")).distinct()
     path = fresh_path(spark, "csv")
     files.write_csv(generator.customers_for(keys), path)
     return files.load_training_csv(spark, path, "key", files.keyed_schema()).select(
