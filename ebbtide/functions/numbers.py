@@ -32,26 +32,26 @@ def is_finite(number: Column) -> Column:
     return ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
 
 
-def finite_or_zero(number: Column) -> Column:
-    """Non-finite and missing numbers become 0.0."""
-    return F.when(is_finite(number), number).otherwise(F.lit(0.0))
-
-
 def _nearest(size: Column, digits: int, half_even: bool) -> Column:
     """The integer nearest to ``size * 10^digits`` for ``size >= 0``, exactly.
 
-    ``size`` is cut into two halves whose products with the scale carry no rounding
-    error, so the sign of the remainder against the half-way point is exact.
+    Away from a half-way point the product decides. Close to one, ``size`` is cut into
+    two halves whose products with the scale carry no rounding error, so the sign of the
+    remainder against the half-way point is exact.
     """
     scale = float(10**digits)
+    scaled = size * scale
+    nearest = F.rint(scaled)
+    close = F.abs(scaled - nearest) > 0.4999
+
     stretched = size * _SPLITTER
     high = stretched - (stretched - size)
     low = size - high
-    floor = F.floor(size * scale).cast("double")
+    floor = F.floor(scaled).cast("double")
     rest = (high * scale - (floor + 0.5)) + low * scale
     up = rest > 0
     up = up | ((rest == 0) & (floor % 2 == 1)) if half_even else up | (rest == 0)
-    return floor + up.cast("double")
+    return F.when(close, floor + up.cast("double")).otherwise(nearest)
 
 
 def round_half_even(number: Column, digits: int) -> Column:

@@ -11,11 +11,15 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     A filter on a projected column is pushed below the projection together with the
     column's definition, so a costly column (a parse, a model score, a ranking) would be
     computed in the filter, once per mention, and again for the result. Nothing is pushed
-    through the generator used here: what comes after sees plain columns.
+    through the generator used here: it re-emits the finished columns of a compiled
+    projection, and what comes after sees plain columns.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    made = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select(*kept, F.inline_outer(F.array(made)))
+    kept = [quoted(c) for c in df.columns if c not in columns]
+    computed = df.select(
+        *[F.col(c) for c in kept], *[c.alias(f"_once_{n}") for n, c in columns.items()]
+    )
+    made = ", ".join(f"{quoted(f'_once_{n}')} AS {quoted(n)}" for n in columns)
+    return computed.selectExpr(*kept, f"inline_outer(array(struct({made})))")
 
 
 def quoted(name: str) -> str:

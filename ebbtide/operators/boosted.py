@@ -54,8 +54,8 @@ def fit(
 ) -> ChurnModel:
     """Fit boosted trees on log-loss with balanced class weights.
 
-    Trees grow level by level over binned features, one aggregation per level; node ids
-    are cached and checkpointed so the lineage stays short over hundreds of trees.
+    Trees grow level by level over binned features, one aggregation per level; the
+    predictions so far are checkpointed so the lineage stays short over many trees.
     """
     weighted = with_class_weight(train, label, "_weight").withColumn(
         label, F.col(label).cast("double")
@@ -64,7 +64,7 @@ def fit(
     boosted = GBTClassifier(
         labelCol=label, featuresCol=VECTOR, weightCol="_weight", predictionCol="_class",
         maxIter=config.trees, maxDepth=config.depth, stepSize=config.step, seed=config.seed,
-        lossType="logistic", maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10,
+        lossType="logistic", maxMemoryInMB=512, checkpointInterval=10,
     ).setProbabilityCol("_chances").setRawPredictionCol("_raw")
     needed = weighted.select(*columns, label, "_weight")
     return ChurnModel(Pipeline(stages=[assembler, boosted]).fit(needed), tuple(columns))

@@ -7,62 +7,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ebbtide.functions.labels import FAITHFUL, label_array, label_feature
-from ebbtide.functions.numbers import finite_or_zero, round_half_even
+from ebbtide.functions.numbers import is_finite, round_half_even
 from ebbtide.functions.plans import once, quoted, text
 from ebbtide.schema import DEFAULT_TOP_K, DRIVER_TYPE, FEATURE_COLUMNS
 
 
-def per_feature(phi: Column, n: int) -> Column:
-    """The n feature contributions; a trailing bias is cut off, any other width is null."""
-    return F.when(F.size(phi).isin(n, n + 1), F.slice(phi, 1, n))
+def _ranked(phi: str, n: int, top_k: int) -> str:
+    """SQL for the ``top_k`` (order, position) pairs of a contribution array.
+
+    n contributions, or n and a bias; any other width is null. Entries that are not
+    finite count as 0. The key (-size, position) makes a plain array sort stable.
+    """
+    sizes = f"transform(slice({phi}, 1, {n}), x -> if(abs(x) < double('inf'), -abs(x), 0D))"
+    pairs = (f"cast(arrays_zip({sizes}, sequence(0, {n - 1})) "
+             "AS array<struct<order:double,position:int>>)")
+    return f"CASE WHEN size({phi}) IN ({n}, {n + 1}) THEN slice(sort_array({pairs}), 1, {top_k}) END"
 
 
-def drivers(
-    phi: Column,
-    values: Column,
+def with_drivers(
+    explained: DataFrame,
     columns: Sequence[str] = FEATURE_COLUMNS,
     top_k: int = DEFAULT_TOP_K,
     style: str = FAITHFUL,
-) -> Column:
-    """The ``top_k`` contributions by size, ties in column order.
-
-    Null when there is nothing to explain, so a score never fails for want of an
-    explanation. The sort key is (-size, position): a plain array sort is stable then.
-    """
+    phi: str = "phi",
+    values: str = "feature_values",
+) -> DataFrame:
+    """Add ``feature_importance``: the ``top_k`` contributions by size, ties in column
+    order. It is null where there is nothing to explain, so a score never fails for want
+    of an explanation."""
     if top_k <= 0 or not columns:
-        return F.lit(None).cast("array<" + DRIVER_TYPE.simpleString() + ">")
+        return without_drivers(explained)
     n = len(columns)
-    ranked = F.sort_array(F.transform(
-        per_feature(phi, n),
-        lambda x, i: F.struct(
-            (-F.abs(finite_or_zero(x))).alias("order"),
-            i.alias("position"),
-            finite_or_zero(x).alias("phi"),
-        ),
-    ))
+    k = min(top_k, n)
+    ranked = once(explained, {"_ranked": F.expr(_ranked(quoted(phi), n, k))})
     labels = label_array(columns, style)
 
-    def record(d: Column) -> Column:
-        value = F.get(values, d["position"])
+    def record(pair: Column) -> Column:
+        position = pair["position"]
+        value = F.get(F.col(values), position)
+        contribution = F.get(F.col(phi), position)
+        falls = (contribution < 0) & is_finite(contribution)
         return F.struct(
-            F.get(labels, d["position"]).alias("feature"),
+            F.get(labels, position).alias("feature"),
             F.when(~F.isnan(value), value).alias("value"),
-            round_half_even(-d["order"], 4).alias("magnitude"),
-            F.when(d["phi"] >= 0, "up").otherwise("down").alias("direction"),
+            round_half_even(-pair["order"], 4).alias("magnitude"),
+            F.when(falls, "down").otherwise("up").alias("direction"),
         )
 
-    return F.transform(F.slice(ranked, 1, min(top_k, n)), record)
-
-
-def with_drivers(
-    explained: DataFrame,
-    columns: Sequence[str] = FEATURE_COLUMNS,
-    top_k: int = DEFAULT_TOP_K,
-    style: str = FAITHFUL,
-) -> DataFrame:
-    """Add ``feature_importance`` from ``phi`` and ``feature_values``."""
-    ranked = drivers(F.col("phi"), F.col("feature_values"), columns, top_k, style)
-    return once(explained, {"feature_importance": ranked})
+    listed = F.transform("_ranked", record)
+    return once(ranked, {"feature_importance": listed}).drop("_ranked")
 
 
 def without_drivers(scored: DataFrame) -> DataFrame:
@@ -118,13 +111,8 @@ def importance(
     it is the largest one. The averages are 51 plain aggregates, so a task hands on one
     row and nothing is unpivoted before the aggregation."""
     n = len(columns)
-    phi = F.col("phi")
-    top = F.get(F.transform(
-        F.slice(F.sort_array(F.transform(
-            per_feature(phi, n),
-            lambda x, i: F.struct((-F.abs(finite_or_zero(x))).alias("o"), i.alias("i")),
-        )), 1, 1), lambda s: s["i"]), F.lit(0))
-    sized = once(explained.select(phi), {"top": top})
+    top = F.expr(f"get({_ranked('phi', n, 1)}, 0).position")
+    sized = once(explained.select("phi"), {"top": top})
     totals = sized.selectExpr(*[
         f"struct(avg(CASE WHEN isnan(phi[{i}]) OR abs(phi[{i}]) = double('inf') THEN 0D "
         f"ELSE abs(phi[{i}]) END) AS mean_size, count_if(top = {i}) AS rows_on_top) AS {quoted(c)}"

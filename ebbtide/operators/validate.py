@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ebbtide.functions.numbers import parse_number
 from ebbtide.functions.plans import once, quoted, text
-from ebbtide.schema import BY_NAME, CATEGORY, COUNT, FIELD_NAMES, FIELDS, FLAG, MONEY, SENIOR
+from ebbtide.schema import (
+    BY_NAME, CATEGORY, COUNT, FIELD_NAMES, FIELDS, FLAG, MONEY, RECORD_SCHEMA, SENIOR,
+)
 
 MALFORMED = "record:malformed"
 NOT_AN_OBJECT = "record:not an object"
@@ -25,14 +27,22 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 # Field kind -> (types a JSON value may have, message otherwise).
 TYPE_RULES = {
-    CATEGORY: ("^STRING$", "text required"),
-    MONEY: ("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "number required"),
-    COUNT: ("^BIGINT$", "integer required"),
-    FLAG: ("^BIGINT$", "integer required"),
-    SENIOR: ("^BIGINT$", "integer required"),
+    CATEGORY: ("STRING", "text required"),
+    MONEY: (r"BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)", "number required"),
+    COUNT: ("BIGINT", "integer required"),
+    FLAG: ("BIGINT", "integer required"),
+    SENIOR: ("BIGINT", "integer required"),
 }
 
 
+def _clean_shape() -> str:
+    """A pattern for the schema text of a record without any type error: known fields
+    only (a variant lists them by name), each null or of an allowed type."""
+    fields = sorted(FIELDS, key=lambda f: f.name)
+    parts = "".join(rf"(?:{f.name}: (?:VOID|{TYPE_RULES[f.kind][0]})(?:, |>))?" for f in fields)
+    return f"^OBJECT<{parts}>?$"
+
+
 def _non_finite_fields(raw: Column) -> Column:
     """Fields whose JSON token is NaN or an infinity, in records that strict JSON
     cannot read for that reason."""
@@ -44,46 +54,49 @@ def _non_finite_fields(raw: Column) -> Column:
 
 
 def check_records(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Strict reading of JSON records: adds ``record`` (typed) and ``errors``.
+    """Strict reading of JSON records: adds ``errors``.
 
     Types are compared before anything is cast, so 1.5 or "1" in an integer field is
     an error and not a silent null. Unknown fields are errors, too.
     """
     raw_text = F.col(raw)
-    parsed = once(df, {
-        "_v": F.try_parse_json(raw_text), "_keys": F.json_object_keys(raw_text),
-    })
-    tags, typed = [], []
+    parsed = once(df, {"_v": F.try_parse_json(raw_text)})
+    shaped = once(parsed, {"_shape": F.schema_of_variant("_v")})
+    tags = []
     for f in FIELDS:
         allowed, message = TYPE_RULES[f.kind]
         found = f"schema_of_variant(try_variant_get(_v, '$.{f.name}', 'variant'))"
-        tags.append(f"CASE WHEN NOT {found} RLIKE '^VOID$|{allowed}' THEN '{f.name}:{message}' END")
-        typed.append(
-            f"try_variant_get(_v, '$.{f.name}', '{f.spark_type.simpleString()}') AS {f.name}"
+        tags.append(
+            f"CASE WHEN NOT {found} RLIKE r'^(?:VOID|{allowed})$' THEN '{f.name}:{message}' END"
         )
     known = ", ".join(map(text, FIELD_NAMES))
-    unknown = F.expr(
-        f"transform(array_except(_keys, array({known})), k -> concat(k, ':unknown field'))"
+    unknown = (
+        f"transform(array_except(json_object_keys({quoted(raw)}), array({known})), "
+        "k -> concat(k, ':unknown field'))"
     )
     # Unreadable as strict JSON: either a non-finite number literal or just broken.
     literal = F.coalesce(_non_finite_fields(raw_text), F.array().cast("array<string>"))
     unreadable = F.when(F.size(literal) > 0, literal).otherwise(F.array(F.lit(MALFORMED)))
+    # Most records are fine, and one match on the schema text says so; the rules run
+    # field by field only where it does not.
     errors = (
         F.when(F.col("_v").isNull(), unreadable)
-        .when(F.col("_keys").isNull(), F.array(F.lit(NOT_AN_OBJECT)))
-        .otherwise(F.concat(F.expr(f"array_compact(array({', '.join(tags)}))"), unknown))
+        .when(F.col("_shape").rlike(_clean_shape()), F.array().cast("array<string>"))
+        .when(~F.col("_shape").startswith("OBJECT<"), F.array(F.lit(NOT_AN_OBJECT)))
+        .otherwise(F.expr(f"concat(array_compact(array({', '.join(tags)})), {unknown})"))
     )
-    record = F.expr(f"struct({', '.join(typed)})")
-    return once(parsed, {"errors": errors, "record": record}).drop("_v", "_keys")
+    return once(shaped, {"errors": errors}).drop("_v", "_shape")
 
 
-def valid_records(checked: DataFrame, *carry: str) -> DataFrame:
-    """The records without errors, one column per field."""
-    return checked.filter(F.size("errors") == 0).select(*carry, "record.*")
+def valid_records(checked: DataFrame, *carry: str, raw: str = "raw") -> DataFrame:
+    """The records without errors, one typed column per field."""
+    fine = checked.filter(F.size("errors") == 0)
+    record = F.from_json(F.col(raw), RECORD_SCHEMA)
+    return once(fine.select(*carry, raw), {"record": record}).select(*carry, "record.*")
 
 
 def quarantine(checked: DataFrame, *carry: str) -> DataFrame:
-    """The rejected records as they came, with the reasons."""
+    """The rejected records with the reasons."""
     return checked.filter(F.size("errors") > 0).select(*carry, "errors")
 
 

@@ -302,8 +302,12 @@ def explain_guard(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(phi)
     )
     values = F.transform("feature_values", lambda x: F.when(rest == 5, F.lit(float("nan"))).otherwise(x))
-    drivers = explain.drivers(damaged, values)
-    rows = _explained(spark, folder).select("key", F.posexplode_outer(drivers).alias("rank", "d"))
+    explained = MODEL.explain(_scored(spark, folder)).withColumns(
+        {"phi": damaged, "feature_values": values}
+    )
+    rows = explain.with_drivers(explained).select(
+        "key", F.posexplode_outer("feature_importance").alias("rank", "d")
+    )
     return rows.select("key", "rank", "d.*")
 
 
