@@ -55,7 +55,8 @@ def fit(
     """Fit boosted trees on log-loss with balanced class weights.
 
     Trees grow level by level over binned features, one aggregation per level; the
-    predictions so far are checkpointed so the lineage stays short over many trees.
+    predictions so far are checkpointed so the lineage stays short over many trees. The
+    input is rebalanced once, since every one of the passes runs as wide as it is cut.
     """
     weighted = with_class_weight(train, label, "_weight").withColumn(
         label, F.col(label).cast("double")
@@ -66,7 +67,7 @@ def fit(
         maxIter=config.trees, maxDepth=config.depth, stepSize=config.step, seed=config.seed,
         lossType="logistic", maxMemoryInMB=512, checkpointInterval=10,
     ).setProbabilityCol("_chances").setRawPredictionCol("_raw")
-    needed = weighted.select(*columns, label, "_weight")
+    needed = weighted.select(*columns, label, "_weight").hint("rebalance")
     return ChurnModel(Pipeline(stages=[assembler, boosted]).fit(needed), tuple(columns))
 
 
