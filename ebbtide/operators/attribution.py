@@ -168,9 +168,11 @@ def read_trees(spark: SparkSession, model: ChurnModel) -> list[tuple[float, dict
 def contributions(spark: SparkSession, paths: PathTable, values: Column) -> Column:
     """``phi`` for an array column of feature values in the model's column order.
 
-    An Arrow batch is taken in blocks of rows; a block meets all paths of a group of
-    trees at once. Only the value array leaves the JVM, the other columns stay. The
-    helper is self-contained, so executors need nothing but numpy and pandas.
+    Work goes by column: each distinct test of the ensemble is one comparison over all
+    rows of a block, a path's mask is a few bit operations on the outcomes, and each of
+    its slots one lookup and one addition. Only the value array leaves the JVM, the
+    other columns stay. The helper is self-contained, so executors need nothing but
+    numpy and pandas.
     """
     shared = spark.sparkContext.broadcast(paths.__dict__)
     n_features = len(paths.columns)
@@ -181,33 +183,48 @@ def contributions(spark: SparkSession, paths: PathTable, values: Column) -> Colu
         import pandas as pd
 
         p = shared.value
-        n_paths, n_masks, slots = p["table"].shape
-        bits = (1 << np.arange(slots)).astype(np.int16)
-        step = max(1, 4096 // slots)
-        groups = []
-        for a in range(0, n_paths, step):
-            f = p["feature"][a:a + step].ravel()
-            used, column = np.unique(f, return_inverse=True)
-            spread = np.zeros((len(f), len(used)))
-            spread[np.arange(len(f)), column] = 1.0
-            rows = p["table"][a:a + step].reshape(-1, slots)
-            offsets = np.arange(len(f) // slots) * n_masks
-            groups.append((
-                f, p["low"][a:a + step].ravel(), p["high"][a:a + step].ravel(),
-                rows, offsets, used, spread,
-            ))
+        tests, plan = {}, []
+        for feature, low, high, table in zip(p["feature"], p["low"], p["high"], p["table"]):
+            slots = []
+            for s in np.flatnonzero(np.isfinite(low) | np.isfinite(high)):
+                f = int(feature[s])
+                above, upto = (
+                    tests.setdefault((f, float(edge[s])), len(tests)) if np.isfinite(edge[s]) else -1
+                    for edge in (low, high)
+                )
+                slots.append((f, above, upto, s))
+            masks = 1 << len(slots)
+            plan.append([(f, i, j, table[:masks, s].copy()) for f, i, j, s in slots])
+
+        def block(x: np.ndarray) -> np.ndarray:
+            columns = np.ascontiguousarray(x.T)
+            n = len(x)
+            holds = np.empty((len(tests), n), dtype=np.uint8)
+            for (f, edge), i in tests.items():
+                np.less_equal(columns[f], edge, out=holds[i].view(bool))
+            fails = holds ^ 1
+            phi = np.zeros((n_features, n))
+            mask, bit, share = np.empty(n, np.uint8), np.empty(n, np.uint8), np.empty(n)
+            for slots in plan:
+                mask[:] = 0
+                for place, (_, above, upto, _) in enumerate(slots):
+                    if above < 0:
+                        met = holds[upto]
+                    elif upto < 0:
+                        met = fails[above]
+                    else:
+                        met = np.bitwise_and(holds[upto], fails[above], out=bit)
+                    np.bitwise_or(mask, np.left_shift(met, place, out=bit), out=mask)
+                for f, _, _, table in slots:
+                    phi[f] += np.take(table, mask, out=share, mode="clip")
+            return phi.T
+
         for batch in batches:
             out = np.zeros((len(batch), n_features))
             if len(batch):
                 x = np.stack(batch.to_numpy()).astype(np.float64)
-                for start in range(0, len(x), 256):
-                    block = x[start:start + 256]
-                    for f, low, high, rows, offsets, used, spread in groups:
-                        cell = block[:, f]
-                        met = ((cell > low) & (cell <= high)).reshape(len(block), -1, slots)
-                        mask = met @ bits
-                        found = rows[mask + offsets].reshape(len(block), -1)
-                        out[start:start + 256, used] += found @ spread
+                for start in range(0, len(x), 8192):
+                    out[start:start + 8192] = block(x[start:start + 8192])
             yield pd.Series(list(out))
 
     return explain(values)
