@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ebbtide.session import shared_folder
+from ebbtide.session import fresh_path
 
 
 def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
@@ -38,14 +38,16 @@ def roc_auc(
     from the negatives below each distinct score. The running count is taken inside
     slices of the score range and offset by the totals of the slices below, so no task
     sees all scores; the result does not depend on ``slices``. The counts are needed
-    twice (to find the slices, then to count), so they are checkpointed and the scoring
-    above them runs once. ``slices=1`` skips that for a score with few distinct values.
+    twice (to find the slices, then to count), so they are written to the shared folder
+    and the scoring above them runs once. ``slices=1`` skips that for a score with few
+    distinct values.
     """
     counts = _score_counts(df, label, score, by)
     cuts: list[float] = []
     if slices > 1:
-        shared_folder(df.sparkSession)
-        counts = counts.checkpoint()
+        path = fresh_path(df.sparkSession, "score-counts")
+        counts.write.parquet(path)
+        counts = df.sparkSession.read.schema(counts.schema).parquet(path)
         cuts = _balanced_cuts(counts, slices)
     if len(cuts) > 2:
         counts = Bucketizer(splits=cuts, inputCol="score", outputCol="slice").transform(counts)
