@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ebbtide.session import fresh_path
 
+ROWS_PER_SLICE = 500_000
+MAX_SLICES = 10_000
+
 
 def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct score; ties collapse before the shuffle."""
@@ -20,6 +23,8 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> D
 
 def _balanced_cuts(counts: DataFrame, slices: int) -> list[float]:
     """Score values that cut the distinct scores into slices of about equal size."""
+    if slices == 1:
+        return []
     shares = [i / slices for i in range(1, slices)]
     cuts = counts.approxQuantile("score", shares, 0.2 / slices)
     return [float("-inf"), *sorted(set(cuts)), float("inf")]
@@ -30,7 +35,7 @@ def roc_auc(
     label: str = "Churn",
     score: str = "probability",
     by: Sequence[str] = (),
-    slices: int = 64,
+    slices: int | None = None,
 ) -> DataFrame:
     """One row (per ``by`` group): ``positives``, ``negatives``, ``auc``.
 
@@ -39,15 +44,16 @@ def roc_auc(
     slices of the score range and offset by the totals of the slices below, so no task
     sees all scores; the result does not depend on ``slices``. The counts are needed
     twice (to find the slices, then to count), so they are written to the shared folder
-    and the scoring above them runs once. ``slices=1`` skips that for a score with few
-    distinct values.
+    and the scoring above them runs once; a slice then holds about ``ROWS_PER_SLICE``
+    of them. ``slices=1`` skips that for a score with few distinct values.
     """
     counts = _score_counts(df, label, score, by)
     cuts: list[float] = []
-    if slices > 1:
+    if slices != 1:
         path = fresh_path(df.sparkSession, "score-counts")
         counts.write.parquet(path)
         counts = df.sparkSession.read.schema(counts.schema).parquet(path)
+        slices = slices or min(MAX_SLICES, 1 + counts.count() // ROWS_PER_SLICE)
         cuts = _balanced_cuts(counts, slices)
     if len(cuts) > 2:
         counts = Bucketizer(splits=cuts, inputCol="score", outputCol="slice").transform(counts)

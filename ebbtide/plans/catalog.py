@@ -566,7 +566,7 @@ def gbt_rounds(spark: SparkSession, folder: str) -> DataFrame:
     staged = attribution.staged_scores(
         spark, attribution.read_trees(spark, model), model.columns, frame
     )
-    areas = evaluate.roc_auc(staged, "Churn", "probability", by=["round"], slices=1)
+    areas = evaluate.roc_auc(staged, "Churn", "probability", by=["round"])
     listed = F.array(*[F.lit(x) for x in losses])
     return areas.select(
         "round", F.round("auc", 6).alias("auc"),

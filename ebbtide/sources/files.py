@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ebbtide.schema import RECORD_SCHEMA, DataConfig
 
@@ -60,6 +60,14 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
+def observed(df: DataFrame, name: str = "shape") -> tuple[DataFrame, Observation]:
+    """The frame with an observer that reports its ``rows`` and ``columns`` once an
+    action has run over it; the counting rides along and needs no pass of its own."""
+    seen = Observation(name)
+    rows = F.count(F.lit(1)).alias("rows")
+    return df.observe(seen, rows, F.max(F.lit(len(df.columns))).alias("columns")), seen
+
+
 def load_training_csv(
     spark: SparkSession,
     path: str,

@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ebbtide.operators.validate import check_records, quarantine, valid_records
 from ebbtide.sources.files import first_rows
 
 Scorer = Callable[[DataFrame], DataFrame]
+log = logging.getLogger(__name__)
+
+
+class IngestProgress(StreamingQueryListener):
+    """Counts the rows of the streams it listens to and logs them from time to time.
+
+    Add it with ``spark.streams.addListener``. A report is due after each tenth of the
+    expected rows, but not more often than every 1,000.
+    """
+
+    def __init__(self, expected: int) -> None:
+        self.expected = expected
+        self.every = max(expected // 10, 1000)
+        self.rows = 0
+        self.reported = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        if self.rows // self.every > self.reported // self.every:
+            self.reported = self.rows
+            log.info("%d/%d rows collected", self.rows, self.expected)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def record_stream(
@@ -59,8 +90,7 @@ def start_scoring(
 def start_ingest(
     rows: DataFrame, target: str, checkpoint: str
 ) -> StreamingQuery:
-    """Take what has arrived into a Parquet table, exactly once, and stop. Progress is
-    in the query's ``recentProgress``."""
+    """Take what has arrived into a Parquet table, exactly once, and stop."""
     return (
         rows.writeStream.format("parquet")
         .option("path", target)
@@ -75,11 +105,6 @@ def capped(spark: SparkSession, target: str, key: str, max_samples: int) -> Data
     return first_rows(spark.read.parquet(target), key, max_samples)
 
 
-def rows_read(query: StreamingQuery) -> int:
-    """Input rows over the query's recorded batches."""
-    return sum(p["numInputRows"] for p in query.recentProgress)
-
-
 def finish(query: StreamingQuery) -> StreamingQuery:
     """Wait for an available-now query and raise its error, if any."""
     query.awaitTermination()

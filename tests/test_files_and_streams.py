@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def test_stream_equals_batch_and_survives_a_restart(spark):
             stream.record_stream(spark, source, files_per_batch=2),
             lambda valid: scoring.records(scoring.explain_linear(valid, LinearModel())),
             scores, rejected, checkpoint))
-        return stream.rows_read(query)
+        return sum(p["numInputRows"] for p in query.recentProgress)
 
     assert run() == 120
     records.filter("key >= 120").coalesce(1).write.mode("append").parquet(source)
@@ -99,6 +100,31 @@ def test_capped_ingest(spark):
     assert sorted(r.key for r in stream.capped(spark, target, "key", 90).collect()) == list(range(90))
 
 
+def test_ingest_progress(spark, caplog):
+    source, target, checkpoint = (fresh_path(spark, n) for n in ("source", "target", "check"))
+    spark.range(5000).selectExpr("id AS key", "'x' AS raw").repartition(5).write.parquet(source)
+    progress = stream.IngestProgress(5000)
+    spark.streams.addListener(progress)
+    try:
+        with caplog.at_level("INFO", "ebbtide.streaming.scoring"):
+            stream.finish(stream.start_ingest(
+                stream.record_stream(spark, source, files_per_batch=1), target, checkpoint))
+            for _ in range(100):
+                if progress.rows == 5000:
+                    break
+                time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    assert progress.rows == 5000
+    assert any("5000/5000 rows" in r.getMessage() for r in caplog.records)
+
+
+def test_shape_is_observed_along_the_way(spark, tmp_path):
+    frame, seen = files.observed(spark.range(70).withColumn("x", F.lit(1)))
+    frame.write.parquet(str(tmp_path / "f"))
+    assert seen.get == {"rows": 70, "columns": 2}
+
+
 def test_request_counts(spark):
     rows = [("2024-01-01 00:00:%02d" % s, "a") for s in range(12)] + [("2024-01-01 00:01:00", "a"),
                                                                      ("2024-01-01 00:00:59", "b")]

@@ -64,8 +64,9 @@ def brute_auc(pairs):
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("slices", [1, 4, 64])
-def test_auc_equals_the_pair_count(spark, slices):
+@pytest.mark.parametrize("slices, rows", [(1, 1), (4, 1), (None, 7), (None, 10**6)])
+def test_auc_equals_the_pair_count(spark, monkeypatch, slices, rows):
+    monkeypatch.setattr(evaluate, "ROWS_PER_SLICE", rows)
     rng = random.Random(5)
     pairs = [(rng.randint(0, 1), round(rng.random(), rng.choice([1, 2, 9]))) for _ in range(400)]
     df = spark.createDataFrame(pairs, "Churn int, probability double")
