@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ebbtide.schema import ModelConfig
 
+Label = int | str
+MAX_CLASSES = 100
+
+
+class TooManyClasses(ValueError):
+    """The label looks like a measurement, not like a class."""
+
 
 def class_counts(df: DataFrame, label: str = "Churn") -> DataFrame:
     return df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
@@ -35,67 +45,82 @@ def split_hash(key: Column, seed: int = ModelConfig.seed) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
-def split_sizes(counts: DataFrame, test_share: float = ModelConfig.test_share) -> DataFrame:
-    """``label``, ``n``, ``n_train``: the test part is rounded up, and the training rows
-    go to the classes in proportion, leftovers to the largest remainders."""
-    all_rows = Window.partitionBy()  # over one row per class
-    total = F.sum("n").over(all_rows)
-    sized = counts.withColumn("total", total).withColumn(
-        "train", F.col("total") - F.ceil(F.col("total") * F.lit(test_share)).cast("bigint")
-    )
-    exact = F.col("n") / F.col("total") * F.col("train")
-    share = sized.withColumns({"floor": F.floor(exact), "rest": exact - F.floor(exact)})
-    left = F.col("train") - F.sum("floor").over(all_rows)
-    rank = F.row_number().over(Window.partitionBy().orderBy(F.col("rest").desc(), "label"))
-    return share.select(
-        "label", "n",
-        (F.col("floor") + F.when(rank <= left, 1).otherwise(0)).cast("bigint").alias("n_train"),
-    )
+def split_sizes(
+    counts: Mapping[Label, int], test_share: float = ModelConfig.test_share
+) -> dict[Label, int]:
+    """Training rows per class: the test part is rounded up, and the training rows go to
+    the classes in proportion, leftovers to the largest remainders."""
+    total = sum(counts.values())
+    n_train = total - ceil(total * test_share)
+    exact = {label: n / total * n_train for label, n in counts.items()}
+    sizes = {label: floor(x) for label, x in exact.items()}
+    by_rest = sorted(exact, key=lambda label: (sizes[label] - exact[label], label))
+    for label in by_rest[: n_train - sum(sizes.values())]:
+        sizes[label] += 1
+    return sizes
 
 
-def stratified_split(
+def split_thresholds(
     df: DataFrame,
     label: str = "Churn",
     key: str = "key",
     test_share: float = ModelConfig.test_share,
     seed: int = ModelConfig.seed,
-) -> DataFrame:
-    """Add ``is_train``: in each class, the first ``n_train`` rows by hash.
+) -> dict[Label, str]:
+    """The last hash of each class that still belongs to the training part.
 
-    Sorting a class would put it into one task. Instead the cut is found in two counts:
+    Sorting a class would put it into one task. Instead the cut is found by counting:
     first over 65,536 hash prefixes per class, then over the hashes of the one prefix
-    the cut falls into. The rows themselves are never shuffled; they meet one threshold
-    per class. Copies of a key share a hash, so they stay on one side, and a key with
-    many copies is one counted row.
+    the cut falls into. A key with many copies is one counted row. Three light passes
+    over two columns; one row per class comes back. A class too small for any training
+    row has no threshold.
     """
-    hashed = df.withColumn("_hash", split_hash(F.col(key), seed))
-    prefix = F.substr(F.col("_hash"), F.lit(1), F.lit(4))
-    lines = hashed.select(F.col(label).alias("label"), prefix.alias("prefix"), F.col("_hash").alias("hash"))
+    counts = dict(class_counts(df, label).filter("label IS NOT NULL").limit(MAX_CLASSES + 1).collect())
+    if len(counts) > MAX_CLASSES:
+        raise TooManyClasses(f"{label} has more than {MAX_CLASSES} values")
+    sizes = {c: n for c, n in split_sizes(counts, test_share).items() if n > 0}
+    if not sizes:
+        return {}
+    wanted = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+
+    hashed = split_hash(F.col(key), seed)
+    lines = df.filter(F.col(label).isin(*sizes)).select(
+        F.col(label).alias("label"), F.substr(hashed, F.lit(1), F.lit(4)).alias("prefix"),
+        hashed.alias("hash"),
+    )
+
+    def at_the_cut(counted: DataFrame, by: str, target: Column) -> DataFrame:
+        """The row of each class in which the running count reaches the target."""
+        running = F.sum("n").over(Window.partitionBy("label").orderBy(by))
+        totals = counted.withColumns({"upto": running, "target": target})
+        return totals.filter("upto >= target AND upto - n < target")
 
     histogram = lines.groupBy("label", "prefix").agg(F.count("*").alias("n"))
-    sizes = split_sizes(
-        histogram.groupBy("label").agg(F.sum("n").alias("n")), test_share
-    ).select("label", "n_train")
-    running = Window.partitionBy("label").orderBy("prefix")
-    cut = (
-        histogram.withColumn("upto", F.sum("n").over(running))
-        .join(F.broadcast(sizes), "label")
-        .filter((F.col("upto") >= F.col("n_train")) & (F.col("upto") - F.col("n") < F.col("n_train")))
-        .select("label", "prefix", (F.col("n_train") - (F.col("upto") - F.col("n"))).alias("take"))
+    cut = at_the_cut(histogram, "prefix", F.element_at(wanted, F.col("label"))).selectExpr(
+        "label", "prefix", "target - (upto - n) AS take"
     )
-    # One row per class in `cut` and in `thresholds`.
+    # One row per class in `cut`.
     inside = (
         lines.join(F.broadcast(cut), ["label", "prefix"])
         .groupBy("label", "take", "hash").agg(F.count("*").alias("n"))
     )
-    thresholds = (
-        inside.withColumn("upto", F.sum("n").over(Window.partitionBy("label").orderBy("hash")))
-        .filter((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("n") < F.col("take")))
-        .select(F.col("label").alias(label), F.col("hash").alias("_last"))
-    )
-    # A class too small for any training row has no threshold.
-    return (
-        hashed.join(F.broadcast(thresholds), label, "left")
-        .withColumn("is_train", F.coalesce(F.col("_hash") <= F.col("_last"), F.lit(False)))
-        .drop("_hash", "_last")
-    )
+    return dict(at_the_cut(inside, "hash", F.col("take")).select("label", "hash").collect())
+
+
+def stratified_split(
+    df: DataFrame,
+    label: str = "Churn",
+    key: str = "key",
+    test_share: float = ModelConfig.test_share,
+    seed: int = ModelConfig.seed,
+) -> DataFrame:
+    """Add ``is_train``: in each class, the first rows by the hash of their key.
+
+    The thresholds are found right away; what is returned is a projection, so rows are
+    neither shuffled nor joined. Copies of a key stay on one side.
+    """
+    side = F.lit(False)
+    hashed = split_hash(F.col(key), seed)
+    for value, last in split_thresholds(df, label, key, test_share, seed).items():
+        side = F.when(F.col(label) == value, hashed <= last).otherwise(side)
+    return df.withColumn("is_train", side)
