@@ -402,8 +402,8 @@ PLAIN = r"regexp_replace(CAST(value AS VARCHAR), '\.0$', '')"
 ORACLES["panel_bars"] = PAGE + f"""SELECT key, CAST(place AS INTEGER) AS rank, feature,
   CASE WHEN value IS NULL THEN '—' WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
     ELSE {fixed('value', 2)} END AS value_text,
-  {fixed('magnitude', 3)} AS magnitude_text, round(half, 6) AS width,
-  CASE WHEN direction = 'up' THEN CAST(50 AS DOUBLE) ELSE round(50 - half, 6) END AS left_edge
+  {fixed('magnitude', 3)} AS magnitude_text, half AS width,
+  CASE WHEN direction = 'up' THEN CAST(50 AS DOUBLE) ELSE 50 - half END AS left_edge
 FROM (SELECT *, magnitude / greatest(max(magnitude) OVER (PARTITION BY key), 0.0001) * 100 / 2 AS half
       FROM shown)"""
 ORACLES["additivity_audit"] = with_(TELCO, enc_cte("telco"), LIN, phi_cte()) + f"""
@@ -526,8 +526,8 @@ ORACLES["target_recode"] = with_(TELCO) + "SELECT key, Churn FROM telco WHERE ke
 SERVICES = ("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV",
             "StreamingMovies")
 ORACLES["derived_features"] = with_(TELCO) + f"""SELECT key,
-  CASE WHEN tenure = 0 THEN 0 ELSE round(TotalRevenue / tenure, 6) END AS revenue_per_tenure,
-  CASE WHEN tenure = 0 THEN 0 ELSE round(TotalCharges / tenure, 6) END AS charges_per_month,
+  CASE WHEN tenure = 0 THEN 0 ELSE TotalRevenue / tenure END AS revenue_per_tenure,
+  CASE WHEN tenure = 0 THEN 0 ELSE TotalCharges / tenure END AS charges_per_month,
   CAST({' + '.join(SERVICES)} AS INTEGER) AS total_services,
   CASE WHEN a > 0 AND a <= 30 THEN 'Young' WHEN a > 30 AND a <= 50 THEN 'Adult'
     WHEN a > 50 AND a <= 70 THEN 'Senior' WHEN a > 70 AND a <= 120 THEN 'Elderly' ELSE 'nan' END AS age_group
@@ -676,7 +676,7 @@ def summarised(unit: str) -> str:
     start = f"date_trunc('{unit}', ts)"
     return f"""SELECT strftime({start}, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS path,
   count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failures,
-  round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS mean_ms,
+  CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_ms,
   quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, max(value) AS max_ms
 FROM events GROUP BY {start}, event_type"""
 

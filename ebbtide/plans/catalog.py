@@ -268,10 +268,7 @@ def drivers_rising(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def panel_bars(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _driver_rows(_explained(spark, folder), panel.bars(F.col("feature_importance")))
-    return rows.withColumns({
-        "width": F.round("width", 6), "left_edge": F.round("left_edge", 6),
-    })
+    return _driver_rows(_explained(spark, folder), panel.bars(F.col("feature_importance")))
 
 
 @query
@@ -455,8 +452,8 @@ def derived_features(spark: SparkSession, folder: str) -> DataFrame:
         | {"Age": F.when(F.col("key") % 3 == 0, edges).otherwise(F.col("Age"))}
     )
     return derive.derive(encode.rename_fields(table)).select(
-        "key", F.round("Revenue_per_Tenure", 6).alias("revenue_per_tenure"),
-        F.round("Charges_per_Month", 6).alias("charges_per_month"),
+        "key", F.col("Revenue_per_Tenure").alias("revenue_per_tenure"),
+        F.col("Charges_per_Month").alias("charges_per_month"),
         F.col("Total_Services").alias("total_services"), F.col("Age_Group").alias("age_group"),
     )
 
@@ -769,7 +766,7 @@ def rate_breach_stream(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def log_summary(spark: SparkSession, folder: str) -> DataFrame:
     lines = requests.parse_log(_log_lines(_events(spark, folder)))
-    return _rounded(_stamped(requests.log_summary(lines)))
+    return _stamped(requests.log_summary(lines))
 
 
 @query
@@ -779,9 +776,5 @@ def log_summary_stream(spark: SparkSession, folder: str) -> DataFrame:
     summary = requests.log_summary(requests.parse_log(arriving), "1 hour")
     target = fresh_path(spark, "summary")
     stream.finish(requests.start_table(summary, target, fresh_path(spark, "checkpoint")))
-    return _rounded(_stamped(spark.read.parquet(target)))
-
-
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("mean_ms", F.round("mean_ms", 6))
+    return _stamped(spark.read.parquet(target))
 
