@@ -19,7 +19,7 @@ from ebbtide.operators.panel import NARRATIVES
 from ebbtide.plans.catalog import FOREST, SLOTS
 from ebbtide.schema import (
     CATEGORIES, CATEGORY, COUNT, DATASET_NAMES, FEATURE_COLUMNS, FIELD_NAMES, FIELDS, FLAG,
-    KEY_INPUTS, MONEY, NULLABLE_CATEGORIES, SENIOR, YES_NO_FIELDS, one_hot_name, sanitise,
+    KEY_INPUTS, MONEY, NULLABLE_CATEGORIES, SENIOR, YES_NO_FIELDS, one_hot_name,
 )
 from ebbtide.sources import generator as gen, telco
 from ebbtide.sources.profiles import PROFILES
@@ -289,7 +289,7 @@ ORACLES["yes_no_text"] = with_(TELCO, SPELLED) + "SELECT key, {} FROM spelled".f
 ))
 
 
-def missing_list(source: str = "") -> str:
+def missing_list() -> str:
     return "concat_ws('|', " + ", ".join(
         f"CASE WHEN {n} IS NULL OR CAST({n} AS VARCHAR) = '' THEN '{n}' END" for n in KEY_INPUTS
     ) + ")"

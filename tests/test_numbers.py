@@ -1,5 +1,4 @@
 from decimal import ROUND_HALF_UP, Decimal
-import random
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
