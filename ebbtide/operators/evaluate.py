@@ -68,7 +68,7 @@ def roc_auc(
         F.sum("neg").alias("neg"),
         F.sum(pairs * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(19,0)")).alias("twice"),
     )
-    # One row per slice: a bounded table, whatever the number of scores.
+    # One row per slice, at most MAX_SLICES per group: no partitioning is needed here.
     lower = Window.partitionBy(*by).orderBy("slice")
     lifted = per_slice.withColumn("neg_lower", F.sum("neg").over(lower) - F.col("neg"))
     total = lifted.groupBy(*by).agg(
