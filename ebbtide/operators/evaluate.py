@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ebbtide.session import fresh_path
 
-ROWS_PER_SLICE = 500_000
+ROWS_PER_SLICE = 50_000
 MAX_SLICES = 10_000
 
 
