@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ebbtide.llm import simhash
+from ebbtide.llm import sharding, simhash
 from ebbtide.llm.scratch import table
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,3 +22,12 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.groups(table(spark, folder, "documents"), shingle=3, radius=3)
     return found.select("doc_id", simhash.hexadecimal(found["fp"]).alias("fingerprint"),
                         "component_id")
+
+
+@query
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.placed(table(spark, folder, "documents"), ["doc_id"])
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
