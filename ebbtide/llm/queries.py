@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ebbtide.llm import sharding, simhash
+from ebbtide.llm import mixing, sharding, simhash
 from ebbtide.llm.scratch import table
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,3 +31,12 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.drawn(table(spark, folder, "documents"), ["doc_id"])
+    copies = F.nvl2("base", F.lit(1), F.lit(0)) + F.nvl2("extra", F.lit(1), F.lit(0))
+    return found.select(
+        F.col("id").alias("doc_id"), "size", F.col("words").alias("source_size"), "target",
+        (F.col("size") * copies).alias("taken"), copies.alias("copies"), "base", "extra")
