@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ebbtide.llm import mixing, sharding, simhash
+from ebbtide.llm import decontaminate, mixing, sharding, simhash
 from ebbtide.llm.scratch import table
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,3 +40,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "size", F.col("words").alias("source_size"), "target",
         (F.col("size") * copies).alias("taken"), copies.alias("copies"), "base", "extra")
+
+
+@query
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, folder, "documents"),
+                                       table(spark, folder, "benchmark"))
+    return found.drop("mark")

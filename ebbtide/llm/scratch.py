@@ -38,13 +38,22 @@ def narrow(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
+def mark(docs: DataFrame) -> Column:
+    """With doc_id, tells rows apart where ids are null or repeated."""
+    return F.xxhash64(docs["text"])
+
+
 def keep_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The documents whose doc_id is (or, ``left_anti``, is not) among the ids.
 
-    ``ids`` has one column ``doc_id``. A null id equals a null id. No column is added.
+    ``ids`` has a column ``doc_id`` and may have a column ``mark``, which then must match
+    too. A null id equals a null id. No column is added.
     """
-    wanted = ids.select(F.col("doc_id").alias("__wanted"))
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__wanted"]), how)
+    wanted = ids.select(*[F.col(c).alias(f"__{c}") for c in ids.columns])
+    same = docs["doc_id"].eqNullSafe(wanted["__doc_id"])
+    if "mark" in ids.columns:
+        same = same & (mark(docs) == wanted["__mark"])
+    return docs.join(wanted, same, how)
 
 
 def hash_share(column: Column, seed: int) -> Column:

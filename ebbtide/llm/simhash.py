@@ -9,7 +9,7 @@ bucket of its table. No pair within the radius is missed.
 
 Only distinct fingerprints are compared. A bucket of many of them is split again by the
 same construction on the bits its mask ignores; as these at least halve, no bucket stays
-large. In a bucket only links that join something are returned, never all pairs.
+large. Of a bucket come only links to the smallest member that is reached, never all pairs.
 
 Texts: null or without words: fingerprint zero. Fewer words than a shingle: the whole
 sequence. Rows without doc_id are linked like any other; a group without any id has a null
@@ -89,8 +89,10 @@ def _deeper(masks: list[int], radius: int) -> list[tuple[int, int, int]]:
     return [(at, i, _signed(finer)) for i, (at, finer) in enumerate(found)]
 
 
-def _joining_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the graph of pairs within the radius."""
+def _connected(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """For each value that chains of pairs within the radius connect to a smaller one: the
+    smallest such, and the value."""
+    values = np.sort(values)
     left, links, bits = np.ones(len(values), dtype=bool), [], values.view(np.uint64)
     for start in range(len(values)):
         if not left[start]:
@@ -103,7 +105,7 @@ def _joining_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             near = others[np.bitwise_count(bits[others] ^ bits[at]) <= radius]
             left[near] = False
             ahead.extend(near.tolist())
-            links += [(int(values[at]), int(values[x])) for x in near]
+            links += [(int(values[start]), int(values[x])) for x in near]
     return links
 
 
@@ -116,7 +118,7 @@ def _links_of_buckets(buckets: DataFrame, radius: int) -> DataFrame:
                     x, y = members
                     pairs = [(x, y)] if ((x ^ y) & FULL).bit_count() <= radius else []
                 else:
-                    pairs = _joining_links(np.array(members, dtype=np.int64), radius)
+                    pairs = _connected(np.array(members, dtype=np.int64), radius)
                 a += [x for x, _ in pairs]
                 b += [y for _, y in pairs]
             yield pa.RecordBatch.from_arrays(
@@ -126,10 +128,10 @@ def _links_of_buckets(buckets: DataFrame, radius: int) -> DataFrame:
 
 
 def links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """Links ``(a, b)`` that connect all fingerprints with chains of pairs within the radius.
+    """Links ``(a, b)`` that connect what chains of pairs within the radius connect.
 
-    ``prints`` has distinct fingerprints in a column ``fp``. Only pairs within the radius
-    are returned, but not all of them: enough to connect what is connected.
+    ``prints`` has distinct fingerprints in a column ``fp``. Of each bucket, the members
+    that are connected within it are linked to the smallest of them.
     """
     spark = prints.sparkSession
     masks = covering_masks(list(range(BITS)), radius)
