@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ebbtide.llm import decontaminate, mixing, sharding, simhash
+from ebbtide.llm import decontaminate, mixing, sharding, simhash, toxicity
 from ebbtide.llm.scratch import table
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -47,3 +47,9 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, folder, "documents"),
                                        table(spark, folder, "benchmark"))
     return found.drop("mark")
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, folder, "labels")))

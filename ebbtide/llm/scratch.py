@@ -6,15 +6,27 @@ history, and an expensive pass over the texts is not repeated.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 
+import ebbtide
 from ebbtide.session import fresh_path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+def reachable(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it. On a cluster whose
+    machines do not, ship it with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(ebbtide.__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write the rows and read them back."""
     spark = df.sparkSession
+    reachable(spark)
     path = fresh_path(spark, f"llm-{label}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -30,6 +42,7 @@ def drop(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
