@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ebbtide.llm import decontaminate, mixing, sharding, simhash, toxicity
+from ebbtide.llm import decontaminate, language, mixing, nearest, sharding, simhash, toxicity
 from ebbtide.llm.scratch import table
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -53,3 +53,13 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.neighbours(table(spark, folder, "embeddings"))
+
+
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identified(table(spark, folder, "documents"))
