@@ -42,7 +42,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     """``(item_id, words, grams)``: hashes of the words and of the n-grams, by place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hashes, _ = W.words(batch.column(1))
+            rows, hashes = W.words(batch.column(1))
             at, grams = W.grams(rows, hashes, GRAM)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([
@@ -82,8 +82,8 @@ def _in_table(grams: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
 def _document_counts(texts: DataFrame, bits: int, table: np.ndarray) -> DataFrame:
     """``(gram, docs)``: in how many documents of a batch an n-gram of the table occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, hashes, _ = W.words(batch.column(0))
+        for batch in W.pieces(batches):
+            rows, hashes = W.words(batch.column(0))
             at, grams = W.grams(rows, hashes, GRAM)
             found = _in_table(grams, bits, table)
             pairs = np.unique(np.stack([grams[found], rows[at[found]].astype(np.uint64)]), axis=1)
@@ -99,8 +99,8 @@ def _regions(texts: DataFrame, bits: int, table: np.ndarray, reach: int) -> Data
     """``(doc_id, mark, start, words, at, grams)``: the words up to ``reach`` words from a
     seed, the place of the first, and the seeds with their places in the document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, hashes, _ = W.words(batch.column(2))
+        for batch in W.pieces(batches):
+            rows, hashes = W.words(batch.column(2))
             at, grams = W.grams(rows, hashes, GRAM)
             found = _in_table(grams, bits, table)
             at, grams = at[found], grams[found]

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ebbtide.llm import decontaminate, language, mixing, nearest, sharding, simhash, toxicity
+from ebbtide.llm import (
+    chunks,
+    cross_entropy,
+    decontaminate,
+    language,
+    mixing,
+    nearest,
+    sharding,
+    simhash,
+    toxicity,
+)
 from ebbtide.llm.scratch import table
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -63,3 +73,14 @@ def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(table(spark, folder, "documents"))
+
+
+@query
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.repeats(table(spark, folder, "documents")).drop("mark")
+
+
+@query
+def op10_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    good = table(spark, folder, "labels").where("quality = 1")
+    return cross_entropy.scored(table(spark, folder, "documents"), good)

@@ -67,17 +67,22 @@ def _inputs(docs: DataFrame) -> tuple[Column, Column]:
     return clean, kept
 
 
-def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and hash of every feature occurrence, and the number of words of each row."""
-    rows, hashes, heads = W.words(texts, PREFIXES)
-    count = np.bincount(rows, minlength=len(texts))
-    every = [(rows, hashes), *[(rows[h != 0], h[h != 0]) for h in heads]]
-    return np.concatenate([r for r, _ in every]), np.concatenate([h for _, h in every]), count
+def _features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and hash of every feature occurrence, stretch by stretch. A word comes first."""
+    for rows, hashes, heads in W.segments(texts, PREFIXES):
+        yield rows, hashes
+        for head in heads:
+            yield rows[head != 0], head[head != 0]
 
 
-def _figures(texts: pa.Array, kept: np.ndarray, count: np.ndarray) -> np.ndarray:
-    size = np.diff(W.buffer_of(texts)[1])
-    return np.stack([np.log1p(count), kept, size / np.maximum(count, 1)], axis=1)
+def _figures(texts: pa.Array, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A few figures of each text, and its number of words."""
+    data, ends = W.buffer_of(texts)
+    size = np.diff(ends)
+    spaces = np.concatenate(([0], np.cumsum(data[ends[0]:ends[-1]] == W.SPACE)))[ends - ends[0]]
+    count = np.where(size > 0, np.diff(spaces) + 1, 0)
+    figures = np.stack([np.log1p(count), kept, size / np.maximum(count, 1)], axis=1)
+    return np.nan_to_num(figures), count
 
 
 def _unique(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,14 +101,17 @@ class _Chosen:
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[features >> np.uint64(64 - TABLE_BITS)] = True
 
-    def find(self, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and number of every chosen feature that is present, each once."""
-        likely = np.flatnonzero(self.table[hashes >> np.uint64(64 - TABLE_BITS)])
-        rows, hashes = rows[likely], hashes[likely]
-        at = np.searchsorted(self.features, hashes)
-        hit = at < len(self.features)
-        hit[hit] = self.features[at[hit]] == hashes[hit]
-        return _unique(rows[hit], at[hit])
+    def present(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row and number of every chosen feature of the texts, each once."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for rows, hashes in _features(texts):
+            likely = np.flatnonzero(self.table[hashes >> np.uint64(64 - TABLE_BITS)])
+            rows, hashes = rows[likely], hashes[likely]
+            at = np.searchsorted(self.features, hashes)
+            hit = at < len(self.features)
+            hit[hit] = self.features[at[hit]] == hashes[hit]
+            found.append(_unique(rows[hit], at[hit]))
+        return _unique(*map(np.concatenate, zip(*found)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -128,8 +136,11 @@ def choose_features(rows: DataFrame, per_category: int = PER_CATEGORY) -> np.nda
     names = list(CATEGORIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, hashes = _unique(*_features(batch.column("text"))[:2])
+        for batch in W.pieces(batches):
+            found = [_unique(*f) for f in _features(batch.column("text"))]
+            if not found:
+                continue
+            at, hashes = _unique(*map(np.concatenate, zip(*found)))
             hashes, group = np.unique(hashes, return_inverse=True)
             sums = [np.bincount(group, minlength=len(hashes))] + [
                 np.bincount(group, batch.column(n).to_numpy()[at], len(hashes)) for n in names]
@@ -228,15 +239,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     chosen = _Chosen(features)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, hashes, count = _features(batch.column("text"))
-            at, number = chosen.find(at, hashes)
-            figures = _figures(batch.column("text"), batch.column("kept").to_numpy(
-                zero_copy_only=False), count)
+        for batch in W.pieces(batches):
+            at, number = chosen.present(batch.column("text"))
+            figures, _ = _figures(batch.column("text"), batch.column("kept").to_numpy(
+                zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([
                 pa.ListArray.from_arrays(pa.array(np.searchsorted(
                     at, np.arange(batch.num_rows + 1)), pa.int32()), pa.array(number, pa.int64())),
-                pa.array(list(np.nan_to_num(figures))), batch.column("fold"),
+                pa.array(list(figures)), batch.column("fold"),
                 *[batch.column(n) for n in CATEGORIES]],
                 names=["present", "figures", "fold", *CATEGORIES])
 
@@ -252,9 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
 
 
 def _predict(chain: Chain, chosen: _Chosen, texts: pa.Array, kept: np.ndarray) -> list[np.ndarray]:
-    at, hashes, count = _features(texts)
-    at, number = chosen.find(at, hashes)
-    figures = np.nan_to_num(_figures(texts, kept, count))
+    at, number = chosen.present(texts)
+    figures, count = _figures(texts, kept)
     dense, columns, result = (figures - chain.mean) / chain.scale, len(chain.features), []
     for name in CATEGORIES:
         w = chain.weights.get(name)
@@ -273,8 +282,12 @@ def probabilities(docs: DataFrame, chain: Chain) -> Column:
 
     @F.arrow_udf("struct<" + ", ".join(f"{n}: double" for n in CATEGORIES) + ">")
     def run(texts: pa.Array, kept: pa.Array) -> pa.Array:
-        found = _predict(chain, chosen, texts, kept.to_numpy(zero_copy_only=False))
-        return pa.StructArray.from_arrays([pa.array(p) for p in found], names=list(CATEGORIES))
+        share = kept.to_numpy(zero_copy_only=False)
+        found = [_predict(chain, chosen, texts.slice(at, n), share[at:at + n])
+                 for at, n in W.spans(texts)]
+        return pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(p)) for p in zip(*found)] or [pa.array([], "float64")] * len(CATEGORIES),
+            names=list(CATEGORIES))
 
     return run(*_inputs(docs))
 

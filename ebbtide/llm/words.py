@@ -22,6 +22,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that are looked at together, if no single word is longer.
 SEGMENT = 1 << 20
+#: Bytes of texts that a task works on together, if no single text is longer.
+PIECE = 4 << 20
 SPACE = 32
 _LIMIT = 1 << 64
 
@@ -57,6 +59,23 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_, offsets
 
 
+def spans(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of stretches of about ``PIECE`` bytes."""
+    offsets, at = buffer_of(texts)[1], 0
+    while at < len(texts):
+        to = int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1
+        to = max(to, at + 1)
+        yield at, to - at
+        at = to
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in small batches, by the bytes of their texts."""
+    for batch in batches:
+        for at, n in spans(batch.column(text)):
+            yield batch.slice(at, n)
+
+
 def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Stretches of the buffer that end between words."""
     at, end = int(offsets[0]), int(offsets[-1])
@@ -82,15 +101,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def words(texts: pa.Array, prefixes: tuple[int, ...] = ()
-          ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Row number and hash of every space-separated word, in order.
+def segments(texts: pa.Array, prefixes: tuple[int, ...] = ()
+             ) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Row number and hash of every space-separated word, in order, stretch by stretch.
 
     Also, for each length in ``prefixes``, the hash of the word's first so many bytes,
     0 where the word is shorter.
     """
     data, offsets = buffer_of(texts)
-    rows, hashes, heads = [], [], [[] for _ in prefixes]
     for at, to in _segments(data, offsets):
         piece = data[at:to]
         inside = piece != SPACE
@@ -109,16 +127,21 @@ def words(texts: pa.Array, prefixes: tuple[int, ...] = ()
         total = np.zeros(len(piece) + 1, dtype=np.uint64)
         np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[:len(piece)], out=total[1:])
         unshift = down[starts]
-        rows.append(np.searchsorted(offsets, starts + at, side="right") - 1)
-        hashes.append(mixed((total[ends] - total[starts]) * unshift))
-        for length, found in zip(prefixes, heads):
+        heads = []
+        for length in prefixes:
             stop = np.minimum(starts + length, ends)
             head = mixed((total[stop] - total[starts]) * unshift + np.uint64(length))
-            found.append(np.where(ends - starts >= length, head, np.uint64(0)))
-    if not rows:
-        none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, [none for _ in prefixes]
-    return np.concatenate(rows), np.concatenate(hashes), [np.concatenate(h) for h in heads]
+            heads.append(np.where(ends - starts >= length, head, np.uint64(0)))
+        yield (np.searchsorted(offsets, starts + at, side="right") - 1,
+               mixed((total[ends] - total[starts]) * unshift), heads)
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and hash of every word of all texts."""
+    found = [(rows, hashes) for rows, hashes, _ in segments(texts)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([r for r, _ in found]), np.concatenate([h for _, h in found])
 
 
 def grams(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,9 @@ def test_words_of_a_batch_equal_split(monkeypatch):
     for segment in (1 << 20, 8, 3):
         monkeypatch.setattr(words, "SEGMENT", segment)
         array = pa.array(["skipped", *texts])[1:]
-        rows, hashes, (heads,) = words.words(array, (2,))
+        rows, hashes, heads = zip(*words.segments(array, (2,)))
+        rows, hashes, heads = map(np.concatenate, (rows, hashes, [h for h, in heads]))
+        assert all((a == b).all() for a, b in zip(words.words(array), (rows, hashes)))
         flat = [(i, w) for i, t in enumerate(texts) for w in (t or "").split()]
         assert rows.tolist() == [i for i, _ in flat]
         same = {}
@@ -21,7 +23,7 @@ def test_words_of_a_batch_equal_split(monkeypatch):
 
 
 def test_grams_stay_within_a_text():
-    rows, hashes, _ = words.words(pa.array(["a b c", "d", "a b c d"]))
+    rows, hashes = words.words(pa.array(["a b c", "d", "a b c d"]))
     at, found = words.grams(rows, hashes, 3)
     assert at.tolist() == [0, 4, 5]
     assert found[0] == found[1] != found[2]
@@ -29,7 +31,18 @@ def test_grams_stay_within_a_text():
 
 
 def test_words_of_nothing():
-    rows, hashes, heads = words.words(pa.array([None, ""], pa.string()), (3, 4))
-    assert len(rows) == len(hashes) == 0 and len(heads) == 2
+    rows, hashes = words.words(pa.array([None, ""], pa.string()))
+    assert len(rows) == len(hashes) == 0
     assert words.first_words(rows, 2).tolist() == [0, 0, 0]
     assert words.signed(np.array([2**64 - 1], np.uint64))[0] == -1
+
+
+def test_rows_are_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr(words, "PIECE", 6)
+    texts = pa.array(["abc", None, "de", "long text", "", "x", "y" * 6, "z"])
+    found = list(words.spans(texts))
+    assert [texts.slice(a, n).to_pylist() for a, n in found] == [
+        ["abc", None, "de"], ["long text"], ["", "x"], ["yyyyyy"], ["z"]]
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    assert [t for b in words.pieces(iter([batch])) for t in b.column(0).to_pylist()] == texts.to_pylist()
+    assert list(words.spans(pa.array([], pa.string()))) == []
