@@ -8,6 +8,7 @@ from ebbtide.llm import (
     chunks,
     cross_entropy,
     decontaminate,
+    html_main,
     language,
     mixing,
     nearest,
@@ -84,3 +85,8 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
 def op10_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
     good = table(spark, folder, "labels").where("quality = 1")
     return cross_entropy.scored(table(spark, folder, "documents"), good)
+
+
+@query
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_main.extracted(table(spark, folder, "pages"))
