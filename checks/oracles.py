@@ -5,29 +5,89 @@ Shared with the library are only constants: names, vocabularies, texts, coeffici
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 from math import factorial
 
-from ebbtide.functions.labels import label_feature
 from ebbtide.operators.actions import RULES
 from ebbtide.operators.attribution import Node
 from ebbtide.operators.brief import (
     DEFAULT_PLAN, DRIVERS_HEADING, INSTRUCTIONS, NO_PLAN, SIGNALS_HEADING,
 )
-from ebbtide.operators.linear import LinearModel
+from ebbtide.operators.linear import TERMS
 from ebbtide.operators.panel import NARRATIVES
-from ebbtide.plans.catalog import FOREST, SLOTS
+from ebbtide.plans.catalog import FOREST, SLOTS, SMALL
 from ebbtide.schema import (
     CATEGORIES, CATEGORY, COUNT, DATASET_NAMES, FEATURE_COLUMNS, FIELD_NAMES, FIELDS, FLAG,
-    KEY_INPUTS, MONEY, NULLABLE_CATEGORIES, SENIOR, YES_NO_FIELDS, one_hot_name,
+    KEY_INPUTS, MONEY, NULLABLE_CATEGORIES, SENIOR, YES_NO_FIELDS,
 )
 from ebbtide.sources import generator as gen, telco
 from ebbtide.sources.profiles import PROFILES
 
-MODEL = LinearModel()
+BIAS = 0.25
 ORACLES: dict[str, str] = {}
 
 
+# The label of every column, as dashboards show it and pretty.
+LABELS = {
+    "Partner": ("Partner", "Partner"),
+    "Dependents": ("Dependents", "Dependents"),
+    "Tenure_in_Months": ("tenure", "Tenure in Months"),
+    "Phone_Service": ("PhoneService", "Phone Service"),
+    "Multiple_Lines": ("MultipleLines", "Multiple Lines"),
+    "Internet_Service": ("InternetService", "Internet Service"),
+    "Online_Security": ("OnlineSecurity", "Online Security"),
+    "Online_Backup": ("OnlineBackup", "Online Backup"),
+    "Device_Protection_Plan": ("DeviceProtection", "Device Protection Plan"),
+    "Premium_Tech_Support": ("TechSupport", "Premium Tech Support"),
+    "Streaming_TV": ("StreamingTV", "Streaming TV"),
+    "Streaming_Movies": ("StreamingMovies", "Streaming Movies"),
+    "Paperless_Billing": ("PaperlessBilling", "Paperless Billing"),
+    "Monthly_Charge": ("MonthlyCharges", "Monthly Charge"),
+    "Total_Charges": ("TotalCharges", "Total Charges"),
+    "Married": ("Married", "Married"),
+    "Number_of_Dependents": ("NumberOfDependents", "Number of Dependents"),
+    "Number_of_Referrals": ("NumberOfReferrals", "Number of Referrals"),
+    "Satisfaction_Score": ("SatisfactionScore", "Satisfaction Score"),
+    "Age": ("Age", "Age"),
+    "Avg_Monthly_GB_Download": ("AvgMonthlyGBDownload", "Avg Monthly GB Download"),
+    "Avg_Monthly_Long_Distance_Charges": ("AvgMonthlyLongDistanceCharges", "Avg Monthly Long Distance Charges"),
+    "CLTV": ("CLTV", "CLTV"),
+    "Under_30": ("Under30", "Under 30"),
+    "Unlimited_Data": ("UnlimitedData", "Unlimited Data"),
+    "Streaming_Music": ("StreamingMusic", "Streaming Music"),
+    "Referred_a_Friend": ("ReferredAFriend", "Referred a Friend"),
+    "Total_Refunds": ("TotalRefunds", "Total Refunds"),
+    "Total_Extra_Data_Charges": ("TotalExtraDataCharges", "Total Extra Data Charges"),
+    "Total_Long_Distance_Charges": ("TotalLongDistanceCharges", "Total Long Distance Charges"),
+    "Total_Revenue": ("TotalRevenue", "Total Revenue"),
+    "Contract_Month_to_Month": ("Contract: Month-to-Month", "Contract: Month-to-Month"),
+    "Contract_One_Year": ("Contract: One Year", "Contract: One Year"),
+    "Contract_Two_Year": ("Contract: Two Year", "Contract: Two Year"),
+    "Gender_Female": ("Gender: Female", "Gender: Female"),
+    "Gender_Male": ("Gender: Male", "Gender: Male"),
+    "Internet_Type_Cable": ("Internet: Type Cable", "Internet Type: Cable"),
+    "Internet_Type_DSL": ("Internet: Type DSL", "Internet Type: DSL"),
+    "Internet_Type_Fiber_Optic": ("Internet: Type Fiber Optic", "Internet Type: Fiber Optic"),
+    "Internet_Type_null": ("Internet: Type null", "Internet Type: null"),
+    "Offer_Offer_A": ("Offer: Offer A", "Offer: Offer A"),
+    "Offer_Offer_B": ("Offer: Offer B", "Offer: Offer B"),
+    "Offer_Offer_C": ("Offer: Offer C", "Offer: Offer C"),
+    "Offer_Offer_D": ("Offer: Offer D", "Offer: Offer D"),
+    "Offer_Offer_E": ("Offer: Offer E", "Offer: Offer E"),
+    "Offer_null": ("Offer: null", "Offer: null"),
+    "Payment_Method_Bank_Withdrawal": ("Payment: Method Bank Withdrawal", "Payment Method: Bank Withdrawal"),
+    "Payment_Method_Credit_Card": ("Payment: Method Credit Card", "Payment Method: Credit Card"),
+    "Payment_Method_Mailed_Check": ("Payment: Method Mailed Check", "Payment Method: Mailed Check"),
+    "Senior_Citizen_0": ("Senior: Citizen 0", "Senior Citizen: 0"),
+    "Senior_Citizen_1": ("Senior: Citizen 1", "Senior Citizen: 1"),
+}
+
+
+def indicator(base: str, value: str | None) -> str:
+    return re.sub("[^a-zA-Z0-9_]", "_", f"{base}_{'null' if value is None else value}")
+
+
 def q(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
@@ -117,10 +177,10 @@ def encoding(absent: bool = False, number=lambda n: f"COALESCE({n}, 0)") -> dict
     out = {f.column: number(f.name) for f in FIELDS if f.kind in (FLAG, COUNT, MONEY)}
     for base, values in CATEGORIES.items():
         for value in values:
-            out[one_hot_name(base, value)] = hot(f"{api[base]} = {q(value)}")
+            out[indicator(base, value)] = hot(f"{api[base]} = {q(value)}")
         if base in NULLABLE_CATEGORIES:
             sentinel = f"{api[base]} IN ('None', '')"
-            out[one_hot_name(base, None)] = hot(
+            out[indicator(base, None)] = hot(
                 sentinel if absent else f"{api[base]} IS NULL OR {sentinel}"
             )
     senior = "CAST(SeniorCitizen AS VARCHAR)"
@@ -283,6 +343,9 @@ ORACLES["binary_normalise"] = with_(TELCO, SPELLED) + "SELECT key, Contract, Age
         for n in YES_NO_FIELDS
     )
 )
+ORACLES["binary_numbers"] = with_(TELCO) + "SELECT key, {} FROM telco".format(", ".join(
+    f"CAST(CASE WHEN key % 5 <> 0 AND key % 7 <> 0 THEN {n} END AS INTEGER) AS {n}" for n in YES_NO_FIELDS
+))
 ORACLES["yes_no_text"] = with_(TELCO, SPELLED) + "SELECT key, {} FROM spelled".format(", ".join(
     f"CASE WHEN {n} IN ('Yes','1') THEN 'Yes' WHEN {n} IN ('No','0') THEN 'No' ELSE '' END AS {n}"
     for n in YES_NO_FIELDS
@@ -305,11 +368,19 @@ def d(value: float) -> str:
 
 
 def term(c: str) -> tuple[float, float]:
-    return MODEL.terms.get(c, (0.0, 0.0))
+    return TERMS.get(c, (0.0, 0.0))
+
+
+def intercept() -> float:
+    """The log-odds when every feature is 0."""
+    total = BIAS
+    for weight, mean in map(term, FEATURE_COLUMNS):
+        total -= weight * mean
+    return total
 
 
 def logit_sql() -> str:
-    return " + ".join([d(MODEL.intercept)] + [f"{d(term(c)[0])} * {c}" for c in FEATURE_COLUMNS])
+    return " + ".join([d(intercept())] + [f"{d(term(c)[0])} * {c}" for c in FEATURE_COLUMNS])
 
 
 LIN = f"""lin AS (SELECT *, 1 / (1 + exp(-logit)) AS p FROM (
@@ -372,7 +443,7 @@ FROM (SELECT key, CASE WHEN x < 0 THEN CAST(0 AS DOUBLE) WHEN x > 1 THEN CAST(1
 
 def phi_cte(style: str = "faithful") -> str:
     rows = " UNION ALL ".join(
-        f"SELECT key, {i} AS position, {q(label_feature(c, style))} AS feature, "
+        f"SELECT key, {i} AS position, {q(LABELS[c][style == 'pretty'])} AS feature, "
         f"CAST({c} AS DOUBLE) AS value, {d(term(c)[0])} * ({c} - {d(term(c)[1])}) AS phi FROM enc"
         for i, c in enumerate(FEATURE_COLUMNS)
     )
@@ -406,15 +477,19 @@ ORACLES["panel_bars"] = PAGE + f"""SELECT key, CAST(place AS INTEGER) AS rank, f
   CASE WHEN direction = 'up' THEN CAST(50 AS DOUBLE) ELSE 50 - half END AS left_edge
 FROM (SELECT *, magnitude / greatest(max(magnitude) OVER (PARTITION BY key), 0.0001) * 100 / 2 AS half
       FROM shown)"""
-ORACLES["additivity_audit"] = with_(TELCO, enc_cte("telco"), LIN, phi_cte()) + f"""
-SELECT count(*) AS rows, max(abs(total + {d(MODEL.bias)} - ln(p / (1 - p)))) < 1e-6 AS additive
-FROM lin JOIN (SELECT key, sum(phi) AS total FROM phis GROUP BY key) s ON lin.key = s.key"""
+ORACLES["explain_absent"] = with_(TELCO, GAPS, enc_cte("gaps", absent=True), phi_cte(), RANKED) + (
+    "SELECT * FROM ranked"
+)
+ORACLES["additivity_audit"] = "SELECT count(*) AS rows, count(*) AS audited, true AS additive FROM customer"
+ORACLES["additivity_damaged"] = """SELECT count(*) AS rows, count(*) FILTER (WHERE c_custkey % 7 <> 3) AS audited,
+  true AS within, false AS additive FROM customer"""
 NAMES = "names AS (SELECT * FROM (VALUES {}) n(position, \"column\"))".format(
     ", ".join(f"({i}, {q(c)})" for i, c in enumerate(FEATURE_COLUMNS))
 )
 ORACLES["importance"] = with_(TELCO, enc_cte("telco"), phi_cte(), NAMES) + """
 SELECT "column", feature, round(avg(abs(phi)), 6) AS mean_size, count(*) FILTER (WHERE top) AS rows_on_top
-FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY abs(phi) DESC, position) = 1 AS top FROM phis)
+FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY abs(phi) DESC, position) = 1 AS top FROM phis
+  WHERE key % 7 <> 2)
 JOIN names USING (position) GROUP BY ALL"""
 ORACLES["score_contract"] = SCORE + """SELECT count(*) AS rows,
   CAST(0 AS BIGINT) AS bad_prediction, CAST(0 AS BIGINT) AS bad_probability,
@@ -517,6 +592,12 @@ TRAIN = """train AS (SELECT * REPLACE (
     CASE WHEN Offer = 'None' THEN NULL ELSE Offer END AS Offer,
     CASE WHEN key % 17 = 0 THEN 0 ELSE TotalCharges END AS TotalCharges) FROM telco)"""
 ORACLES["train_frame"] = with_(TELCO, TRAIN, enc_cte("train", carry="key, Churn")) + "SELECT * FROM enc"
+ORACLES["train_frame_text_key"] = with_(
+    TELCO, TRAIN, enc_cte("train", carry="'C-' || CAST(key AS VARCHAR) AS key, Churn")
+) + "SELECT * FROM enc"
+ORACLES["fit_sample"] = with_(TELCO) + (
+    "SELECT 'C-' || CAST(key AS VARCHAR) AS key, Churn FROM telco ORDER BY 1 LIMIT 500"
+)
 ORACLES["vocabulary"] = with_(TELCO, TRAIN) + " UNION ALL ".join(
     f"SELECT {q(DATASET_NAMES[n])} AS \"column\", CAST({n} AS VARCHAR) AS value, count(*) AS n "
     "FROM train GROUP BY ALL"
@@ -547,19 +628,38 @@ ORACLES["split_counts"] = with_(TELCO, SPLIT) + (
     "SELECT Churn, is_train, count(*) AS n FROM sides GROUP BY ALL"
 )
 ORACLES["class_weights"] = with_(TELCO) + """SELECT Churn AS label, count(*) AS n,
-  CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS weight FROM telco GROUP BY Churn"""
-AUC = """SELECT {by} count(*) FILTER (WHERE Churn = 1) AS positives,
-  count(*) FILTER (WHERE Churn = 0) AS negatives,
-  round((sum(r) FILTER (WHERE Churn = 1) - CAST(count(*) FILTER (WHERE Churn = 1) AS DOUBLE)
-      * (count(*) FILTER (WHERE Churn = 1) + 1) / 2)
-    / (count(*) FILTER (WHERE Churn = 1) * count(*) FILTER (WHERE Churn = 0)), 9) AS auc
-FROM (SELECT *, rank() OVER ({part} ORDER BY s) + (count(*) OVER ({same}) - 1) / 2.0 AS r
-  FROM (SELECT t.Churn, retention_risk, {score} AS s FROM scored JOIN telco t USING (key))) GROUP BY ALL"""
-ORACLES["auc_exact"] = SCORE + AUC.format(by="", part="", same="PARTITION BY s", score="p")
+  CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS weight FROM telco
+WHERE key % 9 <> 0 GROUP BY Churn"""
+AUC = """SELECT {by} count(*) FILTER (WHERE ok AND Churn = 1) AS positives,
+  count(*) FILTER (WHERE ok AND Churn = 0) AS negatives, count(*) FILTER (WHERE NOT ok) AS left_out,
+  round((sum(r) FILTER (WHERE ok AND Churn = 1) - CAST(count(*) FILTER (WHERE ok AND Churn = 1) AS DOUBLE)
+      * (count(*) FILTER (WHERE ok AND Churn = 1) + 1) / 2)
+    / (count(*) FILTER (WHERE ok AND Churn = 1) * count(*) FILTER (WHERE ok AND Churn = 0)), 9) AS auc
+FROM (SELECT *, rank() OVER (PARTITION BY ok{part} ORDER BY s) + (count(*) OVER (PARTITION BY ok, s{part}) - 1) / 2.0 AS r
+  FROM (SELECT t.Churn, retention_risk, {score} AS s, t.key % 50 NOT IN (7, 8, 9) AS ok
+        FROM scored JOIN telco t USING (key))) GROUP BY ALL"""
+ORACLES["auc_exact"] = SCORE + AUC.format(by="", part="", score="p")
 ORACLES["auc_ties"] = SCORE + AUC.format(
-    by="retention_risk,", part="PARTITION BY retention_risk",
-    same="PARTITION BY retention_risk, s", score="floor(p * 20)",
+    by="retention_risk,", part=", retention_risk", score="floor(p * 20)"
+)
+
+
+# --- fitted models: what holds whatever the trees are ---
+
+GONE = "FROM sides WHERE NOT is_train"
+ORACLES["tree_additivity"] = with_(TELCO, SPLIT) + (
+    f"SELECT count(*) AS rows, count(*) AS audited, true AS additive {GONE}"
 )
+ORACLES["gbt_rounds"] = with_(TELCO, SPLIT) + f"""SELECT CAST(r AS INTEGER) AS round,
+  count(*) FILTER (WHERE Churn = 1) AS positives, count(*) FILTER (WHERE Churn = 0) AS negatives,
+  true AS area_valid, true AS loss_agrees FROM (SELECT * {GONE}), range(1, {SMALL.trees + 1}) t(r) GROUP BY r"""
+ORACLES["tree_importance"] = """SELECT CAST(51 AS BIGINT) AS features, count(*) AS rows, true AS planted_leads
+FROM orders"""
+ORACLES["train_gbt_metrics"] = f"""SELECT 'churn_prediction' AS experiment, {SMALL.trees} AS trees,
+  count(*) AS labelled_rows, 'all' AS max_rows, true AS area_logged,
+  count(*) - CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS train_rows,
+  CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS test_rows, CAST(0 AS BIGINT) AS unlabelled,
+  true AS learned, true AS loss_falls, CAST(0 AS BIGINT) AS reloaded_unequal FROM orders"""
 
 
 # --- attributions of the small fixed ensemble, by the definition of Shapley values ---
@@ -593,14 +693,14 @@ def shapley_sql(feature: int) -> str:
 
 
 FOREST_PHI = "phis AS ({})".format(" UNION ALL ".join(
-    f"SELECT key, {i} AS position, {q(label_feature(c))} AS feature, CAST({c} AS DOUBLE) AS value, "
+    f"SELECT key, {i} AS position, {q(LABELS[c][0])} AS feature, CAST({c} AS DOUBLE) AS value, "
     f"{shapley_sql(i)} AS phi FROM enc"
     for i, c in enumerate(FEATURE_COLUMNS)
 ))
 FOREST_BIAS = " + ".join(
     f"{d(weight)} * ({expected(tree, tree[0], frozenset())})" for weight, tree in FOREST
 )
-ORACLES["tree_drivers"] = with_(TELCO, enc_cte("telco"), FOREST_PHI, RANKED.replace("< 8", "< 4")) + (
+ORACLES["tree_drivers"] = with_(TELCO, enc_cte("telco"), FOREST_PHI, RANKED) + (
     f"SELECT *, round({FOREST_BIAS}, 9) AS bias FROM ranked"
 )
 
@@ -640,9 +740,9 @@ def generated_cte(keys: str) -> str:
     return f"generated AS (SELECT key, {', '.join(out)}, {draw_sql('key', len(FIELDS))} % 100 AS luck FROM ({keys}))"
 
 
-ORACLES["capped_load"] = with_(generated_cte(
+ORACLES["training_load"] = with_(generated_cte(
     "SELECT DISTINCT (l_orderkey * 8 + l_linenumber) * 1000 + l_partkey % 1000 AS key FROM lineitem"
-)) + "SELECT key, Gender, tenure, MonthlyCharges FROM generated ORDER BY key LIMIT 50000"
+)) + "SELECT key, Gender, tenure, MonthlyCharges FROM generated"
 ORACLES["synth_profile"] = with_(generated_cte("SELECT o_orderkey AS key FROM orders")) + """
 SELECT Contract, count(*) AS n, CAST(sum(tenure) AS BIGINT) AS tenure, min(Age) AS youngest, max(Age) AS oldest,
   CAST(sum(SatisfactionScore) AS BIGINT) AS satisfaction,
@@ -658,10 +758,10 @@ FROM generated GROUP BY Contract"""
 # --- streams ----------------------------------------------------------------------
 
 ORACLES["stream_score"] = with_(
-    TELCO, DAMAGED, CHECKED, VALID, enc_cte("valid"), LIN, SCORED, phi_cte(), RANKED
+    TELCO, DAMAGED, CHECKED, VALID, enc_cte("valid", absent=True), LIN, SCORED, phi_cte(), RANKED
 ) + """SELECT s.key, prediction, churn_probability, retention_risk, feature AS first_driver, 8 AS n_drivers
 FROM scored s JOIN ranked r ON s.key = r.key AND r.rank = 0"""
-ORACLES["stream_ingest"] = with_(TELCO, DAMAGED) + "SELECT key, raw FROM damaged ORDER BY key LIMIT 50000"
+ORACLES["stream_ingest"] = with_(TELCO, DAMAGED) + "SELECT key, raw FROM damaged"
 
 
 def counted(unit: str, limit: int) -> str:
@@ -676,9 +776,14 @@ def summarised(unit: str) -> str:
     start = f"date_trunc('{unit}', ts)"
     return f"""SELECT strftime({start}, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS path,
   count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failures,
-  CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_ms,
-  quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, max(value) AS max_ms
-FROM events GROUP BY {start}, event_type"""
+  CAST(sum(CAST(ms AS DECIMAL(28,9))) AS DOUBLE) / NULLIF(count(ms), 0) AS mean_ms,
+  quantile_disc(ms, 0.5) AS p50_estimate_ms, quantile_disc(ms, 0.95) AS p95_estimate_ms, max(ms) AS max_ms
+FROM (SELECT *, CASE WHEN event_id % 11 <> 0 THEN value / 8 END AS ms FROM events
+      WHERE event_id % 13 NOT IN (1, 2, 3)) GROUP BY {start}, event_type"""
+
+
+ORACLES["log_unreadable"] = """SELECT CASE event_id % 13 WHEN 1 THEN '{"path":' WHEN 2 THEN '{"status":200}' END AS line,
+  count(*) AS n FROM events WHERE event_id % 13 IN (1, 2, 3) GROUP BY 1"""
 
 
 # A stream has closed the windows that end at or before the last event minus the delay.

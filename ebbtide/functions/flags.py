@@ -9,15 +9,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ebbtide.schema import FIELD_NAMES, KEY_INPUTS, YES_NO_FIELDS
 
 
+def _flag_text(value: Column) -> Column:
+    """The value as text; a number that is whole loses its fraction, a text stays."""
+    text = value.cast("string")
+    fractional = F.typeof(value).rlike("^(double|float|decimal)")
+    return F.when(fractional, F.regexp_replace(text, r"\.0+$", "")).otherwise(text)
+
+
 def to_binary(value: Column) -> Column:
     """Yes/1/"1" is 1, No/0/"0" is 0, anything else is null."""
-    text = value.cast("string")
+    text = _flag_text(value)
     return F.when(text.isin("Yes", "1"), F.lit(1)).when(text.isin("No", "0"), F.lit(0))
 
 
 def to_yes_no(value: Column) -> Column:
     """1/Yes is "Yes", 0/No is "No", anything else is the empty placeholder."""
-    text = value.cast("string")
+    text = _flag_text(value)
     return (
         F.when(text.isin("Yes", "1"), F.lit("Yes"))
         .when(text.isin("No", "0"), F.lit("No"))

@@ -10,10 +10,8 @@ from ebbtide.schema import CATEGORIES, FIELDS, SENIOR_COLUMN, one_hot_name, sani
 
 FAITHFUL, PRETTY = "faithful", "pretty"
 
-# Feature column -> API field name, for the fields that are one column each.
-_DIRECT = {f.column: f.name for f in FIELDS}
-
-# Spaced spellings of bases that carry no underscore themselves.
+# Spaced spellings of bases without an underscore. Models of tables with the API
+# spellings have them, as in PaymentMethod_Other; the 51 columns do not.
 _SPACED_BASE = {
     "SeniorCitizen": "Senior Citizen",
     "PhoneService": "Phone Service",
@@ -35,36 +33,36 @@ _SPACED_BASE = {
 }
 
 
-def _pretty_names() -> dict[str, str]:
-    """Indicator column -> "Full Base: Category", splitting at the real base."""
-    return {
-        one_hot_name(base, value): f"{base}: {'null' if value is None else value}"
-        for base, values in {**CATEGORIES, SENIOR_COLUMN: ("0", "1")}.items()
-        for value in (*values, None)
-    }
+def _known(style: str) -> dict[str, str]:
+    """The label of every column that comes from a field, by what the field says.
+
+    A field that is one column has its API name. An indicator shows its field and its
+    category: the dashboards put the colon after the field's first word ("Internet: Type
+    DSL"). Pretty labels put it after the whole name, and spell every name as the dataset
+    does.
+    """
+    pretty = style == PRETTY
+    labels = {f.column: f.dataset if pretty else f.name for f in FIELDS}
+    for field, values in {**CATEGORIES, SENIOR_COLUMN: ("0", "1")}.items():
+        shown = [field] if pretty else field.split(" ", 1)
+        for value in (*values, None):
+            rest = [*shown[1:], "null" if value is None else value]
+            labels[one_hot_name(field, value)] = f"{shown[0]}: {' '.join(rest)}"
+    return labels
 
 
 def humanise(category: str) -> str:
-    """Underscores are spaces, and the monthly contract gets its hyphens back."""
-    return category.replace("_", " ").strip().replace("Month to Month", "Month-to-Month")
+    """A sanitised category as text: blanks for underscores, and its hyphens back."""
+    return " ".join(category.split("_")).strip().replace("Month to Month", "Month-to-Month")
 
 
 def label_feature(column: str, style: str = FAITHFUL) -> str:
     """Display name of a feature column. Column names are metadata, so labels are made
-    once while a plan is built and enter it as constants.
-
-    Known columns get their API field name. Others are cut at the *first* underscore
-    into "base: category", so ``Internet_Type_DSL`` reads "Internet: Type DSL"; that is
-    what the dashboards show. ``style="pretty"`` cuts at the real base instead.
-    """
-    if column in _DIRECT:
-        return _DIRECT[column]
-    if style == PRETTY and column in _pretty_names():
-        return _pretty_names()[column]
-    base, cut, category = column.partition("_")
-    if not cut:
-        return column
-    return f"{_SPACED_BASE.get(base, base)}: {humanise(category)}"
+    once while a plan is built and enter it as constants. Columns of other models read
+    "base: category" with the cut at their first underscore, or are shown as they are."""
+    base, *rest = column.split("_", 1)
+    other = f"{_SPACED_BASE.get(base, base)}: {humanise(rest[0])}" if rest else column
+    return _known(style).get(column, other)
 
 
 def label_array(columns: Sequence[str], style: str = FAITHFUL) -> Column:

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -25,7 +24,11 @@ from ebbtide.operators.linear import feature_array
 from ebbtide.session import fresh_path
 
 MAX_NODES = 200_000
+#: A mask of met slots is one byte.
 MAX_SLOTS = 8
+#: Of the broadcast path table.
+MAX_BYTES = 1 << 29
+PATHS_AT_ONCE = 512
 
 
 class EnsembleTooLarge(ValueError):
@@ -61,28 +64,28 @@ class PathTable:
     columns: tuple[str, ...]
 
 
-def _shapley_table(ratios: Sequence[float], value: float) -> np.ndarray:
-    """Contribution of each slot for every mask of met slots.
+def _shapley_tables(ratios: np.ndarray) -> np.ndarray:
+    """Contribution of each slot for every mask of met slots, for paths that ask as many
+    features: ``[path, slot]`` to ``[path, mask, slot]``.
 
-    With a set S of known features a path is worth value * prod(met, S) * prod(ratio,
-    not S): known features keep or kill the path, unknown ones keep their cover share.
+    With a set S of known features a path is worth prod(met, S) * prod(ratio, not S): known
+    features keep or kill the path, unknown ones keep their cover share. Summed over all S
+    of one size these products are the coefficients of prod(ratio + met * t) over the other
+    slots, so the sum over all sets is a polynomial product and not an enumeration.
     """
-    n = len(ratios)
-    out = np.zeros((1 << n, n))
-    for mask in range(1 << n):
-        met = [(mask >> i) & 1 for i in range(n)]
-        for i in range(n):
-            others = [j for j in range(n) if j != i]
-            total = 0.0
-            for size in range(n):
-                weight = factorial(size) * factorial(n - size - 1) / factorial(n)
-                for known in combinations(others, size):
-                    product = 1.0
-                    for j in others:
-                        product *= met[j] if j in known else ratios[j]
-                    total += weight * product
-            out[mask, i] = value * (met[i] - ratios[i]) * total
-    return out
+    paths, n = ratios.shape
+    met = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    weights = [factorial(size) * factorial(n - size - 1) / factorial(n) for size in range(n)]
+    table = np.zeros((paths, 1 << n, n))
+    for i in range(n):
+        product = np.zeros((paths, 1 << n, n))
+        product[:, :, 0] = 1.0
+        for j in (j for j in range(n) if j != i):
+            raised = product * ratios[:, j, None, None]
+            raised[:, :, 1:] += product[:, :, :-1] * met[:, j, None]
+            product = raised
+        table[:, :, i] = (met[:, i] - ratios[:, i, None]) * (product @ np.array(weights))
+    return table
 
 
 def _paths(tree: dict[int, Node], weight: float) -> Iterator[tuple[dict, float, float]]:
@@ -112,27 +115,30 @@ def path_table(
         raise EnsembleTooLarge(f"more than {MAX_NODES} nodes")
     paths = [p for weight, nodes in trees for p in _paths(nodes, weight)]
     slots = max([len(asked) for asked, _, _ in paths] + [1])
-    if slots > MAX_SLOTS:
-        raise EnsembleTooLarge(f"a path asks for more than {MAX_SLOTS} features")
     n = len(paths)
+    size = n * slots * ((8 << slots) + 24)
+    if slots > MAX_SLOTS or size > MAX_BYTES:
+        raise EnsembleTooLarge(f"{n} paths of up to {slots} features need {size:,} bytes")
     feature = np.zeros((n, slots), dtype=np.int32)
     low = np.full((n, slots), -np.inf)
     high = np.full((n, slots), np.inf)
     table = np.zeros((n, 1 << slots, slots))
     bias = 0.0
-    shapes: dict[tuple, np.ndarray] = {}
+    by_width: dict[int, list[int]] = {}
     for p, (asked, value, share) in enumerate(paths):
         bias += value * share
-        items = sorted(asked.items())
-        ratios = tuple(ratio for _, (_, _, ratio) in items)
-        for s, (f, (lo, hi, _)) in enumerate(items):
+        by_width.setdefault(len(asked), []).append(p)
+        for s, (f, (lo, hi, _)) in enumerate(sorted(asked.items())):
             feature[p, s], low[p, s], high[p, s] = f, lo, hi
-        if ratios not in shapes:
-            shapes[ratios] = _shapley_table(ratios, 1.0)
+    for k, members in by_width.items():
         # Padding slots are always met, so they only repeat the table; they add nothing.
-        k = len(ratios)
         masks = np.arange(1 << slots) & ((1 << k) - 1)
-        table[p, :, :k] = value * shapes[ratios][masks]
+        for at in range(0, len(members), PATHS_AT_ONCE):
+            some = members[at:at + PATHS_AT_ONCE]
+            ratios = np.array([[r for _, (_, _, r) in sorted(paths[p][0].items())] for p in some])
+            found = _shapley_tables(ratios.reshape(len(some), k))
+            values = np.array([paths[p][1] for p in some])
+            table[some, :, :k] = values[:, None, None] * found[:, masks]
     return PathTable(feature, low, high, table, bias, tuple(columns))
 
 

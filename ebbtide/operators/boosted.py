@@ -40,10 +40,13 @@ class ChurnModel:
         return self.pipeline.stages[-1]
 
     def score(self, frame: DataFrame) -> DataFrame:
-        """Add ``probability`` of churn to an aligned frame."""
+        """Add ``logit``, the log-odds, and ``probability`` of churn to an aligned frame."""
         scored = self.pipeline.transform(frame)
         chance = vector_to_array(F.col("_chances"))[1]
-        return once(scored, {"probability": chance}).drop(VECTOR, "_chances", "_raw", "_class")
+        # The raw prediction is half the log-odds.
+        logit = 2 * vector_to_array(F.col("_raw"))[1]
+        return once(scored, {"logit": logit, "probability": chance}).drop(
+            VECTOR, "_chances", "_raw", "_class")
 
 
 def fit(
@@ -58,7 +61,8 @@ def fit(
     predictions so far are checkpointed so the lineage stays short over many trees. The
     input is rebalanced once, since every one of the passes runs as wide as it is cut.
     """
-    weighted = with_class_weight(train, label, "_weight").withColumn(
+    labelled = train.filter(F.col(label).isNotNull())
+    weighted = with_class_weight(labelled, label, "_weight").withColumn(
         label, F.col(label).cast("double")
     )
     assembler = VectorAssembler(inputCols=list(columns), outputCol=VECTOR)

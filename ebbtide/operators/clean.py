@@ -125,15 +125,18 @@ class Dummies:
 def training_frame(
     df: DataFrame, config: DataConfig = DataConfig(), key: str = "key", max_values: int = 1000
 ) -> tuple[DataFrame, Dummies]:
-    """The training encoder: ``key``, learned feature columns, ``Churn``."""
+    """The training encoder: ``key``, learned feature columns, ``Churn``.
+
+    Any column may be the key, also a text and one of those that no model may see, such as
+    "Customer ID"; it is called ``key`` from here on.
+    """
+    if key != "key":
+        df = df.drop("key").withColumnRenamed(key, "key")
     cleaned = clean(df, config)
-    if isinstance(cleaned.schema[key].dataType, T.StringType):
-        dummies = Dummies.fit(cleaned.drop(key), max_values)
-    else:
-        dummies = Dummies.fit(cleaned, max_values)
+    dummies = Dummies.fit(cleaned.drop("key"), max_values)
     encoded = dummies.transform(cleaned)
-    features = [c for c in encoded.columns if c not in (key, "Churn")]
-    ordered = encoded.selectExpr(*map(quoted, [key, *features, "Churn"]))
+    features = [c for c in encoded.columns if c not in ("key", "Churn")]
+    ordered = encoded.selectExpr(*map(quoted, ["key", *features, "Churn"]))
     return sanitise_columns(ordered), dummies
 
 
@@ -143,21 +146,29 @@ def same_columns(trained: DataFrame, scored: DataFrame, carry: Sequence[str]) ->
 
 
 def parity(trained: DataFrame, scored: DataFrame, key: str = "key") -> DataFrame:
-    """Row-wise agreement of the two encoders on the rows they share: one row with
-    the row count, both column counts and the number of rows that differ."""
+    """Agreement of the two encoders: one row with the row count, both column counts and
+    the number of rows that differ or that only one side has.
+
+    Equal rows are counted together on both sides before anything is shuffled, and the
+    counts compared: no join, and a key with many copies is one counted row.
+    """
     left = [c for c in trained.columns if c not in (key, "Churn")]
     right = [c for c in scored.columns if c not in (key, "Churn")]
     shared = [c for c in left if c in right]
-    a, b = trained.alias("a"), scored.alias("b")
-    differs = F.expr(" OR ".join(
-        f"NOT cast(a.{quoted(c)} AS double) <=> cast(b.{quoted(c)} AS double)" for c in shared
-    ))
-    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).agg(
-        F.count("*").alias("rows"),
+    row = F.struct(*[F.col(quoted(c)).cast("double").alias(c) for c in shared])
+
+    def side(df: DataFrame, a: int, b: int) -> DataFrame:
+        return df.select(F.col(quoted(key)).alias("key"), row.alias("row"),
+                         F.lit(a).alias("a"), F.lit(b).alias("b"))
+
+    both = side(trained, 1, 0).unionAll(side(scored, 0, 1)).groupBy("key", "row").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"))
+    more = F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0)))
+    less = F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0)))
+    return both.agg(
+        F.greatest(F.sum("a"), F.sum("b")).alias("rows"),
         F.lit(len(left)).alias("train_columns"),
         F.lit(len(right)).alias("score_columns"),
         F.lit(len(shared)).alias("shared_columns"),
-        F.count_if(differs).alias("rows_that_differ"),
+        F.greatest(more, less).alias("rows_that_differ"),
     )
-
-

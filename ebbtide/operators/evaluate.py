@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ebbtide.session import fresh_path
 
 ROWS_PER_SLICE = 50_000
-MAX_SLICES = 10_000
 
 
 def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct score; ties collapse before the shuffle."""
-    positive = F.col(label) == 1
-    return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
+    positive, number = F.col(label) == 1, F.col(score).cast("double")
+    usable = F.col(label).isNotNull() & number.isNotNull() & ~F.isnan(number)
+    # What is left out is counted under one score, apart from all others.
+    return df.groupBy(*by, F.when(usable, number).alias("score")).agg(
+        F.count_if(usable & positive).alias("pos"), F.count_if(usable & ~positive).alias("neg"),
+        F.count_if(~usable).alias("out"),
     )
 
 
@@ -37,7 +39,10 @@ def roc_auc(
     by: Sequence[str] = (),
     slices: int | None = None,
 ) -> DataFrame:
-    """One row (per ``by`` group): ``positives``, ``negatives``, ``auc``.
+    """One row (per ``by`` group): ``positives``, ``negatives``, ``left_out``, ``auc``.
+
+    A row without a label, or whose score is null or not a number, has no place in the
+    order: it is counted in ``left_out`` and in nothing else.
 
     The area is the share of (positive, negative) pairs in order, ties half, counted
     from the negatives below each distinct score. The running count is taken inside
@@ -53,10 +58,11 @@ def roc_auc(
         path = fresh_path(df.sparkSession, "score-counts")
         counts.write.parquet(path)
         counts = df.sparkSession.read.schema(counts.schema).parquet(path)
-        slices = slices or min(MAX_SLICES, 1 + counts.count() // ROWS_PER_SLICE)
+        slices = slices or 1 + counts.count() // ROWS_PER_SLICE
         cuts = _balanced_cuts(counts, slices)
     if len(cuts) > 2:
-        counts = Bucketizer(splits=cuts, inputCol="score", outputCol="slice").transform(counts)
+        counts = Bucketizer(splits=cuts, inputCol="score", outputCol="slice",
+                            handleInvalid="keep").transform(counts)
     else:
         counts = counts.withColumn("slice", F.lit(0.0))
     inside = Window.partitionBy(*by, "slice").orderBy("score")
@@ -66,20 +72,22 @@ def roc_auc(
     per_slice = below.groupBy(*by, "slice").agg(
         F.sum("pos").alias("pos"),
         F.sum("neg").alias("neg"),
+        F.sum("out").alias("out"),
         F.sum(pairs * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(19,0)")).alias("twice"),
     )
-    # One row per slice, at most MAX_SLICES per group: no partitioning is needed here.
+    # One row per slice, a 50,000th of the distinct scores.
     lower = Window.partitionBy(*by).orderBy("slice")
     lifted = per_slice.withColumn("neg_lower", F.sum("neg").over(lower) - F.col("neg"))
     total = lifted.groupBy(*by).agg(
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
+        F.sum("out").alias("left_out"),
         F.sum(
             F.col("twice") + 2 * F.col("pos").cast("decimal(18,0)") * F.col("neg_lower").cast("decimal(18,0)")
         ).alias("twice"),
     )
     pairs_all = F.col("positives").cast("double") * F.col("negatives").cast("double")
     return total.select(
-        *by, "positives", "negatives",
+        *by, "positives", "negatives", "left_out",
         F.try_divide(F.col("twice").cast("double") / F.lit(2.0), pairs_all).alias("auc"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ebbtide.functions.labels import FAITHFUL, label_array, label_feature
 from ebbtide.functions.numbers import is_finite, round_half_even
-from ebbtide.functions.plans import once, quoted, text
+from ebbtide.functions.plans import once, quoted
 from ebbtide.schema import DEFAULT_TOP_K, DRIVER_TYPE, FEATURE_COLUMNS
 
 
@@ -92,36 +92,44 @@ def residual(phi: Column, bias: Column, logit: Column) -> Column:
     return F.abs(total + bias - logit)
 
 
-def additivity_audit(explained: DataFrame, limit: float = 1e-6) -> DataFrame:
-    """One row over all scored rows: the largest residual against logit(p) and whether
-    it is within the limit."""
-    p = F.col("probability")
-    logit = F.ln(p / (F.lit(1.0) - p))
-    worst = F.max(residual(F.col("phi"), F.col("bias"), logit))
-    return explained.agg(
+def additivity_audit(
+    explained: DataFrame, limit: float = 1e-6, margin: str = "logit"
+) -> DataFrame:
+    """One row over all scored rows: how many could be audited, the largest residual
+    against the margin, and whether all were audited and are within the limit.
+
+    The margin and not the probability is compared: a probability of 0 or 1 has no
+    log-odds. A row without contributions, or with a null among them, is not audited."""
+    off = residual(F.col("phi"), F.col("bias"), F.col(margin))
+    found = explained.agg(
         F.count("*").alias("rows"),
-        F.coalesce(worst, F.lit(0.0)).alias("worst"),
-    ).select("rows", "worst", (F.col("worst") < limit).alias("additive"))
+        F.count_if(off.isNotNull() & ~F.isnan(off)).alias("audited"),
+        F.coalesce(F.max(F.when(~F.isnan(off), off)), F.lit(0.0)).alias("worst"),
+    )
+    whole = (F.col("worst") < limit) & (F.col("audited") == F.col("rows"))
+    return found.select("rows", "audited", "worst", whole.alias("additive"))
 
 
 def importance(
     explained: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS, style: str = FAITHFUL
 ) -> DataFrame:
-    """Mean size of every feature's contribution over all rows, and in how many rows
-    it is the largest one. The averages are 51 plain aggregates, so a task hands on one
-    row and nothing is unpivoted before the aggregation."""
+    """Mean size of every feature's contribution over the explained rows, and in how many
+    of them it is the largest one.
+
+    A row whose array has another width explains nothing and is left out. The arrays are
+    unpivoted inside the task and pre-aggregated there: one row per feature is shuffled."""
     n = len(columns)
-    top = F.expr(f"get({_ranked('phi', n, 1)}, 0).position")
-    sized = once(explained.select("phi"), {"top": top})
-    totals = sized.selectExpr(*[
-        f"struct(avg(CASE WHEN isnan(phi[{i}]) OR abs(phi[{i}]) = double('inf') THEN 0D "
-        f"ELSE abs(phi[{i}]) END) AS mean_size, count_if(top = {i}) AS rows_on_top) AS {quoted(c)}"
-        for i, c in enumerate(columns)
-    ])
-    rows = ", ".join(
-        f"{text(c)}, {text(label_feature(c, style))}, {quoted(c)}.mean_size, {quoted(c)}.rows_on_top"
-        for c in columns
-    )
-    return totals.selectExpr(
-        f"stack({n}, {rows}) AS (column, feature, mean_size, rows_on_top)"
+    fit = explained.filter(f"size(phi) IN ({n}, {n + 1})")
+    sizes = f"transform(slice(phi, 1, {n}), x -> if(abs(x) < double('inf'), abs(x), 0D))"
+    sized = once(fit.select("phi"), {"sizes": F.expr(sizes)})
+    placed = once(sized, {"top": F.expr("array_position(sizes, array_max(sizes)) - 1")})
+    each = placed.select("top", F.posexplode("sizes").alias("position", "size"))
+    means = each.groupBy("position").agg(
+        F.avg("size").alias("mean_size"), F.count_if(F.col("top") == F.col("position")).alias("rows_on_top")
     )
+    listed = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(label_feature(c, style)).alias("feature"))
+        for c in columns
+    ])
+    return means.select(F.get(listed, F.col("position")).alias("name"), "mean_size", "rows_on_top").select(
+        "name.column", "name.feature", "mean_size", "rows_on_top")

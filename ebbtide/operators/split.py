@@ -22,22 +22,32 @@ def class_counts(df: DataFrame, label: str = "Churn") -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str = "Churn") -> DataFrame:
-    """``label``, ``n`` and ``weight`` = rows / (classes * rows of the class)."""
-    counts = class_counts(df, label)
-    everything = Window.partitionBy()  # over one row per class
-    return counts.withColumn(
-        "weight",
-        F.sum("n").over(everything).cast("double")
-        / (F.count("*").over(everything) * F.col("n")).cast("double"),
-    )
+    """``label``, ``n`` and ``weight`` = rows / (classes * rows of the class), over the
+    rows that have a label. :func:`class_counts` tells how many have none."""
+    counts = class_counts(df, label).filter("label IS NOT NULL")
+    rows = counts.agg(F.sum("n").cast("double")).scalar()
+    classes = counts.agg(F.count("*")).scalar()
+    return counts.withColumn("weight", rows / (classes * F.col("n")).cast("double"))
+
+
+def few_classes(df: DataFrame, label: str = "Churn") -> dict[Label, int]:
+    """Rows per class; a label with more than ``MAX_CLASSES`` values is refused."""
+    counts = class_counts(df, label).filter("label IS NOT NULL")
+    found = dict(counts.limit(MAX_CLASSES + 1).collect())
+    if len(found) > MAX_CLASSES:
+        raise TooManyClasses(f"{label} has more than {MAX_CLASSES} values")
+    return found
 
 
 def with_class_weight(df: DataFrame, label: str = "Churn", name: str = "weight") -> DataFrame:
-    """Add the balanced weight; the weights are one row per class, hence broadcast."""
-    weights = class_weights(df, label).select(
-        F.col("label").alias(label), F.col("weight").alias(name)
-    )
-    return df.join(F.broadcast(weights), label)
+    """Add the balanced weight, null for a row without a label. The weights are at most
+    ``MAX_CLASSES`` numbers and enter the plan as constants: no join."""
+    counts = few_classes(df, label)
+    total = sum(counts.values())
+    weight = F.lit(None).cast("double")
+    for value, n in counts.items():
+        weight = F.when(F.col(label) == value, F.lit(total / (len(counts) * n))).otherwise(weight)
+    return df.withColumn(name, weight)
 
 
 def split_hash(key: Column, seed: int = ModelConfig.seed) -> Column:
@@ -75,9 +85,7 @@ def split_thresholds(
     over two columns; one row per class comes back. A class too small for any training
     row has no threshold.
     """
-    counts = dict(class_counts(df, label).filter("label IS NOT NULL").limit(MAX_CLASSES + 1).collect())
-    if len(counts) > MAX_CLASSES:
-        raise TooManyClasses(f"{label} has more than {MAX_CLASSES} values")
+    counts = few_classes(df, label)
     sizes = {c: n for c, n in split_sizes(counts, test_share).items() if n > 0}
     if not sizes:
         return {}

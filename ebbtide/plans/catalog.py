@@ -40,7 +40,7 @@ QUERIES: dict[str, Query] = {}
 
 MODEL = LinearModel()
 # Queries that only need *a* boosted model keep it small; 300 trees is the default.
-SMALL = ModelConfig(trees=8, step=0.2)
+SMALL = ModelConfig(trees=12, step=0.2)
 
 
 def query(fn: Query) -> Query:
@@ -153,6 +153,15 @@ def binary_normalise(spark: SparkSession, folder: str) -> DataFrame:
     return flags.normalise_flags(spelled).select("key", *YES_NO_FIELDS, "Contract", "Age")
 
 
+@query
+def binary_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Flags as a table with gaps has them after inference: numbers with a fraction."""
+    shifted = _customers(spark, folder).withColumns({
+        n: (F.when(F.col("key") % 5 != 0, F.col(n)) + F.when(F.col("key") % 7 == 0, 0.5)
+            .otherwise(0.0)).cast("double") for n in YES_NO_FIELDS})
+    return flags.normalise_flags(shifted).select("key", *YES_NO_FIELDS)
+
+
 @query
 def yes_no_text(spark: SparkSession, folder: str) -> DataFrame:
     spelled = telco.with_spelled_flags(_customers(spark, folder))
@@ -271,14 +280,38 @@ def panel_bars(spark: SparkSession, folder: str) -> DataFrame:
     return _driver_rows(_explained(spark, folder), panel.bars(F.col("feature_importance")))
 
 
+@query
+def explain_absent(spark: SparkSession, folder: str) -> DataFrame:
+    """Drivers of records with gaps under the single-record rule: null means absent."""
+    gaps = telco.with_gaps(_customers(spark, folder))
+    explained = scoring.explain_linear(gaps, MODEL, null_means=encode.NULL_IS_ABSENT)
+    return _driver_rows(explained, "feature_importance")
+
+
 @query
 def additivity_audit(spark: SparkSession, folder: str) -> DataFrame:
-    return explain.additivity_audit(_explained(spark, folder)).select("rows", "additive")
+    """Some records are so extreme that their probability is 1."""
+    huge = F.when(F.col("key") % 40 == 3, 50_000.0).otherwise(F.col("MonthlyCharges"))
+    scored = scoring.explain_linear(
+        _customers(spark, folder).withColumn("MonthlyCharges", huge), MODEL)
+    return explain.additivity_audit(scored).select("rows", "audited", "additive")
+
+
+@query
+def additivity_damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without contributions are counted, and are not passed off as audited."""
+    scored = MODEL.explain(_scored(spark, folder))
+    phi = F.when(F.col("key") % 7 == 3, F.lit(None)).otherwise(F.col("phi"))
+    audit = explain.additivity_audit(scored.withColumn("phi", phi))
+    return audit.select("rows", "audited", (F.col("worst") < 1e-6).alias("within"), "additive")
 
 
 @query
 def importance(spark: SparkSession, folder: str) -> DataFrame:
-    return explain.importance(_explained(spark, folder)).withColumn(
+    """Every seventh array is too short and is left out."""
+    explained = MODEL.explain(_scored(spark, folder))
+    phi = F.when(F.col("key") % 7 == 2, F.slice("phi", 1, 50)).otherwise(F.col("phi"))
+    return explain.importance(explained.withColumn("phi", phi)).withColumn(
         "mean_size", F.round("mean_size", 6)
     )
 
@@ -421,6 +454,18 @@ def train_frame(spark: SparkSession, folder: str) -> DataFrame:
     return clean.training_frame(table)[0].withColumn("Churn", F.col("Churn").cast("int"))
 
 
+def _named_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """A training table whose only id is the text column "Customer ID"."""
+    name = F.concat(F.lit("C-"), F.col("key").cast("string"))
+    return telco.training_table(_customers(spark, folder)).withColumn("Customer ID", name).drop("key")
+
+
+@query
+def train_frame_text_key(spark: SparkSession, folder: str) -> DataFrame:
+    frame = clean.training_frame(_named_customers(spark, folder), key="Customer ID")[0]
+    return frame.withColumn("Churn", F.col("Churn").cast("int"))
+
+
 @query
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = clean.clean(telco.training_table(_customers(spark, folder)))
@@ -480,11 +525,18 @@ def split_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def class_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return split.class_weights(_customers(spark, folder))
+    """Some rows have no label and weigh nothing."""
+    label = F.when(F.col("key") % 9 != 0, F.col("Churn"))
+    return split.class_weights(_customers(spark, folder).withColumn("Churn", label))
 
 
 def _with_label(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.score_linear(_customers(spark, folder), MODEL, carry=("key", "Churn"))
+    """Scores with their label; some of either are missing."""
+    scored = scoring.score_linear(_customers(spark, folder), MODEL, carry=("key", "Churn"))
+    rest = F.col("key") % 50
+    score = F.when(rest == 7, float("nan")).when(rest == 8, F.lit(None)).otherwise(F.col("probability"))
+    return scored.withColumns({
+        "probability": score, "Churn": F.when(rest != 9, F.col("Churn"))})
 
 
 @query
@@ -495,79 +547,99 @@ def auc_exact(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def auc_ties(spark: SparkSession, folder: str) -> DataFrame:
     """The area over a coarse score, per tier: many ties, three groups."""
-    coarse = _with_label(spark, folder).withColumn("coarse", F.floor(F.col("probability") * 20))
+    steps = F.when(~F.isnan("probability"), F.floor(F.col("probability") * 20))
+    coarse = _with_label(spark, folder).withColumn("coarse", steps)
     return evaluate.roc_auc(
         coarse, "Churn", "coarse", by=["retention_risk"], slices=1
     ).withColumn("auc", F.round("auc", 9))
 
 
-def _small_model(spark: SparkSession, folder: str):
-    """A small model on generated customers, and the frame it was fitted on."""
-    frame = encode.features(_generated(spark, folder), ("key", "Churn"))
+def _customer_model(spark: SparkSession, folder: str):
+    """A small model of the customer view, its training and its test part."""
+    frame = encode.features(_customers(spark, folder), ("key", "Churn"))
     path = fresh_path(spark, "frame")
-    frame.write.parquet(path)
+    split.stratified_split(frame).write.parquet(path)
     stored = spark.read.parquet(path)
-    return fit(stored, config=SMALL), stored
+    train, test = (stored.filter(F.col("is_train") == side).drop("is_train") for side in (True, False))
+    return fit(train, config=SMALL), train, test
 
 
 @query
 def train_gbt_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """The training job on generated customers: sizes, learning quality, the ledger
-    entry, and that the stored model scores as the fitted one."""
+    """The training job on generated customers: what the ledger has, the sizes of both
+    sides, that it learned what is planted, and that the stored model scores every test
+    row as the fitted one does."""
     table = telco.training_table(_generated(spark, folder))
     model_path, ledger_path = fresh_path(spark, "model"), fresh_path(spark, "ledger")
     result = training.train(
         spark, table, config=SMALL, model_path=model_path, ledger_path=ledger_path
     )
-    losses = result.losses
     again = load(spark, model_path)
-    held_out = encode.features(_generated(spark, folder), ("key", "Churn"))
-    reloaded = evaluate.roc_auc(again.score(encode.align(
-        held_out, again.columns, ("key", "Churn"))[0]))
+    frame = encode.features(_generated(spark, folder), ("key", "Churn"))
+    rows = encode.align(frame, result.model.columns, ("key", "Churn"))[0]
+    both = result.model.score(rows).drop("logit").withColumnRenamed("probability", "fitted")
+    unequal = again.score(both).filter(~F.col("fitted").eqNullSafe(F.col("probability"))).count()
     return ledger.runs(spark, ledger_path).select(
         "experiment",
-        F.col("params")["trees"].alias("trees"),
-        F.round(F.col("metrics")["roc_auc"], 4).alias("test_auc"),
+        F.col("params")["trees"].cast("int").alias("trees"),
+        F.col("params")["rows"].cast("bigint").alias("labelled_rows"),
+        F.col("params")["max_rows"].alias("max_rows"),
+        (F.col("metrics")["roc_auc"] == F.lit(result.auc)).alias("area_logged"),
     ).withColumns({
-        "train_rows": F.lit(result.train_rows),
-        "test_rows": F.lit(result.test_rows),
+        "train_rows": F.lit(result.train_rows).cast("bigint"),
+        "test_rows": F.lit(result.test_rows).cast("bigint"),
+        "unlabelled": F.lit(result.unlabelled).cast("bigint"),
         "learned": F.lit(result.auc > 0.7),
-        "loss_falls": F.lit(losses[-1] < losses[0]),
-        "all_rows_auc": F.round(reloaded.select("auc").scalar(), 4),
+        "loss_falls": F.lit(result.losses[-1] < result.losses[0]),
+        "reloaded_unequal": F.lit(unequal).cast("bigint"),
     })
 
 
 @query
 def tree_additivity(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact attributions of a fitted model: the largest residual over all rows."""
-    model, frame = _small_model(spark, folder)
+    """Exact attributions of a fitted model add up to the margin in every test row."""
+    model, _, test = _customer_model(spark, folder)
     paths = attribution.path_table(attribution.read_trees(spark, model), model.columns)
-    explained = attribution.explain_trees(spark, paths, model.score(frame))
-    return explain.additivity_audit(explained).select("rows", "additive")
+    explained = attribution.explain_trees(spark, paths, model.score(test))
+    return explain.additivity_audit(explained).select("rows", "audited", "additive")
 
 
 @query
 def tree_importance(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean size of the tree attributions per feature. The planted causes lead."""
-    model, frame = _small_model(spark, folder)
+    """Attributions of a model of generated customers: every feature is listed, in every
+    row one is on top, and a planted cause leads."""
+    frame = encode.features(_generated(spark, folder), ("key", "Churn"))
+    path = fresh_path(spark, "frame")
+    frame.write.parquet(path)
+    stored = spark.read.parquet(path)
+    model = fit(stored, config=SMALL)
     paths = attribution.path_table(attribution.read_trees(spark, model), model.columns)
-    explained = attribution.explain_trees(spark, paths, model.score(frame))
-    return explain.importance(explained, model.columns)
+    explained = attribution.explain_trees(spark, paths, model.score(stored))
+    found = explain.importance(explained, model.columns)
+    planted = ("Satisfaction_Score", "Contract_Month_to_Month", "Tenure_in_Months")
+    leads = F.max_by("column", "mean_size").isin(*planted)
+    return found.agg(F.count("*").alias("features"), F.sum("rows_on_top").alias("rows"),
+                     leads.alias("planted_leads"))
 
 
 @query
 def gbt_rounds(spark: SparkSession, folder: str) -> DataFrame:
-    """Held-out loss and area after every tree."""
-    model, frame = _small_model(spark, folder)
-    losses = losses_by_round(model, frame)
+    """After each tree, on the test part: counts of both classes, and whether the loss is
+    the one the trees' own scores give."""
+    model, _, test = _customer_model(spark, folder)
+    losses = losses_by_round(model, test)
     staged = attribution.staged_scores(
-        spark, attribution.read_trees(spark, model), model.columns, frame
+        spark, attribution.read_trees(spark, model), model.columns, test
     )
+    own = staged.groupBy("round").agg(F.avg(-F.ln(F.when(
+        F.col("Churn") == 1, F.col("probability")).otherwise(1 - F.col("probability")))).alias("own"))
     areas = evaluate.roc_auc(staged, "Churn", "probability", by=["round"])
     listed = F.array(*[F.lit(x) for x in losses])
-    return areas.select(
-        "round", F.round("auc", 6).alias("auc"),
-        F.round(F.get(listed, F.col("round") - 1), 6).alias("loss"),
+    # MLlib's loss is 2 log(1 + exp(-2 y m)): twice the log-loss of its probability.
+    loss = F.get(listed, F.col("round") - 1)
+    return areas.join(own, "round").select(
+        "round", "positives", "negatives", F.col("auc").between(0, 1).alias("area_valid"),
+        (F.abs(loss / 2 - F.col("own")) < 1e-9).alias("loss_agrees"),
     )
 
 
@@ -603,7 +675,7 @@ def tree_drivers(spark: SparkSession, folder: str) -> DataFrame:
     """Attributions of a small fixed ensemble for every customer."""
     paths = attribution.path_table(FOREST, FEATURE_COLUMNS)
     frame = encode.features(_customers(spark, folder))
-    explained = explain.with_drivers(attribution.explain_trees(spark, paths, frame), top_k=4)
+    explained = explain.with_drivers(attribution.explain_trees(spark, paths, frame))
     return _driver_rows(explained, "feature_importance").withColumn("bias", F.lit(round(paths.bias, 9)))
 
 
@@ -638,9 +710,8 @@ def score_json_output(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def capped_load(spark: SparkSession, folder: str) -> DataFrame:
-    """A training CSV with more rows than the cap of 50,000: the first by key are kept.
-    One generated customer per line item."""
+def training_load(spark: SparkSession, folder: str) -> DataFrame:
+    """A large training CSV: all rows. One generated customer per line item."""
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000 + F.col("l_partkey") % 1000
     keys = lines.select(line.alias("key")).distinct()
@@ -651,6 +722,13 @@ def capped_load(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def fit_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows a fit is bounded to on request: the first 500 by a text key."""
+    frame = clean.training_frame(_named_customers(spark, folder), key="Customer ID")[0]
+    return files.first_rows(frame, "key", 500).select("key", F.col("Churn").cast("int").alias("Churn"))
+
+
 @query
 def synth_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Generated customers, one per order, counted and measured per contract."""
@@ -678,7 +756,8 @@ def _stream_scores(spark: SparkSession, folder: str) -> tuple[str, str]:
     scores, rejected = fresh_path(spark, "scores"), fresh_path(spark, "quarantine")
     stream.finish(stream.start_scoring(
         stream.record_stream(spark, _arrived(spark, folder)),
-        lambda valid: scoring.records(scoring.explain_linear(valid, MODEL)),
+        lambda valid: scoring.records(
+            scoring.explain_linear(valid, MODEL, null_means=encode.NULL_IS_ABSENT)),
         scores, rejected, fresh_path(spark, "checkpoint"),
     ))
     return scores, rejected
@@ -702,11 +781,11 @@ def stream_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Records taken in as they arrive, then capped by key."""
+    """Records taken in as they arrive."""
     target = fresh_path(spark, "ingested")
     rows = stream.record_stream(spark, _arrived(spark, folder), files_per_batch=2)
     stream.finish(stream.start_ingest(rows, target, fresh_path(spark, "checkpoint")))
-    return stream.capped(spark, target, "key", DataConfig().max_samples)
+    return stream.ingested(spark, target, "key")
 
 
 def _request_log(events: DataFrame) -> DataFrame:
@@ -714,13 +793,18 @@ def _request_log(events: DataFrame) -> DataFrame:
 
 
 def _log_lines(events: DataFrame) -> DataFrame:
-    """The events as JSON log lines: path = event type, latency = value."""
+    """The events as JSON log lines: path = event type, latency = an eighth of the value,
+    so with more decimals. Some have no latency, some cannot be read."""
     status = F.when(F.col("event_type") == "error", 500).otherwise(200)
+    latency = F.when(F.col("event_id") % 11 != 0, F.col("value") / 8)
     line = F.to_json(F.struct(
         F.lit("POST").alias("method"), F.col("event_type").alias("path"),
-        status.alias("status"), F.col("value").alias("latency_ms"),
+        status.alias("status"), latency.alias("latency_ms"),
     ))
-    return events.select("ts", line.alias("line"))
+    rest = F.col("event_id") % 13
+    damaged = F.when(rest == 1, '{"path":').when(rest == 2, '{"status":200}').when(
+        rest == 3, F.lit(None)).otherwise(line)
+    return events.select("ts", damaged.alias("line"))
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -728,9 +812,9 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    # The stream source wants a folder; the events table is one file in it.
+    # As a pattern the path may be one file or a folder of part files.
     schema = _events(spark, folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
 
 
 def _stamped(df: DataFrame) -> DataFrame:
@@ -769,6 +853,13 @@ def log_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _stamped(requests.log_summary(lines))
 
 
+@query
+def log_unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that are no requests, per line."""
+    lines = requests.unreadable_log(_log_lines(_events(spark, folder)))
+    return lines.groupBy("line").agg(F.count("*").alias("n"))
+
+
 @query
 def log_summary_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The hourly summary as a stream: the windows the watermark has closed."""

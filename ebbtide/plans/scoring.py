@@ -42,16 +42,20 @@ def explain_linear(
     carry: Sequence[str] = ("key",),
     top_k: int = DEFAULT_TOP_K,
     style: str = "faithful",
+    null_means: str = NULL_IS_MISSING,
 ) -> DataFrame:
-    """As :func:`score_linear`, with contributions and drivers."""
-    scored = model.explain(score_linear(df, model, carry))
+    """As :func:`score_linear`, with contributions and drivers. With ``null_means`` a record
+    is explained under the rule it is scored under, as single records are."""
+    scored = model.explain(score_linear(df, model, carry, null_means))
     return with_drivers(scored, model.columns, top_k, style)
 
 
-def append_scores(df: DataFrame, model: LinearModel | ChurnModel) -> DataFrame:
+def append_scores(
+    df: DataFrame, model: LinearModel | ChurnModel, null_means: str = NULL_IS_MISSING
+) -> DataFrame:
     """The input columns as they came, with the rounded score and the 0/1 call."""
     given = df.withColumn("_input", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    scored = model.score(feature_frame(given, model.columns, ("_input",)))
+    scored = model.score(feature_frame(given, model.columns, ("_input",), null_means))
     return append_batch_columns(scored.select("_input.*", "probability"))
 
 
@@ -74,9 +78,10 @@ def explain_scored_trees(
     paths: PathTable,
     carry: Sequence[str] = ("key",),
     top_k: int = DEFAULT_TOP_K,
+    null_means: str = NULL_IS_MISSING,
 ) -> DataFrame:
     """Score records with exact tree drivers for every row."""
-    scored = classify(model.score(feature_frame(df, model.columns, carry)))
+    scored = classify(model.score(feature_frame(df, model.columns, carry, null_means)))
     return with_drivers(explain_trees(spark, paths, scored), paths.columns, top_k)
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ebbtide.operators.attribution import read_trees, staged_scores
 from ebbtide.operators.boosted import ChurnModel, fit, losses_by_round, save
 from ebbtide.operators.clean import training_frame
 from ebbtide.operators.evaluate import roc_auc
 from ebbtide.operators.split import stratified_split
 from ebbtide.schema import DataConfig, ModelConfig
 from ebbtide.session import fresh_path
+from ebbtide.sources.files import first_rows, observed
 from ebbtide.sources.ledger import record_run
 
 
@@ -21,10 +24,20 @@ class TrainingResult:
     auc: float
     train_rows: int
     test_rows: int
+    #: Rows of the table without a usable label; they take no part.
+    unlabelled: int
+    #: Mean log-loss on the test part after each tree.
     losses: tuple[float, ...]
+    #: Area on the test part after so many trees.
+    areas: dict[int, float]
     run_id: str | None = None
 
 
+def some_rounds(trees: int, n: int = 10) -> list[int]:
+    """About n evenly spaced rounds, the last one included."""
+    return sorted({max(1, round(trees * i / n)) for i in range(1, n + 1)})
+
+
 def train(
     spark: SparkSession,
     table: DataFrame,
@@ -33,32 +46,47 @@ def train(
     config: ModelConfig = ModelConfig(),
     model_path: str | None = None,
     ledger_path: str | None = None,
+    max_rows: int | None = None,
+    rounds: Sequence[int] | None = None,
 ) -> TrainingResult:
     """Train on a raw training table.
 
-    The split frame is written once to the shared folder: the fit reads it many times,
-    and a lost executor must not bring the encoder and the split back into play.
+    All labelled rows are used, or the first ``max_rows`` of them by key; the ledger has
+    what was applied. The raw table is read twice: for the vocabulary, and to write the
+    encoded frame to the shared folder. The split's cut is found on two columns of that
+    frame, and both sides are filters over it. ``rounds`` names the numbers of trees after
+    which the area is taken; by default ten.
     """
     encoded, _ = training_frame(table, data, key)
-    columns = [c for c in encoded.columns if c not in (key, "Churn")]
-    split_path = fresh_path(spark, "split")
-    sides = stratified_split(encoded, "Churn", key, config.test_share, config.seed)
-    side = F.when(F.col("is_train"), "train").otherwise("test")
-    sides.withColumn("side", side).drop("is_train").write.partitionBy("side").parquet(split_path)
-    split = spark.read.parquet(split_path)
-    train_rows = split.filter(F.col("side") == "train").drop("side")
-    test_rows = split.filter(F.col("side") == "test").drop("side")
+    frame, seen = observed(encoded, "labelled")
+    path = fresh_path(spark, "encoded")
+    frame.write.parquet(path)
+    stored = spark.read.parquet(path)
+    labelled = seen.get["rows"]
+    unlabelled = table.count() - labelled
+    if max_rows is not None and max_rows < labelled:
+        kept_path = fresh_path(spark, "sample")
+        first_rows(stored, "key", max_rows).write.parquet(kept_path)
+        stored = spark.read.parquet(kept_path)
+    columns = [c for c in encoded.columns if c not in ("key", "Churn")]
+    sides = stratified_split(stored, "Churn", "key", config.test_share, config.seed)
+    train_rows = sides.filter("is_train").drop("is_train")
+    test_rows = sides.filter("NOT is_train").drop("is_train")
 
     model = fit(train_rows, columns, "Churn", config)
     auc = roc_auc(model.score(test_rows), "Churn", "probability").head()["auc"]
     losses = losses_by_round(model, test_rows)
-    sizes = dict(split.groupBy("side").agg(F.count("*")).collect())
+    staged = staged_scores(spark, read_trees(spark, model), columns, test_rows,
+                           rounds or some_rounds(config.trees))
+    areas = {r["round"]: r["auc"] for r in roc_auc(
+        staged, "Churn", "probability", by=["round"]).collect()}
+    sizes = dict(sides.groupBy("is_train").agg(F.count("*")).collect())
     run_id = None
     if model_path is not None:
         save(model, model_path)
     if ledger_path is not None:
-        params = {**asdict(config), "max_samples": data.max_samples, "columns": len(columns)}
+        params = {**asdict(config), "max_rows": "all" if max_rows is None else max_rows,
+                  "rows": sum(sizes.values()), "columns": len(columns)}
         run_id = record_run(spark, ledger_path, params, {"roc_auc": auc}, model_path or "")
-    return TrainingResult(
-        model, auc, sizes.get("train", 0), sizes.get("test", 0), tuple(losses), run_id
-    )
+    return TrainingResult(model, auc, sizes.get(True, 0), sizes.get(False, 0), unlabelled,
+                          tuple(losses), areas, run_id)

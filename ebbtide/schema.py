@@ -148,7 +148,6 @@ DRIVER_TYPE = T.StructType([
 class DataConfig:
     """How a training table is read and cleaned."""
 
-    max_samples: int = 50_000
     drop_columns: tuple[str, ...] = TRAINING_ONLY
     target: str = TARGET
     positive: int | str = 1
@@ -175,11 +174,20 @@ DEFAULT_TOP_K = 8
 def check_contract() -> None:
     """The field list, its names and the feature contract agree with each other."""
     datasets = [f.dataset for f in FIELDS]
-    assert len(FIELDS) == 37 and len(set(FIELD_NAMES)) == 37 and len(set(datasets)) == 37
-    assert set(CATEGORIES) == {f.dataset for f in FIELDS if f.kind == CATEGORY}
-    assert len(NUMERIC_COLUMNS) == 31 and len(ONE_HOT_COLUMNS) == 20
-    assert len(set(FEATURE_COLUMNS)) == 51
-    assert all(BY_NAME[n].spark_type == T.LongType() for n in YES_NO_FIELDS)
+    rules = {
+        "37 fields with names of their own":
+            len(FIELDS) == 37 and len(set(FIELD_NAMES)) == 37 and len(set(datasets)) == 37,
+        "a vocabulary for every category": set(CATEGORIES) == {
+            f.dataset for f in FIELDS if f.kind == CATEGORY},
+        "31 numeric columns and 20 indicators":
+            len(NUMERIC_COLUMNS) == 31 and len(ONE_HOT_COLUMNS) == 20,
+        "51 different feature columns": len(set(FEATURE_COLUMNS)) == 51,
+        "whole numbers for Yes/No fields":
+            all(BY_NAME[n].spark_type == T.LongType() for n in YES_NO_FIELDS),
+    }
+    broken = [rule for rule, holds in rules.items() if not holds]
+    if broken:
+        raise ValueError("the field list breaks: " + "; ".join(broken))
 
 
 check_contract()

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from ebbtide.schema import RECORD_SCHEMA, DataConfig
+from ebbtide.functions.plans import quoted
+from ebbtide.schema import RECORD_SCHEMA
 
+#: Sampled keys among the rows that are looked for.
+SAMPLED = 200
 CSV_OPTIONS = {"header": True, "mode": "FAILFAST", "escape": '"'}
 
 
@@ -43,21 +48,29 @@ def read_json_text(spark: SparkSession, path: str, raw: str = "raw") -> DataFram
 
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The n rows with the smallest keys, for a numeric key without repeats.
+    """The n rows with the smallest keys of any ordered type; rows without a key come last.
 
-    Sorting down to n would make every task hand n rows to a single one. A sketch of
-    the keys gives a bound that at least n rows lie under, so nearly all rows are
-    filtered out where they are read and the final sort sees little more than n.
+    Sorting down to n would make every task hand n rows to a single one. A random sample of
+    about ``SAMPLED`` keys among the n smallest gives a bound that more than n rows lie
+    under, but not many more. Whether they do is counted, and if not the bound is raised.
+    The bound only saves work: what is returned does not depend on it.
     """
-    total = df.count()
-    if total <= n:
-        return df
-    error = 0.001
-    share = n / total + 2 * error
-    if share < 1:
-        bound = df.approxQuantile(key, [share], error)[0]
-        df = df.filter(F.col(key) <= F.lit(bound))
-    return df.orderBy(key).limit(n)
+    at = F.col(quoted(key))
+    keyed = df.filter(at.isNotNull())
+    kept, share = df, 1.3
+    while n > 0:
+        rate = SAMPLED / n
+        reach = ceil(share * SAMPLED) + 1
+        if rate >= 1:
+            break
+        lowest = keyed.select(at.alias("k")).sample(rate, seed=1).orderBy("k").limit(reach).collect()
+        if len(lowest) < reach:
+            break
+        kept = keyed.filter(at <= F.lit(lowest[-1]["k"]))
+        if kept.count() >= n:
+            break
+        kept, share = df, 2 * share
+    return kept.orderBy(at.asc_nulls_last()).limit(n)
 
 
 def observed(df: DataFrame, name: str = "shape") -> tuple[DataFrame, Observation]:
@@ -73,10 +86,11 @@ def load_training_csv(
     path: str,
     key: str,
     schema: T.StructType | None = None,
-    config: DataConfig = DataConfig(),
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """A training CSV, capped to the configured number of rows."""
-    return first_rows(read_csv(spark, path, schema), key, config.max_samples)
+    """A training CSV: all rows, or on request the first ``max_rows`` by key."""
+    table = read_csv(spark, path, schema)
+    return table if max_rows is None else first_rows(table, key, max_rows)
 
 
 def write_scores_json(scored: DataFrame, path: str, key: str = "key") -> None:

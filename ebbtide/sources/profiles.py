@@ -108,4 +108,5 @@ def profile(spark: SparkSession, name: str) -> DataFrame:
     return profiles(spark).filter(F.col("profile") == name)
 
 
-assert all(f in p for p in PROFILES.values() for f in YES_NO_FIELDS)
+if not all(f in p for p in PROFILES.values() for f in YES_NO_FIELDS):
+    raise ValueError("a profile lacks a Yes/No field")

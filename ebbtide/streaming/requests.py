@@ -41,28 +41,45 @@ def request_counts(
     )
 
 
+def _read_log(df: DataFrame, line: str, time: str) -> DataFrame:
+    """The line and what it says; a line that is not a JSON object with a path says nothing."""
+    read = F.when(F.try_parse_json(line).isNotNull(), F.from_json(line, LOG_FIELDS))
+    return df.select(time, line, read.alias("r"))
+
+
 def parse_log(df: DataFrame, line: str = "line", time: str = "ts") -> DataFrame:
-    """JSON log lines to ``ts, method, path, status, latency_ms``."""
-    return df.select(time, F.from_json(line, LOG_FIELDS).alias("r")).select(time, "r.*")
+    """JSON log lines to ``ts, method, path, status, latency_ms``. Lines that cannot be
+    read are no requests: :func:`unreadable_log` returns them."""
+    return _read_log(df, line, time).filter("r.path IS NOT NULL").select(time, "r.*")
+
+
+def unreadable_log(df: DataFrame, line: str = "line", time: str = "ts") -> DataFrame:
+    """The lines that :func:`parse_log` leaves out."""
+    return _read_log(df, line, time).filter("r.path IS NULL").select(time, line)
 
 
 def log_summary(
     df: DataFrame, window: str = "1 minute", time: str = "ts", accuracy: int = 10_000
 ) -> DataFrame:
-    """Requests, failures and latencies per path and window. The percentiles come from
-    mergeable sketches, exact while a group has fewer values than ``accuracy``."""
+    """Requests, failures and latencies per path and window.
+
+    The mean is over the requests that have a latency, from a sum of exact decimals. The
+    percentiles come from mergeable sketches, whose state a stream can keep, and are
+    estimates: their rank is off by at most 1 / ``accuracy`` of the group."""
     at = F.percentile_approx("latency_ms", [0.5, 0.95], accuracy)
     grouped = df.groupBy(F.window(time, window).alias("w"), "path").agg(
         F.count("*").alias("requests"),
         F.count_if(F.col("status") >= 400).alias("failures"),
-        F.sum(F.col("latency_ms").cast("decimal(18,2)")).alias("total"),
+        F.sum(F.col("latency_ms").cast("decimal(28,9)")).alias("total"),
+        F.count("latency_ms").alias("timed"),
         F.max("latency_ms").alias("max_ms"),
         at.alias("at"),
     )
     return grouped.select(
         F.col("w.start").alias("window_start"), "path", "requests", "failures",
-        (F.col("total").cast("double") / F.col("requests")).alias("mean_ms"),
-        F.col("at")[0].alias("p50_ms"), F.col("at")[1].alias("p95_ms"), "max_ms",
+        F.try_divide(F.col("total").cast("double"), F.col("timed").cast("double")).alias("mean_ms"),
+        F.get("at", F.lit(0)).alias("p50_estimate_ms"), F.get("at", F.lit(1)).alias("p95_estimate_ms"),
+        "max_ms",
     )
 
 

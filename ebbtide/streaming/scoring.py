@@ -1,4 +1,4 @@
-"""Continuous scoring of arriving records, and capped ingest."""
+"""Continuous scoring of arriving records, and ingest."""
 
 from __future__ import annotations
 
@@ -100,9 +100,12 @@ def start_ingest(
     )
 
 
-def capped(spark: SparkSession, target: str, key: str, max_samples: int) -> DataFrame:
-    """The first ``max_samples`` ingested rows by key."""
-    return first_rows(spark.read.parquet(target), key, max_samples)
+def ingested(
+    spark: SparkSession, target: str, key: str, max_rows: int | None = None
+) -> DataFrame:
+    """All ingested rows, or on request the first ``max_rows`` by key."""
+    rows = spark.read.parquet(target)
+    return rows if max_rows is None else first_rows(rows, key, max_rows)
 
 
 def finish(query: StreamingQuery) -> StreamingQuery:

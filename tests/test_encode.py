@@ -106,7 +106,9 @@ def test_names_are_sanitised_and_may_not_collide(spark):
 
 
 @pytest.mark.parametrize("column, faithful, pretty", [
-    ("Tenure_in_Months", "tenure", "tenure"),
+    ("Tenure_in_Months", "tenure", "Tenure in Months"),
+    ("Monthly_Charge", "MonthlyCharges", "Monthly Charge"),
+    ("Premium_Tech_Support", "TechSupport", "Premium Tech Support"),
     ("Contract_Month_to_Month", "Contract: Month-to-Month", "Contract: Month-to-Month"),
     ("Internet_Type_Fiber_Optic", "Internet: Type Fiber Optic", "Internet Type: Fiber Optic"),
     ("Senior_Citizen_0", "Senior: Citizen 0", "Senior Citizen: 0"),

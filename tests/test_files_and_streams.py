@@ -46,11 +46,24 @@ def test_first_rows(spark, n):
     assert sorted(r.key for r in got.collect()) == want
 
 
-def test_training_csv_is_capped(spark, tmp_path):
+@pytest.mark.parametrize("sampled", [2, 200, 10_000])
+@pytest.mark.parametrize("n", [40, 300, 700, 800, 5000])
+def test_first_rows_with_text_keys_and_rows_without_one(spark, monkeypatch, n, sampled):
+    monkeypatch.setattr(files, "SAMPLED", sampled)
+    df = spark.range(800).selectExpr(
+        "if(id % 8 = 0, NULL, concat('customer ', (id * 37) % 800)) AS `Customer ID`").repartition(5)
+    got = [r[0] for r in files.first_rows(df, "Customer ID", n).collect()]
+    keys = [r[0] for r in df.collect()]
+    want = sorted(k for k in keys if k is not None)
+    assert sorted(k for k in got if k is not None) == want[:n]
+    assert len(got) == min(n, 800)
+
+
+def test_training_csv_is_read_whole_unless_a_cap_is_asked_for(spark, tmp_path):
     files.write_csv(generator.generated(spark, 300), str(tmp_path / "c"))
-    got = files.load_training_csv(
-        spark, str(tmp_path / "c"), "key", files.keyed_schema(), DataConfig(max_samples=120))
-    assert sorted(r.key for r in got.select("key").collect()) == list(range(120))
+    for cap, want in ((None, 300), (120, 120)):
+        got = files.load_training_csv(spark, str(tmp_path / "c"), "key", files.keyed_schema(), cap)
+        assert sorted(r.key for r in got.select("key").collect()) == list(range(want))
 
 
 def test_score_json(spark):
@@ -97,7 +110,8 @@ def test_capped_ingest(spark):
     source, target, checkpoint = (fresh_path(spark, n) for n in ("source", "target", "check"))
     spark.range(500).selectExpr("id AS key", "'x' AS raw").repartition(6).write.parquet(source)
     stream.finish(stream.start_ingest(stream.record_stream(spark, source, files_per_batch=2), target, checkpoint))
-    assert sorted(r.key for r in stream.capped(spark, target, "key", 90).collect()) == list(range(90))
+    assert sorted(r.key for r in stream.ingested(spark, target, "key", 90).collect()) == list(range(90))
+    assert stream.ingested(spark, target, "key").count() == 500
 
 
 def test_ingest_progress(spark, caplog):
@@ -142,5 +156,17 @@ def test_log_summary(spark):
             ("2024-01-01 00:00:03", line("/p", 200, 20)), ("2024-01-01 00:02:00", line("/q", 404, 5))]
     df = spark.createDataFrame(rows, "ts string, line string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = requests.log_summary(requests.parse_log(df)).orderBy("path").collect()
-    assert [(r.path, r.requests, r.failures, r.mean_ms, r.p50_ms, r.max_ms) for r in got] == [
+    assert [(r.path, r.requests, r.failures, r.mean_ms, r.p50_estimate_ms, r.max_ms) for r in got] == [
         ("/p", 3, 1, 20.0, 20.0, 30.0), ("/q", 1, 1, 5.0, 5.0, 5.0)]
+
+
+def test_log_means_are_exact_and_junk_is_no_request(spark):
+    lines = ['{"path":"/p","latency_ms":0.004}', '{"path":"/p","latency_ms":0.004}',
+             '{"path":"/p","latency_ms":null}', '{"path":"/q"}', '{"path":', "[1]", "", None,
+             '{"status":200}']
+    df = spark.createDataFrame([("2024-01-01 00:00:01", x) for x in lines], "ts string, line string")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.path: r for r in requests.log_summary(requests.parse_log(df)).collect()}
+    assert got["/p"].mean_ms == 0.004 and got["/p"].requests == 3
+    assert got["/q"].mean_ms is None and got["/q"].p50_estimate_ms is None and set(got) == {"/p", "/q"}
+    assert [r.line for r in requests.unreadable_log(df).collect()] == lines[4:]
