@@ -396,6 +396,17 @@ ORACLES["score_with_gaps"] = with_(TELCO, GAPS, enc_cte("gaps", absent=True), LI
 ORACLES["score_file_output"] = SCORE + (
     "SELECT t.*, s.churn_probability, s.prediction FROM telco t JOIN scored s ON t.key = s.key"
 )
+ORACLES["score_file_quarantine"] = with_(TELCO, FORM, NO_BLANKS, NUMBERS, JUDGED) + (
+    "SELECT key, errors FROM judged WHERE errors <> ''"
+)
+GOOD = "good AS ({})".format("SELECT key, {} FROM judged WHERE errors = ''".format(", ".join(
+    f.name if f.kind == CATEGORY
+    else f"CAST(n_{f.name} AS {'DOUBLE' if f.kind == MONEY else 'BIGINT'}) AS {f.name}" for f in FIELDS
+)))
+ORACLES["score_file_scores"] = with_(
+    TELCO, FORM, NO_BLANKS, NUMBERS, JUDGED, GOOD, enc_cte("good"), LIN, SCORED
+) + """SELECT s.key, g.tenure, s.churn_probability, s.prediction
+FROM scored s JOIN good g ON g.key = s.key"""
 SUMMARY = "count(*) AS total_records, count(*) FILTER (WHERE retention_risk = 'High') AS high_risk_count"
 ORACLES["batch_summary"] = SCORE + f"SELECT {SUMMARY} FROM scored"
 ORACLES["tier_summary"] = SCORE + f"""SELECT retention_risk, t.Contract AS contract, {SUMMARY}

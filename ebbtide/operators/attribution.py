@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ebbtide.functions.plans import once
 from ebbtide.operators.boosted import ChurnModel, save
 from ebbtide.operators.linear import feature_array
-from ebbtide.session import fresh_path
+from ebbtide.session import fresh_path, remove
 
 MAX_NODES = 200_000
 #: A mask of met slots is one byte.
@@ -161,6 +161,7 @@ def read_trees(spark: SparkSession, model: ChurnModel) -> list[tuple[float, dict
         "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
         F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"),
     ).collect()
+    remove(spark, path)
     trees: dict[int, dict[int, Node]] = {}
     for r in nodes:
         leaf = r.leftChild < 0

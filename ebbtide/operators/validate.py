@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ebbtide.functions.numbers import parse_number
 from ebbtide.functions.plans import once, quoted, text
 from ebbtide.schema import (
-    BY_NAME, CATEGORY, COUNT, FIELD_NAMES, FIELDS, FLAG, MONEY, RECORD_SCHEMA, SENIOR,
+    BY_NAME, CATEGORY, COUNT, FIELD_NAMES, FIELDS, FLAG, MONEY, SENIOR,
 )
 
 MALFORMED = "record:malformed"
+PARSED = "parsed_record"
 NOT_AN_OBJECT = "record:not an object"
 SATISFACTION_RANGE = (1, 5)
 
@@ -54,7 +55,7 @@ def _non_finite_fields(raw: Column) -> Column:
 
 
 def check_records(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Strict reading of JSON records: adds ``errors``.
+    """Strict reading of JSON records: adds ``errors`` and the parsed record.
 
     Types are compared before anything is cast, so 1.5 or "1" in an integer field is
     an error and not a silent null. Unknown fields are errors, too.
@@ -85,14 +86,18 @@ def check_records(df: DataFrame, raw: str = "raw") -> DataFrame:
         .when(~F.col("_shape").startswith("OBJECT<"), F.array(F.lit(NOT_AN_OBJECT)))
         .otherwise(F.expr(f"concat(array_compact(array({', '.join(tags)})), {unknown})"))
     )
-    return once(shaped, {"errors": errors}).drop("_v", "_shape")
+    return once(shaped, {"errors": errors}).drop("_shape").withColumnRenamed("_v", PARSED)
 
 
-def valid_records(checked: DataFrame, *carry: str, raw: str = "raw") -> DataFrame:
-    """The records without errors, one typed column per field."""
+def valid_records(checked: DataFrame, *carry: str) -> DataFrame:
+    """The records without errors, one typed column per field, from what was parsed to
+    check them."""
     fine = checked.filter(F.size("errors") == 0)
-    record = F.from_json(F.col(raw), RECORD_SCHEMA)
-    return once(fine.select(*carry, raw), {"record": record}).select(*carry, "record.*")
+    fields = [
+        f"variant_get({PARSED}, '$.{f.name}', '{f.spark_type.simpleString()}') AS {f.name}"
+        for f in FIELDS
+    ]
+    return fine.selectExpr(*map(quoted, carry), *fields)
 
 
 def quarantine(checked: DataFrame, *carry: str) -> DataFrame:

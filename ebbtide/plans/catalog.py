@@ -205,6 +205,27 @@ def score_file_output(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _scored_file(spark: SparkSession, folder: str) -> tuple[str, str]:
+    source, scores, rejected = (fresh_path(spark, n) for n in ("form", "scores", "rejected"))
+    files.write_csv(telco.as_form(_customers(spark, folder)), source)
+    scoring.score_file(spark, source, scores, rejected, MODEL)
+    return scores, rejected
+
+
+@query
+def score_file_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV of forms, some of them wrong, through the file scoring job: the rejected."""
+    _, rejected = _scored_file(spark, folder)
+    return spark.read.parquet(rejected).select("key", _text(F.col("errors")).alias("errors"))
+
+
+@query
+def score_file_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The same job: the scored."""
+    scores, _ = _scored_file(spark, folder)
+    return spark.read.parquet(scores).select("key", "tenure", "churn_probability", "prediction")
+
+
 @query
 def batch_summary(spark: SparkSession, folder: str) -> DataFrame:
     return score.summary(_scored(spark, folder))

@@ -6,13 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ebbtide.functions.flags import blanks_to_null
 from ebbtide.operators.attribution import PathTable, explain_trees
 from ebbtide.operators.boosted import ChurnModel
 from ebbtide.operators.encode import NULL_IS_MISSING, align, encode
 from ebbtide.operators.explain import with_drivers, without_drivers
 from ebbtide.operators.linear import LinearModel
 from ebbtide.operators.score import append_batch_columns, classify
+from ebbtide.operators.validate import MALFORMED, as_numbers, check_ranges, quarantine, require_rows
 from ebbtide.schema import DEFAULT_TOP_K
+from ebbtide.session import fresh_path, remove
+from ebbtide.sources.files import observed, read_form_csv
 
 RECORD = ("prediction", "churn_probability", "retention_risk", "feature_importance")
 
@@ -59,6 +63,33 @@ def append_scores(
     return append_batch_columns(scored.select("_input.*", "probability"))
 
 
+def score_file(
+    spark: SparkSession,
+    source: str,
+    scores: str,
+    rejected: str,
+    model: LinearModel | ChurnModel = LinearModel(),
+    null_means: str = NULL_IS_MISSING,
+) -> dict[str, int]:
+    """A CSV of customers to a Parquet table of scores and one of rejected records.
+
+    Records that break a rule go to ``rejected`` with the reasons and stop nothing; an
+    empty file is an error. The checked records are written once and read for both sides.
+    Returns the number of records read and of columns they have.
+    """
+    given, seen = observed(require_rows(read_form_csv(spark, source)), "file")
+    checked = check_ranges(blanks_to_null(given))
+    broken = F.when(F.col("malformed").isNotNull(), F.array(F.lit(MALFORMED)))
+    path = fresh_path(spark, "checked")
+    checked.withColumn("errors", F.coalesce(broken, "errors")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    good = as_numbers(stored.filter(F.size("errors") == 0).drop("errors", "malformed"))
+    append_scores(good, model, null_means).write.parquet(scores)
+    quarantine(stored, "key", "malformed").write.parquet(rejected)
+    remove(spark, path)
+    return seen.get
+
+
 def score_trees(
     df: DataFrame,
     model: ChurnModel,

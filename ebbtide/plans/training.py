@@ -13,7 +13,7 @@ from ebbtide.operators.clean import training_frame
 from ebbtide.operators.evaluate import roc_auc
 from ebbtide.operators.split import stratified_split
 from ebbtide.schema import DataConfig, ModelConfig
-from ebbtide.session import fresh_path
+from ebbtide.session import fresh_path, remove
 from ebbtide.sources.files import first_rows, observed
 from ebbtide.sources.ledger import record_run
 
@@ -60,12 +60,14 @@ def train(
     encoded, _ = training_frame(table, data, key)
     frame, seen = observed(encoded, "labelled")
     path = fresh_path(spark, "encoded")
+    scratch = [path]
     frame.write.parquet(path)
     stored = spark.read.parquet(path)
     labelled = seen.get["rows"]
     unlabelled = table.count() - labelled
     if max_rows is not None and max_rows < labelled:
         kept_path = fresh_path(spark, "sample")
+        scratch.append(kept_path)
         first_rows(stored, "key", max_rows).write.parquet(kept_path)
         stored = spark.read.parquet(kept_path)
     columns = [c for c in encoded.columns if c not in ("key", "Churn")]
@@ -81,6 +83,8 @@ def train(
     areas = {r["round"]: r["auc"] for r in roc_auc(
         staged, "Churn", "probability", by=["round"]).collect()}
     sizes = dict(sides.groupBy("is_train").agg(F.count("*")).collect())
+    for written in scratch:
+        remove(spark, written)
     run_id = None
     if model_path is not None:
         save(model, model_path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_announced: set[str] = set()
+
 # Settings the plans are tuned for. A cluster overrides memory and parallelism;
 # AQE then sizes the shuffle partitions from the data.
 SETTINGS = {
@@ -37,12 +40,13 @@ def build(app: str = "ebbtide", master: str | None = None, **extra: str) -> Spar
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own.
+    Only a session whose executors are threads of the driver may fall back to a folder of
+    its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="ebbtide-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -50,6 +54,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _filesystem(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This run's own part of the shared folder. It is deleted when the driver ends; what
+    is to stay is written elsewhere."""
+    folder = f"{shared_folder(spark)}/ebbtide/{spark.sparkContext.applicationId}"
+    if folder not in _announced:
+        files, path = _filesystem(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _announced.add(folder)
+    return folder
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/ebbtide/{label}-{uuid.uuid4().hex}"
+    """A path below the run's folder that nothing else uses."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete scratch data that no later result reads."""
+    files, target = _filesystem(spark, path)
+    files.delete(target, True)

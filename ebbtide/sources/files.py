@@ -26,8 +26,25 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return reader.csv(path)
 
 
+def read_form_csv(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
+    """Customer records to be scored, every field as text: nothing a cell holds can end the
+    job. ``malformed`` has the line where it has too few or too many cells or no key."""
+    schema = T.StructType([
+        T.StructField(key, T.LongType()),
+        *[T.StructField(f.name, T.StringType()) for f in RECORD_SCHEMA.fields],
+        T.StructField("malformed", T.StringType()),
+    ])
+    return spark.read.schema(schema).options(
+        header=True, mode="PERMISSIVE", escape='"', columnNameOfCorruptRecord="malformed",
+        enforceSchema=True,
+    ).csv(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
+    """Values as they are, blanks at either end included."""
+    df.write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, key: str = "key") -> DataFrame:

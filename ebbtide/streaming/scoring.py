@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,15 @@ log = logging.getLogger(__name__)
 
 
 class IngestProgress(StreamingQueryListener):
-    """Counts the rows of the streams it listens to and logs them from time to time.
+    """Counts the rows of one stream and logs them from time to time.
 
-    Add it with ``spark.streams.addListener``. A report is due after each tenth of the
-    expected rows, but not more often than every 1,000.
+    A report is due after each tenth of the expected rows, but not more often than every
+    1,000. :func:`start_ingest` adds one for its own stream; it hears no other.
     """
 
-    def __init__(self, expected: int) -> None:
+    def __init__(self, expected: int, name: str | None = None) -> None:
         self.expected = expected
+        self.name = name
         self.every = max(expected // 10, 1000)
         self.rows = 0
         self.reported = 0
@@ -32,6 +34,8 @@ class IngestProgress(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
+        if self.name is not None and event.progress.name != self.name:
+            return
         self.rows += event.progress.numInputRows
         if self.rows // self.every > self.reported // self.every:
             self.reported = self.rows
@@ -88,11 +92,17 @@ def start_scoring(
 
 
 def start_ingest(
-    rows: DataFrame, target: str, checkpoint: str
+    rows: DataFrame, target: str, checkpoint: str, expected: int | None = None
 ) -> StreamingQuery:
-    """Take what has arrived into a Parquet table, exactly once, and stop."""
+    """Take what has arrived into a Parquet table, exactly once, and stop. With
+    ``expected`` rows the progress is logged."""
+    writer = rows.writeStream
+    if expected is not None:
+        name = f"ingest-{uuid.uuid4().hex}"
+        rows.sparkSession.streams.addListener(IngestProgress(expected, name))
+        writer = writer.queryName(name)
     return (
-        rows.writeStream.format("parquet")
+        writer.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

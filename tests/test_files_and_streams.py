@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ebbtide import session
 from ebbtide.operators.linear import LinearModel
-from ebbtide.operators.validate import check_records, quarantine, valid_records
+from ebbtide.operators.validate import EmptyBatch, check_records, quarantine, valid_records
 from ebbtide.plans import scoring
-from ebbtide.schema import DataConfig, FIELD_NAMES
+from ebbtide.plans.catalog import QUERIES
+from ebbtide.schema import FIELD_NAMES
 from ebbtide.session import fresh_path
 from ebbtide.sources import files, generator, telco
 from ebbtide.streaming import requests, scoring as stream
@@ -170,3 +171,38 @@ def test_log_means_are_exact_and_junk_is_no_request(spark):
     assert got["/p"].mean_ms == 0.004 and got["/p"].requests == 3
     assert got["/q"].mean_ms is None and got["/q"].p50_estimate_ms is None and set(got) == {"/p", "/q"}
     assert [r.line for r in requests.unreadable_log(df).collect()] == lines[4:]
+
+
+def test_event_streams_read_tables_in_several_files(spark, folder, tmp_path):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("rate_breach_stream", "log_summary_stream"):
+        one = sorted(map(tuple, QUERIES[name](spark, folder).collect()), key=repr)
+        assert one and one == sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+
+
+def test_a_file_is_scored_and_its_bad_lines_kept(spark, tmp_path):
+    source = tmp_path / "in.csv"
+    names = ["key", *FIELD_NAMES]
+    good = {n: "1" for n in names} | {"Contract": "Two Year", "Gender": "Male", "Offer": "",
+                                      "InternetType": "DSL", "PaymentMethod": "Credit Card"}
+    lines = [good | {"key": "1"}, good | {"key": "2", "TotalCharges": "junk"},
+             good | {"key": "3", "Age": " "}]
+    text = [",".join(names), *[",".join(r[n] for n in names) for r in lines], "4,Male"]
+    source.write_text("\n".join(text) + "\n")
+    seen = scoring.score_file(spark, str(source), str(tmp_path / "s"), str(tmp_path / "r"))
+    assert seen["rows"] == 4
+    assert [r.key for r in spark.read.parquet(str(tmp_path / "s")).collect()] == [1]
+    bad = {r.key: r.errors for r in spark.read.parquet(str(tmp_path / "r")).collect()}
+    assert bad == {2: ["TotalCharges:not a number"], 3: ["Age:not a number"], 4: ["record:malformed"]}
+    source.write_text(",".join(names) + "\n")
+    with pytest.raises(EmptyBatch):
+        scoring.score_file(spark, str(source), str(tmp_path / "s2"), str(tmp_path / "r2"))
+
+
+def test_the_run_folder_is_shared_and_its_own(spark):
+    path = fresh_path(spark, "x")
+    assert path.startswith(session.run_folder(spark) + "/x-")
+    spark.range(3).write.parquet(path)
+    session.remove(spark, path)
+    assert not spark.sparkContext._jvm.java.io.File(path).exists()

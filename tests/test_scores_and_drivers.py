@@ -133,3 +133,20 @@ def test_bars(spark):
     assert got[0] == [("b", "2.35", "0.400", 50.0, 0.0), ("a", "1", "0.200", 25.0, 50.0),
                       ("c", "—", "0.000", 0.0, 50.0)]
     assert got[1] == [("z", "0", "0.000", 0.0, 50.0)]
+
+
+def test_audit_by_margin_counts_what_it_cannot_audit(spark):
+    rows = [(1, [2.0, 3.0], 0.5, 5.5, 1.0), (2, [40.0, 3.0], 0.0, 43.0, 1.0), (3, None, 0.0, 1.0, 0.7),
+            (4, [1.0, None], 0.0, 1.0, 0.7)]
+    df = spark.createDataFrame(rows, "key long, phi array<double>, bias double, logit double, probability double")
+    fine = explain.additivity_audit(df.where("key < 3")).first()
+    assert (fine.rows, fine.audited, fine.worst, fine.additive) == (2, 2, 0.0, True)
+    some = explain.additivity_audit(df).first()
+    assert (some.rows, some.audited, some.additive) == (4, 2, False)
+
+
+def test_importance_leaves_out_arrays_of_another_width(spark):
+    rows = [([1.0, -3.0],), ([5.0, float("nan"), 9.0],), ([7.0],), (None,), ([0.0, 0.0],)]
+    df = spark.createDataFrame(rows, "phi array<double>")
+    got = {r.column: (r.mean_size, r.rows_on_top) for r in explain.importance(df, ["a", "b"]).collect()}
+    assert got == {"a": (2.0, 2), "b": (1.0, 1)}

@@ -1,11 +1,13 @@
 import math
 import random
+from itertools import combinations
+from math import factorial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.operators import attribution, boosted, derive, encode, evaluate, explain, split
+from ebbtide.operators import attribution, boosted, clean, derive, encode, evaluate, explain, split
 from ebbtide.operators.attribution import Node
 from ebbtide.plans import scoring, training
 from ebbtide.plans.catalog import FOREST
@@ -230,3 +232,65 @@ def test_derived_features(spark):
     assert [r.Revenue_per_Tenure for r in rows[:3]] == [0.0, 90.0, 45.0]
     assert [r.Charges_per_Month for r in rows[:3]] == [0.0, 60.0, 30.0]
     assert {r.Total_Services for r in rows} == {1}
+
+
+def test_rows_without_a_label_weigh_nothing(spark):
+    df = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, None)], "key long, Churn int")
+    assert {r.label: r.weight for r in split.class_weights(df).collect()} == {0: 0.75, 1: 1.5}
+    assert {r.key: r.weight for r in split.with_class_weight(df).collect()} == {0: 1.5, 1: 0.75, 2: 0.75, 3: None}
+    with pytest.raises(split.TooManyClasses):
+        split.with_class_weight(spark.range(500).selectExpr("id AS Churn"))
+
+
+@pytest.mark.parametrize("slices", [1, 2, 7, None])
+def test_scores_that_are_no_number_are_left_out_at_any_size(spark, slices):
+    rows = [(1, 0.9), (0, 0.1), (1, 0.2), (0, 0.4), (1, float("nan")), (0, float("nan")), (1, None),
+            (None, 0.5)] * 3
+    df = spark.createDataFrame(rows, "Churn int, probability double")
+    row = evaluate.roc_auc(df, slices=slices).first()
+    assert (row.positives, row.negatives, row.left_out, row.auc) == (6, 6, 12, 0.75)
+
+
+def test_parity_counts_rows_of_one_side_only(spark):
+    a = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 0), (3, 1, 0)], "key long, x int, Churn int")
+    b = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 1.0), (4, 1.0)], "key long, x double")
+    row = clean.parity(a, b).first()
+    assert (row.rows, row.rows_that_differ, row.shared_columns) == (4, 2, 1)
+
+
+def test_deep_paths_by_the_definition():
+    rng = np.random.default_rng(5)
+    ratios = rng.uniform(0.1, 0.9, (3, 8))
+    got = attribution._shapley_tables(ratios)
+    assert got.shape == (3, 256, 8)
+    for path, mask, slot in ((0, 0, 0), (1, 255, 3), (2, 0b10110101, 7)):
+        met = [(mask >> i) & 1 for i in range(8)]
+        others = [i for i in range(8) if i != slot]
+        total = 0.0
+        for size in range(8):
+            for known in combinations(others, size):
+                worth = 1.0
+                for i in others:
+                    worth *= met[i] if i in known else ratios[path, i]
+                total += worth * factorial(size) * factorial(7 - size) / factorial(8)
+        assert got[path, mask, slot] == pytest.approx((met[slot] - ratios[path, slot]) * total, abs=1e-12)
+
+
+def test_a_path_table_is_bounded_by_its_bytes(monkeypatch):
+    monkeypatch.setattr(attribution, "MAX_BYTES", 50)
+    tree = {0: attribution.Node(0, 0.0, 4, 1, 2, 0, 0.5), 1: attribution.Node(1, 1.0, 2),
+            2: attribution.Node(2, -1.0, 2)}
+    with pytest.raises(attribution.EnsembleTooLarge):
+        attribution.path_table([(1.0, tree)], ["x"])
+
+
+def test_training_by_a_text_key_with_a_sample(spark):
+    table = telco.training_table(generator.with_planted_churn(generator.generated(spark, 600)))
+    named = table.withColumn("Customer ID", F.concat(F.lit("c"), "key")).drop("key").withColumn(
+        "Churn", F.expr("if(`Customer ID` = 'c7', NULL, Churn)"))
+    result = training.train(spark, named, "Customer ID", config=ModelConfig(trees=3), max_rows=400,
+                            rounds=[1, 3])
+    assert result.train_rows + result.test_rows == 400 and result.unlabelled == 1
+    assert set(result.areas) == {1, 3} and len(result.losses) == 3
+    assert result.areas[3] == pytest.approx(result.auc)
+    assert training.some_rounds(300) == list(range(30, 301, 30)) and training.some_rounds(2) == [1, 2]

@@ -115,3 +115,10 @@ def test_score_contract(spark):
     assert tuple(validate.score_violations(bad).first()) == (2, 2, 2, 2)
     with pytest.raises(validate.BrokenScoreContract):
         validate.score_violations(good.drop("prediction"))
+
+
+def test_flags_in_number_columns(spark):
+    df = spark.createDataFrame([(1.0, "1.0"), (0.0, "1"), (0.5, "Yes"), (None, None)], "a double, b string")
+    rows = df.select(flags.to_binary(F.col("a")), flags.to_yes_no(F.col("a")),
+                     flags.to_binary(F.col("b"))).collect()
+    assert [tuple(r) for r in rows] == [(1, "Yes", None), (0, "No", 1), (None, "", 1), (None, "", None)]
