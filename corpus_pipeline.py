@@ -33,7 +33,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources draws them: never, once or twice."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

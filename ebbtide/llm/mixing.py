@@ -270,6 +270,12 @@ def drawn(docs: DataFrame, keep: list[str], shards: int = SHARDS, seed: int = 17
         F.when(picked, F.get("extra", block)).alias("extra"))
 
 
+def _draws(docs: DataFrame, keep: list[str], shards: int, seed: int) -> DataFrame:
+    """``(row, id, shard)``: a row for every draw of a document."""
+    return drawn(docs, keep, shards, seed).select("row", "id", F.explode(
+        F.filter(F.array("base", "extra"), F.isnotnull)).alias("shard"))
+
+
 def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """The mix: a row for every draw of a document, with its output ``shard`` and a
     ``position`` by which a reader of the shard sorts to shuffle it.
@@ -277,8 +283,12 @@ def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     Columns of the documents that are called shard or position are replaced.
     """
     keep = [c for c in docs.columns if c.lower() not in ("shard", "position")]
-    rows = drawn(docs, keep, shards, seed)
-    each = rows.select("row", "id", F.explode(F.filter(F.array("base", "extra"),
-                                                       F.isnotnull)).alias("shard"))
-    return each.select(*[F.col("row")[c].alias(c) for c in keep], "shard",
-                       F.xxhash64(F.lit(seed + 2), "id", "shard").alias("position"))
+    return _draws(docs, keep, shards, seed).select(
+        *[F.col("row")[c].alias(c) for c in keep], "shard",
+        F.xxhash64(F.lit(seed + 2), "id", "shard").alias("position"))
+
+
+def repeated(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The mix with the columns of the documents only."""
+    return _draws(docs, docs.columns, SHARDS, seed).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns])

@@ -107,6 +107,12 @@ def test_mixed_rows_keep_their_columns_and_go_to_the_shards(spark):
         per[r.doc_id] += 1
     assert max(n for i, n in per.items() if i is not None) == 2
     assert mixing.mixed(frame.where("false")).count() == 0
+    same = mixing.repeated(frame)
+    assert same.columns == frame.columns
+    assert sorted(map(repr, same.collect())) == sorted(
+        repr(r) for r in spark.createDataFrame(
+            [(r.doc_id, r.text, r.source, "y" if r.doc_id is None else "x") for r in rows],
+            frame.schema).collect())
 
 
 def test_no_python_on_the_main_path(spark, folder, capsys):
