@@ -27,7 +27,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from ebbtide.llm.bits import bit_table, in_table
 from ebbtide.llm.scratch import mark, stored
+from ebbtide.llm.words import pieces
 from pyspark.sql import DataFrame, Window, functions as F
 
 APART = 16
@@ -37,8 +39,7 @@ LEAST_WORDS = 28
 REACH, SHIFT = 16, 2
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-CHUNK = ("doc_id long, mark long, number int, start long, end long, first_word long, "
-         "end_word long, digest long")
+CHUNK = "doc_id long, mark long, number long, start long, end long, words int, digest long"
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -88,57 +89,82 @@ def places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, words
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """One row per chunk: its place in bytes and in words, and its digest."""
+def chunked(docs: DataFrame) -> DataFrame:
+    """``(doc_id, mark, bytes, words, digests)``: the chunks of each text, in order, by their
+    length, the words that begin in them, and their digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, columns = [], [[] for _ in range(6)]
-            for i, text in enumerate(batch.column(2).to_pylist()):
+        for batch in pieces(batches):
+            counts, sizes, words, digests = [0], [], [], []
+            for text in batch.column("text").to_pylist():
                 raw = text.encode()
                 data = np.frombuffer(raw, np.uint8)
-                can, words = places(data)
+                can, starts = places(data)
                 ends = chunk_ends(data, can)
                 begins = np.concatenate(([0], ends[:-1]))
-                digests = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in
-                                    zip(begins.tolist(), ends.tolist())], dtype=np.uint64)
-                of.append(np.full(len(ends), i))
-                for column, values in zip(columns, (
-                        np.arange(len(ends), dtype=np.int32), begins, ends,
-                        np.searchsorted(words, begins), np.searchsorted(words, ends),
-                        digests.view(np.int64))):
-                    column.append(values)
-            if of:
-                at = pa.array(np.concatenate(of))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at),
-                     *[pa.array(np.concatenate(c)) for c in columns]],
-                    names=[c.split()[0] for c in CHUNK.split(", ")])
+                counts.append(len(ends))
+                sizes.append(ends - begins)
+                words.append(np.diff(np.searchsorted(starts, ends), prepend=0))
+                digests += [xxhash.xxh3_64_intdigest(raw[a:b])
+                            for a, b in zip(begins.tolist(), ends.tolist())]
+            bounds = pa.array(np.cumsum(counts), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (
+                    np.concatenate(sizes).astype(np.int32), np.concatenate(words).astype(np.int32),
+                    np.array(digests, np.uint64).view(np.int64))]],
+                names=["doc_id", "mark", "bytes", "words", "digests"])
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), mark(docs).alias("mark"),
                         docs["text"].alias("text")).where("text != ''")
-    return texts.mapInArrow(run, CHUNK)
+    return texts.mapInArrow(run, "doc_id long, mark long, bytes array<int>, words array<int>, "
+                                 "digests array<long>")
+
+
+def _likely(every: DataFrame, bits: int, table: np.ndarray) -> DataFrame:
+    """One row per chunk whose digest may be repeated: its number, place and digest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = batch.column(4).flatten().to_numpy()
+            counts = np.diff(batch.column(4).offsets.to_numpy())
+            row = np.repeat(np.arange(len(counts)), counts)
+            first = np.cumsum(counts) - counts
+            ends = np.cumsum(batch.column(2).flatten().to_numpy(), dtype=np.int64)
+            before = np.concatenate(([0], ends))[first]
+            hit = np.flatnonzero(in_table(digests.view(np.uint64), bits, table))
+            at, end = row[hit], ends[hit] - before[row[hit]]
+            of = pa.array(at)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(of), batch.column(1).take(of), pa.array(hit - first[at]),
+                pa.array(end - batch.column(2).flatten().to_numpy()[hit]), pa.array(end),
+                pa.array(batch.column(3).flatten().to_numpy()[hit]), pa.array(digests[hit])],
+                names=[c.split()[0] for c in CHUNK.split(", ")])
+
+    return every.mapInArrow(run, CHUNK)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """The chunks whose digest another document has, with the first document that has it."""
-    every = stored(chunks(docs), "chunks")
-    shared = every.groupBy("digest").agg(
-        F.min(F.struct("doc_id", "mark")).alias("first"),
-        F.max(F.struct("doc_id", "mark")).alias("last")).where(
-        "NOT (first.doc_id <=> last.doc_id AND first.mark <=> last.mark)")
-    return every.join(shared.select("digest", "first"), "digest")
+    """The chunks whose digest another document has, a row for each."""
+    every = stored(chunked(docs), "chunks")
+    # A document is known by a hash here: what moves is two numbers for each chunk.
+    each = every.select(F.xxhash64("doc_id", "mark").alias("doc"), F.explode("digests").alias("digest"))
+    shared = stored(each.groupBy("digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+                    .where("a != b").select("digest"), "repeated")
+    # Most chunks that are not repeated stay in their task; the join settles the rest.
+    likely = _likely(every, *bit_table(shared.withColumnRenamed("digest", "hash")))
+    return likely.join(shared, "digest")
 
 
 def runs(repeated: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(doc_id, mark, start, end, words, first_doc_id)``: neighbouring chunks as passages."""
+    """``(doc_id, mark, start, end, words)``: neighbouring chunks as passages."""
     inside = Window.partitionBy("doc_id", "mark").orderBy("number")
-    opens = F.coalesce((F.col("number") - F.lag("number").over(inside) > 1).cast("int"), F.lit(1))
-    numbered = repeated.withColumn("opens", opens).withColumn("run", F.sum("opens").over(
-        inside.rowsBetween(Window.unboundedPreceding, 0)))
-    words = (F.max("end_word") - F.min("first_word")).alias("words")
+    # Rows that are repeated whole give a chunk more than once.
+    apart = F.col("number") - F.lag("number").over(inside)
+    opens = F.coalesce((apart > 1).cast("int"), F.lit(1))
+    numbered = repeated.withColumn("opens", opens).withColumn(
+        "words", F.when(apart == 0, 0).otherwise(F.col("words"))).withColumn(
+        "run", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("doc_id", "mark", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), words,
-        F.min("first.doc_id").alias("first_doc_id")).where(F.col("words") >= least_words).drop("run")
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        F.sum("words").alias("words")).where(F.col("words") >= least_words).drop("run")
 
 
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -149,7 +175,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents; a repeated passage stays in the first document that has it and is cut
     out of all others. All columns stay."""
-    later = repeated_chunks(docs).where(
+    repeated = stored(repeated_chunks(docs), "repeated-chunks")
+    firsts = repeated.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    later = repeated.join(firsts, "digest").where(
         "NOT (doc_id <=> first.doc_id AND mark <=> first.mark)")
     cuts = stored(runs(later, least_words).groupBy("doc_id", "mark").agg(F.sort_array(
         F.collect_list(F.struct("start", "end"))).alias("spans")), "cuts")

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 
 from ebbtide.llm import words as W
+from ebbtide.llm.bits import bit_table, in_table
 from ebbtide.llm.scratch import keep_rows, mark, stored
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -31,8 +32,6 @@ GRAM = 3
 APART = 4
 SHARE = 0.5
 LEAST = 8
-#: The bit table has 64 bits for each n-gram, and at most 2 ** MOST_BITS: 8 MB.
-LEAST_BITS, MOST_BITS = 16, 26
 #: Cells of one row of alignments that are computed together.
 CELLS = 1 << 18
 ONE = np.int64(1 << 32)
@@ -60,32 +59,13 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
-def bit_table(grams: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of leading bits of a hash that address the table, and the table."""
-    n = grams.count()
-    bits = min(max(LEAST_BITS, int(64 * n).bit_length()), MOST_BITS)
-    cells = grams.select(F.shiftrightunsigned("gram", 64 - bits).alias("place")).selectExpr(
-        "shiftrightunsigned(place, 6) AS cell", "shiftleft(1L, CAST(place & 63 AS INT)) AS bit")
-    table = np.zeros(1 << max(0, bits - 6), dtype=np.int64)
-    # At most one row for every 64 bits of the table.
-    for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        table[r["cell"]] = r["bits"]
-    return bits, table.view(np.uint64)
-
-
-def _in_table(grams: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
-    place = grams >> np.uint64(64 - bits)
-    word = table[(place >> np.uint64(6)).astype(np.int64)]
-    return (word >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _document_counts(texts: DataFrame, bits: int, table: np.ndarray) -> DataFrame:
     """``(gram, docs)``: in how many documents of a batch an n-gram of the table occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches):
             rows, hashes = W.words(batch.column(0))
             at, grams = W.grams(rows, hashes, GRAM)
-            found = _in_table(grams, bits, table)
+            found = in_table(grams, bits, table)
             pairs = np.unique(np.stack([grams[found], rows[at[found]].astype(np.uint64)]), axis=1)
             gram, docs = np.unique(pairs[0], return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -102,7 +82,7 @@ def _regions(texts: DataFrame, bits: int, table: np.ndarray, reach: int) -> Data
         for batch in W.pieces(batches):
             rows, hashes = W.words(batch.column(2))
             at, grams = W.grams(rows, hashes, GRAM)
-            found = _in_table(grams, bits, table)
+            found = in_table(grams, bits, table)
             at, grams = at[found], grams[found]
             ends = W.first_words(rows, batch.num_rows)
             row = rows[at]
@@ -214,9 +194,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     texts = docs.select(docs["doc_id"].alias("doc_id"), mark(docs).alias("mark"),
                         W.normalised(docs["text"]).alias("text"))
     every = grams.select("gram").distinct()
-    counts = stored(_document_counts(texts, *bit_table(every)).join(every, "gram"), "counts")
+    counts = stored(_document_counts(texts, *bit_table(every.withColumnRenamed("gram", "hash"))).join(every, "gram"), "counts")
     rare = stored(seeds(grams, counts), "seeds")
-    found = stored(_regions(texts, *bit_table(rare.select("gram").distinct()), reach)
+    found = stored(_regions(texts, *bit_table(rare.select(F.col("gram").alias("hash")).distinct()), reach)
                    .withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = found.select("region", F.explode(F.arrays_zip("grams", "at")).alias("h")).select(
         "region", F.col("h.grams").alias("gram"), F.col("h.at").alias("at"))
