@@ -803,6 +803,9 @@ ORACLES["rate_breach"] = counted("minute", 30)
 ORACLES["rate_breach_daily"] = counted("day", 5)
 ORACLES["rate_breach_stream"] = counted("day", 5) + CLOSED.format(
     start="date_trunc('day', ts)", unit="day")
+ORACLES["stream_still_open"] = """SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, count(*) AS windows FROM (
+  SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY d
+  HAVING d + INTERVAL 1 day > (SELECT max(ts) - INTERVAL 10 MINUTE FROM events))"""
 ORACLES["log_summary"] = summarised("minute")
 ORACLES["log_summary_stream"] = summarised("hour") + CLOSED.format(
     start="date_trunc('hour', ts)", unit="hour")

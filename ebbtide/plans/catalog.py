@@ -868,6 +868,12 @@ def rate_breach_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _stamped(spark.read.parquet(target))
 
 
+@query
+def stream_still_open(spark: SparkSession, folder: str) -> DataFrame:
+    """What the daily stream above does not return yet."""
+    return requests.still_open(_events(spark, folder), "1 day")
+
+
 @query
 def log_summary(spark: SparkSession, folder: str) -> DataFrame:
     lines = requests.parse_log(_log_lines(_events(spark, folder)))

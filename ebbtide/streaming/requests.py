@@ -83,6 +83,25 @@ def log_summary(
     )
 
 
+def still_open(
+    df: DataFrame, window: str = "1 minute", time: str = "ts", delay: str = "10 minutes"
+) -> DataFrame:
+    """What a stream over these rows keeps back when its input ends: ``rows`` and
+    ``windows`` that the watermark has not closed."""
+    closed = df.agg(F.max(time) - F.expr(f"INTERVAL {delay}")).scalar()
+    waiting = df.select(F.window(time, window).alias("w")).filter(F.col("w.end") > closed)
+    per_window = waiting.groupBy("w").agg(F.count("*").alias("n"))
+    return per_window.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("windows"))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after their window was closed, as far as the query's reports reach."""
+    return sum(
+        int(state["numRowsDroppedByWatermark"])
+        for progress in query.recentProgress for state in progress["stateOperators"]
+    )
+
+
 def start_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append closed windows to a Parquet table and stop when the input is used up."""
     return (

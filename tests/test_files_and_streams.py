@@ -173,6 +173,25 @@ def test_log_means_are_exact_and_junk_is_no_request(spark):
     assert [r.line for r in requests.unreadable_log(df).collect()] == lines[4:]
 
 
+def test_late_rows_and_open_windows_are_told(spark, tmp_path):
+    def rows(*times):
+        df = spark.createDataFrame([(t, "a") for t in times], "ts string, client string")
+        return df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1)
+
+    source = str(tmp_path / "in")
+    query = None
+    # The second run closes what the first one saw; the third row of all is then too late.
+    for batch in (rows("2024-01-01 00:00:10", "2024-01-01 02:00:00"),
+                  rows("2024-01-01 00:00:20", "2024-01-01 03:00:00")):
+        batch.write.mode("append").parquet(source)
+        arriving = spark.readStream.schema("ts timestamp, client string").parquet(source)
+        counted = requests.request_counts(requests.with_lateness(arriving))
+        query = stream.finish(requests.start_table(counted, str(tmp_path / "out"), str(tmp_path / "c")))
+    assert requests.late_rows(query) == 1
+    left = requests.still_open(spark.read.parquet(source)).first()
+    assert (left.rows, left.windows) == (1, 1)
+
+
 def test_event_streams_read_tables_in_several_files(spark, folder, tmp_path):
     events = spark.read.parquet(f"{folder}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
