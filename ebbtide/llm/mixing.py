@@ -141,21 +141,23 @@ def _picks(points: DataFrame, cuts: DataFrame, few: bool) -> DataFrame:
             .select("of", F.expr("transform(chosen, p -> struct(p.id, p.size))").alias("picks")))
 
 
-# One hypergeometric number: of p.n draws from p.total blocks, how many are among p.k.
+# One hypergeometric number: of q.n draws from q.total blocks, how many are among q.k.
 # Inverse distribution function by the ratio of neighbouring probabilities, on the stretch
-# of 12 standard deviations around the mode; what lies outside is below 1e-30.
-_RATIO = "((p.k - j) * (p.n - j) / ((j + 1D) * (p.total - p.k - p.n + j + 1)))"
-_DRAW = f"""transform(array(named_struct(
-      'total', q.total, 'k', q.k, 'n', q.n, 'u', q.u,
+# of 12 standard deviations around the mode; what lies outside is below 1e-30. The weights of
+# the stretch are added up once, and once more until the drawn share of their sum is reached.
+def _ratio(p: str) -> str:
+    return f"(({p}.k - j) * ({p}.n - j) / ((j + 1D) * ({p}.total - {p}.k - {p}.n + j + 1)))"
+
+
+_DRAW = f"""transform(array(named_struct('total', q.total, 'k', q.k, 'n', q.n, 'u', q.u,
       'a', greatest(0L, q.n - q.total + q.k, q.mode - q.reach),
-      'b', least(q.k, q.n, q.mode + q.reach))), p ->
-    aggregate(sequence(p.a, p.b),
-      named_struct('w', 1D, 'sum', 0D, 'x', p.a),
-      (s, j) -> named_struct('w', s.w * {_RATIO}, 'sum', s.sum + s.w, 'x',
-        if(s.sum + s.w < p.u * aggregate(sequence(p.a, p.b), named_struct('w', 1D, 'sum', 0D),
-              (t, j) -> named_struct('w', t.w * {_RATIO}, 'sum', t.sum + t.w), t -> t.sum),
-           least(j + 1, p.b), s.x)),
-      s -> s.x))[0]"""
+      'b', least(q.k, q.n, q.mode + q.reach))), r ->
+    transform(array(named_struct('total', r.total, 'k', r.k, 'n', r.n, 'a', r.a, 'b', r.b,
+        'aim', r.u * aggregate(sequence(r.a, r.b), named_struct('w', 1D, 'sum', 0D),
+          (t, j) -> named_struct('w', t.w * {_ratio('r')}, 'sum', t.sum + t.w), t -> t.sum))), p ->
+      aggregate(sequence(p.a, p.b), named_struct('w', 1D, 'sum', 0D, 'x', p.a),
+        (s, j) -> named_struct('w', s.w * {_ratio('p')}, 'sum', s.sum + s.w,
+          'x', if(s.sum + s.w < p.aim, least(j + 1, p.b), s.x)), s -> s.x))[0])[0]"""
 
 
 def _halves(nodes: DataFrame, seed: int) -> DataFrame:
