@@ -194,7 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     texts = docs.select(docs["doc_id"].alias("doc_id"), mark(docs).alias("mark"),
                         W.normalised(docs["text"]).alias("text"))
     every = grams.select("gram").distinct()
-    counts = stored(_document_counts(texts, *bit_table(every.withColumnRenamed("gram", "hash"))).join(every, "gram"), "counts")
+    known = bit_table(every.withColumnRenamed("gram", "hash"))
+    counts = stored(_document_counts(texts, *known).join(every, "gram"), "counts")
     rare = stored(seeds(grams, counts), "seeds")
     found = stored(_regions(texts, *bit_table(rare.select(F.col("gram").alias("hash")).distinct()), reach)
                    .withColumn("region", F.monotonically_increasing_id()), "regions")
