@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 
 from ebbtide.llm import words as W
+from ebbtide.llm.bits import bit_table, in_table
 from ebbtide.llm.scratch import stored
 from pyspark.sql import DataFrame, functions as F
 
@@ -93,30 +94,44 @@ def _pairs(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """``(cell, target, every)``: how often each pair of tokens occurs; pairs of SIZE and a
-    token count the token itself."""
+    """``(cell, n)`` by task: how often each pair of tokens occurs; pairs of SIZE and a token
+    count the token itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Fixed size: one number for each cell and model.
-        total = np.zeros((2, SIZE * (SIZE + 1)), dtype=np.int64)
+        # Fixed size: one number for each cell.
+        total = np.zeros(SIZE * (SIZE + 1), dtype=np.int64)
         for batch in batches:
             tokens, ends = _tokens(batch.column(0))
-            target = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(ends))
-            place, pairs = _pairs(tokens, ends)
-            for cells, chosen in ((pairs, target[place]), (SIZE * SIZE + tokens, target)):
-                total[1] += np.bincount(cells, minlength=total.shape[1])
-                total[0] += np.bincount(cells[chosen], minlength=total.shape[1])
-        cell = np.flatnonzero(total[1])
+            total += np.bincount(_pairs(tokens, ends)[1], minlength=len(total))
+            total += np.bincount(SIZE * SIZE + tokens, minlength=len(total))
+        cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cell.astype(np.int32)), *[pa.array(t[cell]) for t in total]],
-            names=["cell", "target", "every"])
+            [pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+
+    return rows.select("tokens").mapInArrow(run, "cell int, n long")
 
-    return rows.mapInArrow(run, "cell int, target long, every long").groupBy("cell").agg(
-        F.sum("target").alias("target"), F.sum("every").alias("every"))
 
+def of_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows of target documents. A bit table keeps most others in their task; an exact
+    join drops the rest of them."""
+    ids = targets.select(targets["doc_id"].alias("wanted")).where("wanted IS NOT NULL").distinct()
+    bits, table = bit_table(ids.select(F.xxhash64("wanted").alias("hash")))
 
-def models(counts: DataFrame) -> Models:
-    """Both models from the counts of pairs, at most SIZE * (SIZE + 1) rows."""
-    rows = counts.toArrow()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(2).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(in_table(hashes, bits, table))).select([0, 1])
+
+    likely = rows.select("doc_id", "tokens", F.xxhash64("doc_id").alias("hash")).mapInArrow(
+        run, "doc_id long, tokens binary")
+    return likely.join(ids, likely["doc_id"] == ids["wanted"], "left_semi")
+
+
+def models(target: DataFrame, every: DataFrame) -> Models:
+    """Both models from the counts of pairs, at most SIZE * (SIZE + 1) different ones."""
+    both = target.select("cell", F.col("n").alias("target"), F.lit(0).alias("every")).unionAll(
+        every.select("cell", F.lit(0).alias("target"), F.col("n").alias("every")))
+    rows = both.groupBy("cell").agg(F.sum("target").alias("target"),
+                                    F.sum("every").alias("every")).toArrow()
     cell = rows["cell"].to_numpy()
     single, pair = [], []
     totals = []
@@ -161,8 +176,5 @@ def scored(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """
     texts = _texts(docs)
     rows = stored(encoded(texts, vocabulary(texts)), "tokens")
-    ids = targets.select(targets["doc_id"].alias("wanted")).where("wanted IS NOT NULL").distinct()
-    marked = rows.join(ids, rows["doc_id"] == ids["wanted"], "left").select(
-        "tokens", F.col("wanted").isNotNull().alias("target"))
-    result = losses(rows, models(pair_counts(marked)))
+    result = losses(rows, models(pair_counts(of_targets(rows, targets)), pair_counts(rows)))
     return result.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
