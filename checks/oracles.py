@@ -498,7 +498,7 @@ NAMES = "names AS (SELECT * FROM (VALUES {}) n(position, \"column\"))".format(
     ", ".join(f"({i}, {q(c)})" for i, c in enumerate(FEATURE_COLUMNS))
 )
 ORACLES["importance"] = with_(TELCO, enc_cte("telco"), phi_cte(), NAMES) + """
-SELECT "column", feature, round(avg(abs(phi)), 6) AS mean_size, count(*) FILTER (WHERE top) AS rows_on_top
+SELECT "column", feature, round(avg(abs(phi)), 12) AS mean_size, count(*) FILTER (WHERE top) AS rows_on_top
 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY abs(phi) DESC, position) = 1 AS top FROM phis
   WHERE key % 7 <> 2)
 JOIN names USING (position) GROUP BY ALL"""

@@ -333,7 +333,7 @@ def importance(spark: SparkSession, folder: str) -> DataFrame:
     explained = MODEL.explain(_scored(spark, folder))
     phi = F.when(F.col("key") % 7 == 2, F.slice("phi", 1, 50)).otherwise(F.col("phi"))
     return explain.importance(explained.withColumn("phi", phi)).withColumn(
-        "mean_size", F.round("mean_size", 6)
+        "mean_size", F.round("mean_size", 12)
     )
 
 
