@@ -99,7 +99,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Fixed size: one number for each cell.
         total = np.zeros(SIZE * (SIZE + 1), dtype=np.int64)
-        for batch in batches:
+        for batch in W.pieces(batches, "tokens"):
             tokens, ends = _tokens(batch.column(0))
             total += np.bincount(_pairs(tokens, ends)[1], minlength=len(total))
             total += np.bincount(SIZE * SIZE + tokens, minlength=len(total))
@@ -152,7 +152,7 @@ def models(target: DataFrame, every: DataFrame) -> Models:
 def losses(rows: DataFrame, found: Models) -> DataFrame:
     """``(doc_id, tokens, target_loss, background_loss)``, losses per token in nats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.pieces(batches, "tokens"):
             tokens, ends = _tokens(batch.column(1))
             n = np.diff(ends)
             row = np.repeat(np.arange(len(n)), n)
