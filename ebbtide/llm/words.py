@@ -59,20 +59,21 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_, offsets
 
 
-def spans(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """First row and number of rows of stretches of about ``PIECE`` bytes."""
+def spans(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of stretches of about ``most`` bytes."""
     offsets, at = buffer_of(texts)[1], 0
     while at < len(texts):
-        to = int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
         to = max(to, at + 1)
         yield at, to - at
         at = to
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE
+           ) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in small batches, by the bytes of their texts."""
     for batch in batches:
-        for at, n in spans(batch.column(text)):
+        for at, n in spans(batch.column(text), most):
             yield batch.slice(at, n)
 
 

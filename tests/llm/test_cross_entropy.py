@@ -83,3 +83,25 @@ def test_query_separates_by_quality(spark, folder):
     mean = [[r.difference for r in rows if labels.get(r.doc_id) == q] for q in (0, 1)]
     assert sum(mean[0]) / len(mean[0]) > sum(mean[1]) / len(mean[1])
     assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_rare_words_count_as_themselves(spark, monkeypatch):
+    # 3,000 words, all beyond the commonest: documents differ in rare words alone.
+    monkeypatch.setattr(cross_entropy, "BLOCK", 4000)
+    draw = random.Random(3)
+    common = [f"c{i}" for i in range(1100)]
+    rare = [f"r{i}" for i in range(2000)]
+    docs = [(i, " ".join(common)) for i in range(6)]
+    docs += [(100 + i, " ".join(draw.choices(rare[i % 2::2], k=40))) for i in range(200)]
+    targets = {i for i, _ in docs if i >= 100 and i % 2}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    wanted = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    rows = {r.doc_id: r for r in cross_entropy.scored(frame, wanted).collect()}
+    words = {w for _, t in docs for w in t.split()}
+    assert len(words) > cross_entropy.SIZE
+    monkeypatch.setattr(cross_entropy, "SIZE", len(words))
+    for i, (target, background) in plain_scores(docs, targets, words).items():
+        assert rows[i].target_loss == pytest.approx(target, rel=1e-9)
+        assert rows[i].background_loss == pytest.approx(background, rel=1e-9)
+    assert max(rows[i].difference for i in targets) < min(
+        rows[i].difference for i, _ in docs if i >= 100 and i not in targets)
