@@ -2,9 +2,9 @@
 
 1. All n-grams of the test items are counted in the corpus. A bit table of fixed largest
    size drops nearly all other n-grams inside the tasks; an exact join drops the rest.
-2. Of every few neighbouring n-grams of an item the one in the fewest documents becomes a
-   seed. A common phrase therefore seeds an item only where it has nothing rarer, and any
-   unchanged run of ``GRAM + APART - 1`` words of an item contains a seed.
+2. Every n-gram of an item that some document has is a seed, if it is rare: in at most
+   ``RARE`` documents, or one document in ``ONE_IN`` if that is more. Of the common ones, the
+   rarest of every few neighbours is a seed. N-grams that no document has are no seeds.
 3. Documents with a seed give their words around it (as hashes). Seeds are joined to items
    by an exact join, which gives each pair of region and item the stretch to look at.
 4. The item is aligned with that stretch: match +1, mismatch or gap -1. A document is
@@ -12,13 +12,14 @@
    ``LEAST`` words or the whole item.
 
 Words are runs of letters, marks and digits, lower-cased. Null or empty texts match nothing,
-nor do items with fewer words than an n-gram. Repeated rows and items give the same pair,
-which is reported once. No documents or no items: no pairs.
+and an item with fewer words than an n-gram matches where all its words stand in a row.
+Repeated rows and items give the same pair, which is reported once. No documents or no items:
+no pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 GRAM = 3
 APART = 4
+#: Documents that a rare n-gram is in at most, or one of so many if that is more.
+RARE, ONE_IN = 1_000, 1_000
 SHARE = 0.5
 LEAST = 8
 #: Cells of one row of alignments that are computed together.
@@ -38,14 +41,18 @@ ONE = np.int64(1 << 32)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, words, grams)``: hashes of the words and of the n-grams, by place."""
+    """``(item_id, words, grams)``: hashes of the words and of the n-grams, by place. An item
+    with fewer words than an n-gram is one shorter n-gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, hashes = W.words(batch.column(1))
-            at, grams = W.grams(rows, hashes, GRAM)
             n = batch.num_rows
+            ends = W.first_words(rows, n)
+            at, grams, size = _grams(rows, hashes, range(1, GRAM + 1))
+            own = size == np.minimum(np.diff(ends), GRAM)[rows[at]]
+            at, grams = at[own], grams[own]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), _lists(W.signed(hashes), W.first_words(rows, n)),
+                batch.column(0), _lists(W.signed(hashes), ends),
                 _lists(W.signed(grams), W.first_words(rows[at], n))],
                 names=["item_id", "words", "grams"])
 
@@ -55,16 +62,27 @@ def _items(benchmark: DataFrame) -> DataFrame:
         "size(grams) > 0").distinct()
 
 
+def _grams(rows: np.ndarray, hashes: np.ndarray, sizes: Iterable[int]
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the first word, hash and size of every n-gram of the sizes, by the index."""
+    found = [(*W.grams(rows, hashes, n), n) for n in sizes]
+    at = np.concatenate([a for a, _, _ in found])
+    order = np.argsort(at, kind="stable")
+    return (at[order], np.concatenate([g for _, g, _ in found])[order],
+            np.concatenate([np.full(len(a), n) for a, _, n in found])[order])
+
+
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
-def _document_counts(texts: DataFrame, bits: int, table: np.ndarray) -> DataFrame:
+def _document_counts(texts: DataFrame, bits: int, table: np.ndarray, sizes: list[int]
+                     ) -> DataFrame:
     """``(gram, docs)``: in how many documents of a batch an n-gram of the table occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches):
             rows, hashes = W.words(batch.column(0))
-            at, grams = W.grams(rows, hashes, GRAM)
+            at, grams, _ = _grams(rows, hashes, sizes)
             found = in_table(grams, bits, table)
             pairs = np.unique(np.stack([grams[found], rows[at[found]].astype(np.uint64)]), axis=1)
             gram, docs = np.unique(pairs[0], return_counts=True)
@@ -75,13 +93,14 @@ def _document_counts(texts: DataFrame, bits: int, table: np.ndarray) -> DataFram
         F.sum("docs").alias("docs"))
 
 
-def _regions(texts: DataFrame, bits: int, table: np.ndarray, reach: int) -> DataFrame:
+def _regions(texts: DataFrame, bits: int, table: np.ndarray, sizes: list[int], reach: int
+             ) -> DataFrame:
     """``(doc_id, mark, start, words, at, grams)``: the words up to ``reach`` words from a
     seed, the place of the first, and the seeds with their places in the document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches):
             rows, hashes = W.words(batch.column(2))
-            at, grams = W.grams(rows, hashes, GRAM)
+            at, grams, _ = _grams(rows, hashes, sizes)
             found = in_table(grams, bits, table)
             at, grams = at[found], grams[found]
             ends = W.first_words(rows, batch.num_rows)
@@ -175,13 +194,15 @@ def _aligned(pairs: DataFrame, share: float) -> DataFrame:
                                  "first_word long, last_word long")
 
 
-def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(gram, number, offset)``: of each ``APART`` neighbouring n-grams the rarest."""
-    counted = grams.join(counts, "gram", "left").withColumn(
-        "rare", F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "offset", "gram"))
-    ahead = Window.partitionBy("number").orderBy("offset").rowsBetween(0, APART - 1)
-    return counted.select("number", F.min("rare").over(ahead).alias("r")).select(
-        F.col("r.gram").alias("gram"), "number", F.col("r.offset").alias("offset")).distinct()
+def seeds(grams: DataFrame, counts: DataFrame, rare: int = 0) -> DataFrame:
+    """``(gram, number, offset)``: the n-grams that at most ``rare`` documents have, and of each
+    ``APART`` neighbouring ones of the others the rarest. N-grams without documents go."""
+    counted = grams.join(counts, "gram").withColumn("c", F.struct("docs", "offset", "gram"))
+    ahead = Window.partitionBy("number").orderBy("offset").rangeBetween(0, APART - 1)
+    common = counted.where(F.col("docs") > rare).select("number", F.min("c").over(ahead).alias("c"))
+    few = counted.where(F.col("docs") <= rare).select("number", "c")
+    return few.unionAll(common).select(
+        F.col("c.gram").alias("gram"), "number", F.col("c.offset").alias("offset")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -191,13 +212,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
     grams = stored(items.select("number", F.posexplode("grams").alias("offset", "gram")),
                    "item-grams")
     reach = items.agg(F.max(F.size("words"))).first()[0] or 0
+    # At most GRAM rows.
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(GRAM)))
+                   .distinct().collect()) or [GRAM]
     texts = docs.select(docs["doc_id"].alias("doc_id"), mark(docs).alias("mark"),
                         W.normalised(docs["text"]).alias("text"))
     every = grams.select("gram").distinct()
     known = bit_table(every.withColumnRenamed("gram", "hash"))
-    counts = stored(_document_counts(texts, *known).join(every, "gram"), "counts")
-    rare = stored(seeds(grams, counts), "seeds")
-    found = stored(_regions(texts, *bit_table(rare.select(F.col("gram").alias("hash")).distinct()), reach)
+    counts = stored(_document_counts(texts, *known, sizes).join(every, "gram"), "counts")
+    rare = stored(seeds(grams, counts, max(RARE, docs.count() // ONE_IN)), "seeds")
+    wanted = bit_table(rare.select(F.col("gram").alias("hash")).distinct())
+    found = stored(_regions(texts, *wanted, sizes, reach)
                    .withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = found.select("region", F.explode(F.arrays_zip("grams", "at")).alias("h")).select(
         "region", F.col("h.grams").alias("gram"), F.col("h.at").alias("at"))

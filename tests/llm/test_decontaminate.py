@@ -96,3 +96,40 @@ def test_common_grams_are_not_seeds_where_rarer_ones_are_near(spark):
     counts = spark.createDataFrame([(100, 9), (101, 1), (102, 9), (103, 9), (104, 9), (105, 2)],
                                    "gram long, docs long")
     assert {r.gram for r in decontaminate.seeds(grams, counts).collect()} == {101, 105}
+
+
+def test_regularly_spaced_edits_are_found_beside_a_verbatim_copy(spark):
+    item = [f"w{i}" for i in range(36)]
+    spaced = ["x" if i % 6 == 5 else w for i, w in enumerate(item)]
+    assert plain_alignment(item, spaced) >= 0.5 * len(item)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    around = " ".join(f"a{i}" for i in range(50))
+    docs = [(1, f"{around} {' '.join(spaced)} {around}"), (3, around)]
+    verbatim = (2, f"{around} {' '.join(item)}")
+    for some in (docs, [*docs, verbatim]):
+        frame = spark.createDataFrame(some, "doc_id long, text string")
+        rows = {r.doc_id: r for r in decontaminate.contaminated(frame, bench).collect()}
+        assert set(rows) == {d for d, _ in some} - {3}
+        assert rows[1].score * 36 == plain_alignment(item, spaced)
+        assert (rows[1].first_word, rows[1].last_word) == (50, 84)
+
+
+def test_seeds_are_ngrams_that_documents_have(spark):
+    grams = spark.createDataFrame([(0, i, 100 + i) for i in range(8)],
+                                  "number long, offset int, gram long")
+    counts = spark.createDataFrame([(101, 2), (102, 3), (105, 50), (106, 40), (107, 60)],
+                                   "gram long, docs long")
+    assert {r.gram for r in decontaminate.seeds(grams, counts).collect()} == {101, 102, 106, 107}
+    rare = decontaminate.seeds(grams, counts, 3)
+    assert {r.gram for r in rare.collect()} == {101, 102, 106, 107}
+    assert decontaminate.seeds(grams, counts, 60).count() == 5
+
+
+def test_short_items_match_as_a_whole(spark):
+    bench = spark.createDataFrame([(1, "alpha"), (2, "beta, gamma"), (3, "one two three")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "an Alpha here"), (2, "beta x gamma"), (3, "the beta gamma"),
+                                  (4, "beta"), (5, "one two three four")], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id, r.first_word, r.last_word) for r in found} == {
+        (1, 1, 1, 1), (3, 2, 1, 2), (5, 3, 0, 2)}
