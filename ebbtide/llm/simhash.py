@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 
 from ebbtide.llm.components import components
-from ebbtide.llm.scratch import drop, keep_rows, narrow, stored
+from ebbtide.llm.scratch import drop, keep_rows, mark, narrow, stored
 from pyspark.sql import Column, DataFrame, functions as F
 
 BITS = 64
@@ -63,10 +63,11 @@ def _fingerprint_udf(shingle: int):
     return of
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` per row; fp is the fingerprint as a signed long."""
-    return narrow(docs, ["doc_id", "text"]).select(
-        "doc_id", _fingerprint_udf(shingle)("text").alias("fp"))
+def fingerprints(docs: DataFrame, shingle: int = 3, marked: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` per row, with ``mark`` if asked; fp is the fingerprint as a signed long."""
+    rows = narrow(docs, ["doc_id", "text"])
+    return rows.select("doc_id", _fingerprint_udf(shingle)("text").alias("fp"),
+                       *[mark(rows).alias("mark")] * marked)
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -158,20 +159,22 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
             "fp", F.col("finer").alias("table"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """``(doc_id, fp, root, component_id)`` per row of the documents.
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, marked: bool = False
+           ) -> DataFrame:
+    """``(doc_id, fp, root, component_id)`` per row of the documents, with ``mark`` if asked.
 
     component_id is the smallest doc_id that chains of fingerprints within the radius
     reach, root the smallest such fingerprint.
     """
-    prints = stored(fingerprints(docs, shingle), "fingerprints")
+    prints = stored(fingerprints(docs, shingle, marked), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = stored(nodes.join(linked, "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     member = rooted.join(least, "root").select("fp", "root", "component_id")
-    return prints.join(member, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(member, "fp").select("doc_id", "fp", "root", "component_id",
+                                            *["mark"] * marked)
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -182,15 +185,17 @@ def hexadecimal(fp: Column) -> Column:
 def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One document of each group: the one with the smallest doc_id; all columns stay.
 
-    Of rows that repeat that doc_id one stays. A group without any id keeps one row.
+    Of a group's rows that repeat that doc_id one stays. Another group's rows of that id are
+    told apart by their texts. A group without any id keeps one row.
     """
-    found = stored(groups(docs, shingle, radius), "groups")
-    kept = (found.where("doc_id = component_id").groupBy("doc_id").count()
-            .withColumnRenamed("count", "rows"))
-    often = kept.where("rows > 1").select("doc_id")
-    result = keep_rows(docs, kept.where("rows = 1").select("doc_id"))
+    found = stored(groups(docs, shingle, radius, marked=True), "groups")
+    kept = (found.where("doc_id = component_id").groupBy("root", "doc_id", "mark").count()
+            .groupBy("root", "doc_id").agg(F.min(F.struct("mark", "count")).alias("r"))
+            .select("doc_id", "r.mark", F.col("r.count").alias("rows")))
+    often = kept.where("rows > 1").select("doc_id", "mark")
+    result = keep_rows(docs, kept.where("rows = 1").select("doc_id", "mark"))
     if not often.isEmpty():
-        result = result.unionByName(keep_rows(docs, often).dropDuplicates(["doc_id"]))
+        result = result.unionByName(keep_rows(docs, often).dropDuplicates(["doc_id", "text"]))
     nameless = found.where("component_id IS NULL").select(
         F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
     if not nameless.isEmpty():

@@ -97,3 +97,12 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r[1] for r in found if r[0] is None) == [
         "alone without an id", "another one without id"]
     assert simhash.deduplicated(docs.where("false")).count() == 0
+
+
+def test_one_id_on_texts_of_two_groups(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    # Id 1 is the smallest of the groups of a and b; id 2 of that of c alone.
+    rows = [(1, a), (5, a), (1, b), (6, b), (2, c), (2, a), (1, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.deduplicated(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (1, b), (2, c)]
