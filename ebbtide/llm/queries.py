@@ -9,6 +9,7 @@ from ebbtide.llm import (
     cross_entropy,
     decontaminate,
     html_main,
+    interactions,
     language,
     mixing,
     nearest,
@@ -90,3 +91,8 @@ def op10_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_main.extracted(table(spark, folder, "pages"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return interactions.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
