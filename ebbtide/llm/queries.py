@@ -16,6 +16,7 @@ from ebbtide.llm import (
     sharding,
     simhash,
     toxicity,
+    whitening,
 )
 from ebbtide.llm.scratch import table
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -96,3 +97,8 @@ def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return interactions.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
