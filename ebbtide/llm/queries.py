@@ -13,6 +13,7 @@ from ebbtide.llm import (
     language,
     mixing,
     nearest,
+    secret_scan,
     sharding,
     simhash,
     toxicity,
@@ -102,3 +103,17 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scanned(table(spark, folder, "documents"), ["doc_id"])
+    fixed = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "row.doc_id", *[number(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secret_scan.listed(fixed), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"))
