@@ -16,7 +16,7 @@ from ebbtide.operators.brief import (
 )
 from ebbtide.operators.linear import TERMS
 from ebbtide.operators.panel import NARRATIVES
-from ebbtide.plans.catalog import FOREST, SLOTS, SMALL
+from ebbtide.plans.catalog import FEW_VALUES, FOREST, SLOTS, SMALL, THREE_LEAVES
 from ebbtide.schema import (
     CATEGORIES, CATEGORY, COUNT, DATASET_NAMES, FEATURE_COLUMNS, FIELD_NAMES, FIELDS, FLAG,
     KEY_INPUTS, MONEY, NULLABLE_CATEGORIES, SENIOR, YES_NO_FIELDS,
@@ -673,6 +673,78 @@ ORACLES["train_gbt_metrics"] = f"""SELECT 'churn_prediction' AS experiment, {SMA
   true AS learned, true AS loss_falls, CAST(0 AS BIGINT) AS reloaded_unequal FROM orders"""
 
 
+# --- leaf-wise trees, grown level by level from the definition ---
+
+def best_cuts(name: str, rows: str) -> str:
+    """The best cut of every node of ``rows`` (key, g, h, node)."""
+    worth = "pow({0}, 2) / ({1} + {2})".format
+    c = THREE_LEAVES
+    return f"""{name} AS MATERIALIZED (
+  SELECT node, f, v, gain FROM (
+    SELECT *, row_number() OVER (PARTITION BY node ORDER BY f, v) AS place FROM (
+      SELECT *, max(gain) OVER (PARTITION BY node) AS most FROM (
+        SELECT node, f, v, {worth("gl", "hl", d(c.l2))} + {worth("(gt - gl)", "(ht - hl)", d(c.l2))}
+            - {worth("gt", "ht", d(c.l2))} AS gain FROM (
+          SELECT node, f, v, sum(g) OVER upto AS gl, sum(h) OVER upto AS hl, sum(n) OVER upto AS nl,
+                 sum(g) OVER every AS gt, sum(h) OVER every AS ht, sum(n) OVER every AS nt
+          FROM (SELECT node, f, v, sum(g) AS g, sum(h) AS h, count(*) AS n
+                FROM {rows} JOIN cells USING (key) GROUP BY ALL)
+          WINDOW upto AS (PARTITION BY node, f ORDER BY v), every AS (PARTITION BY node, f))
+        WHERE least(nl, nt - nl) >= {c.least_rows} AND least(hl, ht - hl) >= {d(c.least_hessian)}))
+    WHERE gain > 1e-12 AND gain >= most * (1 - {d(1e-10)}))
+  WHERE place = 1)"""
+
+
+def boosted_ctes() -> list[str]:
+    c = THREE_LEAVES
+    ctes = [
+        "learn AS MATERIALIZED (SELECT key, s.Churn AS y, count(*) OVER () / (2.0 * count(*) OVER "
+        "(PARTITION BY s.Churn)) AS w, enc.* EXCLUDE (key) FROM sides s JOIN enc USING (key) WHERE is_train)",
+        f"cells AS MATERIALIZED (SELECT key, unnest(range({len(FEW_VALUES)})) AS f, "
+        f"unnest([{', '.join(f'CAST({x} AS DOUBLE)' for x in FEW_VALUES)}]) AS v FROM learn)",
+        "edges AS MATERIALIZED (SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS edge "
+        "FROM (SELECT DISTINCT f, v FROM cells))",
+        "m0 AS (SELECT key, CAST(0 AS DOUBLE) AS margin FROM learn)",
+    ]
+    for t in range(1, c.trees + 1):
+        ctes += [
+            f"""r{t} AS MATERIALIZED (SELECT key, 1 AS node, w * (p - y) AS g, w * p * (1 - p) AS h FROM (
+  SELECT key, y, w, 1 / (1 + exp(-margin)) AS p FROM learn JOIN m{t - 1} USING (key)))""",
+            best_cuts(f"a{t}", f"r{t}"),
+            f"""s{t} AS MATERIALIZED (SELECT r.key, g, h, CASE WHEN a.f IS NULL THEN 1 WHEN x.v <= a.v THEN 2 ELSE 3 END AS node
+  FROM r{t} r LEFT JOIN a{t} a ON true LEFT JOIN cells x ON x.key = r.key AND x.f = a.f)""",
+            # Two leaves; the better cut of theirs makes the third.
+            best_cuts(f"every{t}", f"(SELECT * FROM s{t} WHERE node > 1)"),
+            f"b{t} AS MATERIALIZED (SELECT * FROM every{t} ORDER BY gain DESC, node LIMIT 1)",
+            f"""l{t} AS MATERIALIZED (SELECT s.key, g, h, CASE WHEN b.f IS NULL THEN s.node
+      WHEN x.v <= b.v THEN 2 * s.node ELSE 2 * s.node + 1 END AS node
+  FROM s{t} s LEFT JOIN b{t} b USING (node) LEFT JOIN cells x ON x.key = s.key AND x.f = b.f)""",
+            f"v{t} AS MATERIALIZED (SELECT node, -{d(c.step)} * sum(g) / (sum(h) + {d(c.l2)}) AS value, "
+            f"count(*) AS rows FROM l{t} GROUP BY node)",
+            f"m{t} AS MATERIALIZED (SELECT key, margin + value AS margin FROM m{t - 1} JOIN l{t} USING (key) "
+            f"JOIN v{t} USING (node))",
+        ]
+    return ctes
+
+
+def boosted_nodes(t: int) -> str:
+    names = "[" + ", ".join(map(q, FEW_VALUES)) + "]"
+    inner = " UNION ALL ".join(
+        f"SELECT {t} AS tree, node, {names}[f + 1] AS feature, edge AS threshold, CAST(NULL AS DOUBLE) "
+        f"AS value, (SELECT count(*) FROM {rows} k WHERE k.node = c.node) AS rows "
+        f"FROM {cut} c JOIN edges USING (f, v)"
+        for cut, rows in ((f"a{t}", f"r{t}"), (f"b{t}", f"s{t}")))
+    return f"""{inner} UNION ALL SELECT {t}, node, NULL, NULL, round(value, 9), rows FROM v{t}"""
+
+
+ORACLES["boosted_leaves"] = with_(TELCO, enc_cte("telco"), SPLIT, *boosted_ctes()) + (
+    "SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, feature, threshold, value, rows FROM ("
+    + " UNION ALL ".join(boosted_nodes(t) for t in range(1, THREE_LEAVES.trees + 1)) + ")")
+ORACLES["boosted_rounds"] = with_(TELCO, SPLIT) + """SELECT CAST(r AS INTEGER) AS round,
+  count(*) FILTER (WHERE is_train) AS train_rows, count(*) FILTER (WHERE NOT is_train) AS test_rows,
+  true AS few_leaves, true AS area_logged, true AS loss_taken FROM sides, range(1, 301) t(r) GROUP BY r"""
+
+
 # --- attributions of the small fixed ensemble, by the definition of Shapley values ---
 
 def expected(tree: dict[int, Node], node: Node, known: frozenset[int]) -> str:

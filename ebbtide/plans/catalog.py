@@ -20,6 +20,7 @@ from ebbtide.operators import (
     encode,
     evaluate,
     explain,
+    leafwise,
     panel,
     score,
     split,
@@ -29,7 +30,9 @@ from ebbtide.operators.attribution import Node
 from ebbtide.operators.boosted import fit, load, losses_by_round
 from ebbtide.operators.linear import LinearModel
 from ebbtide.plans import scoring, training
-from ebbtide.schema import FEATURE_COLUMNS, YES_NO_FIELDS, DataConfig, ModelConfig
+from ebbtide.schema import (
+    FEATURE_COLUMNS, FIELDS, MONEY, YES_NO_FIELDS, DataConfig, ModelConfig,
+)
 from ebbtide.session import fresh_path
 from ebbtide.sources import files, generator, ledger, profiles, telco
 from ebbtide.streaming import requests
@@ -664,6 +667,52 @@ def gbt_rounds(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Columns with few values, so that any engine finds the same bins; three leaves a tree.
+FEW_VALUES = tuple(c for c in FEATURE_COLUMNS if c not in {
+    f.column for f in FIELDS if f.kind == MONEY} | {"CLTV", "Avg_Monthly_GB_Download"})
+THREE_LEAVES = ModelConfig(trees=3, depth=2, leaves=3, step=0.3, l2=0.5)
+
+
+def _sides(spark: SparkSession, folder: str) -> DataFrame:
+    """The encoded customer view with its two sides, stored."""
+    frame = encode.features(_customers(spark, folder), ("key", "Churn"))
+    path = fresh_path(spark, "sides")
+    split.stratified_split(frame).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def boosted_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of leaf-wise trees of the customer view: tests, rows and Newton values."""
+    train = _sides(spark, folder).where("is_train")
+    model = leafwise.fit(train, FEW_VALUES, config=THREE_LEAVES)
+    names = F.array(*[F.lit(c) for c in FEW_VALUES])
+    return leafwise.node_table(spark, model).select(
+        (F.col("tree") + 1).alias("tree"), "node",
+        F.when(F.col("feature") >= 0, F.get(names, F.col("feature"))).alias("feature"),
+        "threshold", F.round("value", 9).alias("value"), F.col("rows").cast("bigint").alias("rows"))
+
+
+@query
+def boosted_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The training job as configured, 300 trees of up to 31 leaves, on the customer view: after
+    each round what the ledger has, and the training rows in the leaves of its tree."""
+    ledger_path = fresh_path(spark, "ledger")
+    table = telco.training_table(_customers(spark, folder))
+    model, ready = training.train_leafwise(spark, table, ledger_path=ledger_path)
+    leaves = leafwise.node_table(spark, model).where("feature < 0").groupBy("tree").agg(
+        F.sum("rows").cast("bigint").alias("train_rows"), F.count("*").alias("leaves"))
+    logged = ledger.runs(spark, ledger_path).select(F.explode("metrics").alias("name", "area"))
+    areas = logged.where("name LIKE 'roc_auc_%'").select(
+        F.substring_index("name", "_", -1).cast("int").alias("round"), "area")
+    losses = F.array(*[F.lit(x) for x in model.losses])
+    return leaves.join(areas, F.col("round") == F.col("tree") + 1).select(
+        "round", "train_rows", F.lit(ready.sizes.get(False, 0)).cast("bigint").alias("test_rows"),
+        F.col("leaves").between(1, 31).alias("few_leaves"),
+        F.col("area").between(0, 1).alias("area_logged"),
+        (F.get(losses, F.col("tree")) > 0).alias("loss_taken"))
+
+
 # A small ensemble on the log-odds scale, for attributions any engine can recompute.
 def _stump_forest() -> list[tuple[float, dict[int, Node]]]:
     c = {name: i for i, name in enumerate(FEATURE_COLUMNS)}

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ebbtide.operators import leafwise
 from ebbtide.operators.attribution import read_trees, staged_scores
 from ebbtide.operators.boosted import ChurnModel, fit, losses_by_round, save
 from ebbtide.operators.clean import training_frame
@@ -38,24 +39,30 @@ def some_rounds(trees: int, n: int = 10) -> list[int]:
     return sorted({max(1, round(trees * i / n)) for i in range(1, n + 1)})
 
 
-def train(
+@dataclass(frozen=True)
+class Prepared:
+    """The encoded training table, split in two, with what was counted on the way."""
+
+    sides: DataFrame
+    columns: list[str]
+    sizes: dict[bool, int]
+    unlabelled: int
+    scratch: list[str]
+
+
+def prepared(
     spark: SparkSession,
     table: DataFrame,
-    key: str = "key",
-    data: DataConfig = DataConfig(),
-    config: ModelConfig = ModelConfig(),
-    model_path: str | None = None,
-    ledger_path: str | None = None,
-    max_rows: int | None = None,
-    rounds: Sequence[int] | None = None,
-) -> TrainingResult:
-    """Train on a raw training table.
+    key: str,
+    data: DataConfig,
+    config: ModelConfig,
+    max_rows: int | None,
+) -> Prepared:
+    """Encode and split a raw training table.
 
-    All labelled rows are used, or the first ``max_rows`` of them by key; the ledger has
-    what was applied. The raw table is read twice: for the vocabulary, and to write the
-    encoded frame to the shared folder. The split's cut is found on two columns of that
-    frame, and both sides are filters over it. ``rounds`` names the numbers of trees after
-    which the area is taken; by default ten.
+    All labelled rows are used, or the first ``max_rows`` of them by key. The raw table is
+    read twice: for the vocabulary, and to write the encoded frame to the shared folder. The
+    split's cut is found on two columns of that frame, and both sides are filters over it.
     """
     encoded, _ = training_frame(table, data, key)
     frame, seen = observed(encoded, "labelled")
@@ -72,8 +79,66 @@ def train(
         stored = spark.read.parquet(kept_path)
     columns = [c for c in encoded.columns if c not in ("key", "Churn")]
     sides = stratified_split(stored, "Churn", "key", config.test_share, config.seed)
-    train_rows = sides.filter("is_train").drop("is_train")
-    test_rows = sides.filter("NOT is_train").drop("is_train")
+    sizes = dict(sides.groupBy("is_train").agg(F.count("*")).collect())
+    return Prepared(sides, columns, sizes, unlabelled, scratch)
+
+
+def _parameters(config: ModelConfig, max_rows: int | None, data: Prepared) -> dict[str, object]:
+    return {**asdict(config), "max_rows": "all" if max_rows is None else max_rows,
+            "rows": sum(data.sizes.values()), "columns": len(data.columns)}
+
+
+def train_leafwise(
+    spark: SparkSession,
+    table: DataFrame,
+    key: str = "key",
+    data: DataConfig = DataConfig(),
+    config: ModelConfig = ModelConfig(),
+    model_path: str | None = None,
+    ledger_path: str | None = None,
+    max_rows: int | None = None,
+) -> tuple[leafwise.LeafwiseModel, Prepared]:
+    """Train leaf-wise trees as configured; the model has the held-out area of every round.
+
+    The ledger has the last area as ``roc_auc`` and each round's as ``roc_auc_<round>``.
+    """
+    ready = prepared(spark, table, key, data, config, max_rows)
+    rows = ready.sides.withColumn("_test", ~F.col("is_train")).drop("is_train")
+    model = leafwise.fit(rows, ready.columns, "Churn", config, "_test")
+    for written in ready.scratch:
+        remove(spark, written)
+    if model_path is not None:
+        leafwise.save(model, model_path)
+    if ledger_path is not None:
+        areas = {f"roc_auc_{i}": a for i, a in enumerate(model.areas, 1) if a is not None}
+        if model.areas and model.areas[-1] is not None:
+            areas["roc_auc"] = model.areas[-1]
+        record_run(spark, ledger_path, _parameters(config, max_rows, ready), areas,
+                   model_path or "")
+    return model, ready
+
+
+def train(
+    spark: SparkSession,
+    table: DataFrame,
+    key: str = "key",
+    data: DataConfig = DataConfig(),
+    config: ModelConfig = ModelConfig(),
+    model_path: str | None = None,
+    ledger_path: str | None = None,
+    max_rows: int | None = None,
+    rounds: Sequence[int] | None = None,
+) -> TrainingResult:
+    """Train on a raw training table.
+
+    The table is encoded and split as :func:`prepared` says; the ledger has what was
+    applied. ``rounds`` names the numbers of trees after which the area is taken; by default
+    ten, as each repeats the test rows. :func:`train_leafwise` takes all of them.
+    """
+    ready = prepared(spark, table, key, data, config, max_rows)
+    columns, sizes = ready.columns, ready.sizes
+    train_rows = ready.sides.filter("is_train").drop("is_train")
+    test_rows = ready.sides.filter("NOT is_train").drop("is_train")
 
     model = fit(train_rows, columns, "Churn", config)
     auc = roc_auc(model.score(test_rows), "Churn", "probability").head()["auc"]
@@ -82,15 +147,13 @@ def train(
                            rounds or some_rounds(config.trees))
     areas = {r["round"]: r["auc"] for r in roc_auc(
         staged, "Churn", "probability", by=["round"]).collect()}
-    sizes = dict(sides.groupBy("is_train").agg(F.count("*")).collect())
-    for written in scratch:
+    for written in ready.scratch:
         remove(spark, written)
     run_id = None
     if model_path is not None:
         save(model, model_path)
     if ledger_path is not None:
-        params = {**asdict(config), "max_rows": "all" if max_rows is None else max_rows,
-                  "rows": sum(sizes.values()), "columns": len(columns)}
-        run_id = record_run(spark, ledger_path, params, {"roc_auc": auc}, model_path or "")
-    return TrainingResult(model, auc, sizes.get(True, 0), sizes.get(False, 0), unlabelled,
+        run_id = record_run(spark, ledger_path, _parameters(config, max_rows, ready),
+                            {"roc_auc": auc}, model_path or "")
+    return TrainingResult(model, auc, sizes.get(True, 0), sizes.get(False, 0), ready.unlabelled,
                           tuple(losses), areas, run_id)

@@ -156,7 +156,7 @@ class DataConfig:
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """Training parameters. ``trees``/``depth``/``step`` feed the boosted trees."""
+    """Training parameters. Level-wise trees take ``trees``, ``depth`` and ``step`` of them."""
 
     seed: int = 42
     test_share: float = 0.20
@@ -164,6 +164,12 @@ class ModelConfig:
     trees: int = 300
     depth: int = 5
     step: float = 0.05
+    leaves: int = 31
+    l2: float = 0.1
+    #: Bins of a column, and what a child of a split must have.
+    bins: int = 255
+    least_rows: int = 20
+    least_hessian: float = 1e-3
 
 
 HIGH_FROM = 0.70
