@@ -35,6 +35,8 @@ APART = 4
 RARE, ONE_IN = 1_000, 1_000
 SHARE = 0.5
 LEAST = 8
+#: Bytes of texts whose n-grams a task holds at once, if no single text is longer.
+PIECE = 1 << 20
 #: Cells of one row of alignments that are computed together.
 CELLS = 1 << 18
 ONE = np.int64(1 << 32)
@@ -72,6 +74,22 @@ def _grams(rows: np.ndarray, hashes: np.ndarray, sizes: Iterable[int]
             np.concatenate([np.full(len(a), n) for a, _, n in found])[order])
 
 
+def _known(texts: pa.Array, sizes: Iterable[int], bits: int, table: np.ndarray
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of every word; index of the first word and hash of every n-gram that the
+    bit table has, by the index. The others are dropped size by size."""
+    rows, hashes = W.words(texts)
+    places, grams = [], []
+    for n in sizes:
+        at, found = W.grams(rows, hashes, n)
+        kept = in_table(found, bits, table)
+        places.append(at[kept])
+        grams.append(found[kept])
+    at = np.concatenate(places)
+    order = np.argsort(at, kind="stable")
+    return rows, hashes, at[order], np.concatenate(grams)[order]
+
+
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
@@ -80,11 +98,9 @@ def _document_counts(texts: DataFrame, bits: int, table: np.ndarray, sizes: list
                      ) -> DataFrame:
     """``(gram, docs)``: in how many documents of a batch an n-gram of the table occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches):
-            rows, hashes = W.words(batch.column(0))
-            at, grams, _ = _grams(rows, hashes, sizes)
-            found = in_table(grams, bits, table)
-            pairs = np.unique(np.stack([grams[found], rows[at[found]].astype(np.uint64)]), axis=1)
+        for batch in W.pieces(batches, most=PIECE):
+            rows, _, at, grams = _known(batch.column(0), sizes, bits, table)
+            pairs = np.unique(np.stack([grams, rows[at].astype(np.uint64)]), axis=1)
             gram, docs = np.unique(pairs[0], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(W.signed(gram)), pa.array(docs.astype(np.int64))], names=["gram", "docs"])
@@ -98,11 +114,8 @@ def _regions(texts: DataFrame, bits: int, table: np.ndarray, sizes: list[int], r
     """``(doc_id, mark, start, words, at, grams)``: the words up to ``reach`` words from a
     seed, the place of the first, and the seeds with their places in the document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches):
-            rows, hashes = W.words(batch.column(2))
-            at, grams, _ = _grams(rows, hashes, sizes)
-            found = in_table(grams, bits, table)
-            at, grams = at[found], grams[found]
+        for batch in W.pieces(batches, most=PIECE):
+            rows, hashes, at, grams = _known(batch.column(2), sizes, bits, table)
             ends = W.first_words(rows, batch.num_rows)
             row = rows[at]
             start = np.maximum(at - reach, ends[row])
@@ -165,8 +178,7 @@ def _aligned(pairs: DataFrame, share: float) -> DataFrame:
     """``(doc_id, mark, item_id, score, first_word, last_word)`` of contaminated stretches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [np.asarray(x, np.int64) for x in batch.column("item").to_pylist()]
-            texts = [np.asarray(x, np.int64) for x in batch.column("words").to_pylist()]
+            items, texts = ([x.values.to_numpy() for x in batch.column(c)] for c in ("item", "words"))
             start = batch.column("start").to_numpy()
             order = sorted(range(len(items)), key=lambda i: len(texts[i]))
             kept, scores, firsts, lasts = [], [], [], []

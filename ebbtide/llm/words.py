@@ -59,8 +59,9 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_, offsets
 
 
-def spans(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
-    """First row and number of rows of stretches of about ``most`` bytes."""
+def spans(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of stretches of about ``most`` bytes, ``PIECE`` if none."""
+    most = PIECE if most is None else most
     offsets, at = buffer_of(texts)[1], 0
     while at < len(texts):
         to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
@@ -69,7 +70,7 @@ def spans(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int | None = None
            ) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in small batches, by the bytes of their texts."""
     for batch in batches:
