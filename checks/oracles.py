@@ -740,6 +740,7 @@ def boosted_nodes(t: int) -> str:
 ORACLES["boosted_leaves"] = with_(TELCO, enc_cte("telco"), SPLIT, *boosted_ctes()) + (
     "SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, feature, threshold, value, rows FROM ("
     + " UNION ALL ".join(boosted_nodes(t) for t in range(1, THREE_LEAVES.trees + 1)) + ")")
+ORACLES["deep_additivity"] = ORACLES["additivity_audit"]
 ORACLES["boosted_rounds"] = with_(TELCO, SPLIT) + """SELECT CAST(r AS INTEGER) AS round,
   count(*) FILTER (WHERE is_train) AS train_rows, count(*) FILTER (WHERE NOT is_train) AS test_rows,
   true AS few_leaves, true AS area_logged, true AS loss_taken FROM sides, range(1, 301) t(r) GROUP BY r"""

@@ -5,6 +5,11 @@ Whether a row meets each of them is a bit mask, and the Shapley values of a path
 fixed table over the masks. So the ensemble becomes a small table of paths, and a row
 is explained by comparing, looking up and adding; nothing walks a tree per row.
 
+The table doubles with every feature, so beyond ``MAX_SLOTS`` features on a path it gives way to
+the polynomial itself: a path is the product of ``ratio + met * t`` over its features, built for
+a block of rows at once, and leaving one feature out divides its factor away again. That takes
+depth^2 steps a path, whatever the depth.
+
 Shapley values over paths: Lundberg et al. 2020 (TreeSHAP); Mitchell et al. 2022.
 """
 
@@ -24,7 +29,7 @@ from ebbtide.operators.linear import feature_array
 from ebbtide.session import fresh_path, remove
 
 MAX_NODES = 200_000
-#: A mask of met slots is one byte.
+#: Features on a path up to which contributions are looked up: a mask is one byte.
 MAX_SLOTS = 8
 #: Of the broadcast path table.
 MAX_BYTES = 1 << 29
@@ -53,15 +58,18 @@ class PathTable:
     """All paths of an ensemble, padded to the same number of features.
 
     A row meets slot s of a path if low < x <= high. ``table[path, mask, slot]`` is
-    what the slot's feature contributes under a mask of met slots.
+    what the slot's feature contributes under a mask of met slots. Paths with many features
+    have no table but the cover share of each slot, 1 in padding, and the value of the leaf.
     """
 
     feature: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    table: np.ndarray
+    table: np.ndarray | None
     bias: float
     columns: tuple[str, ...]
+    ratio: np.ndarray | None = None
+    value: np.ndarray | None = None
 
 
 def _shapley_tables(ratios: np.ndarray) -> np.ndarray:
@@ -116,27 +124,31 @@ def path_table(
     paths = [p for weight, nodes in trees for p in _paths(nodes, weight)]
     slots = max([len(asked) for asked, _, _ in paths] + [1])
     n = len(paths)
-    size = n * slots * ((8 << slots) + 24)
-    if slots > MAX_SLOTS or size > MAX_BYTES:
+    deep = slots > MAX_SLOTS
+    size = n * slots * (32 if deep else (8 << slots) + 24)
+    if size > MAX_BYTES:
         raise EnsembleTooLarge(f"{n} paths of up to {slots} features need {size:,} bytes")
     feature = np.zeros((n, slots), dtype=np.int32)
     low = np.full((n, slots), -np.inf)
     high = np.full((n, slots), np.inf)
-    table = np.zeros((n, 1 << slots, slots))
+    ratio = np.ones((n, slots))
     bias = 0.0
     by_width: dict[int, list[int]] = {}
     for p, (asked, value, share) in enumerate(paths):
         bias += value * share
         by_width.setdefault(len(asked), []).append(p)
-        for s, (f, (lo, hi, _)) in enumerate(sorted(asked.items())):
-            feature[p, s], low[p, s], high[p, s] = f, lo, hi
+        for s, (f, (lo, hi, r)) in enumerate(sorted(asked.items())):
+            feature[p, s], low[p, s], high[p, s], ratio[p, s] = f, lo, hi, r
+    if deep:
+        values = np.array([value for _, value, _ in paths])
+        return PathTable(feature, low, high, None, bias, tuple(columns), ratio, values)
+    table = np.zeros((n, 1 << slots, slots))
     for k, members in by_width.items():
         # Padding slots are always met, so they only repeat the table; they add nothing.
         masks = np.arange(1 << slots) & ((1 << k) - 1)
         for at in range(0, len(members), PATHS_AT_ONCE):
             some = members[at:at + PATHS_AT_ONCE]
-            ratios = np.array([[r for _, (_, _, r) in sorted(paths[p][0].items())] for p in some])
-            found = _shapley_tables(ratios.reshape(len(some), k))
+            found = _shapley_tables(ratio[some, :k])
             values = np.array([paths[p][1] for p in some])
             table[some, :, :k] = values[:, None, None] * found[:, masks]
     return PathTable(feature, low, high, table, bias, tuple(columns))
@@ -172,6 +184,62 @@ def read_trees(spark: SparkSession, model: ChurnModel) -> list[tuple[float, dict
     return [(2.0 * weights[i], trees[i]) for i in sorted(trees)]
 
 
+def deep_contributions(spark: SparkSession, paths: PathTable, values: Column) -> Column:
+    """``phi`` as :func:`contributions` has it, for paths of any number of features.
+
+    Of a path's polynomial the coefficient of t^j belongs to the sets of j known features. A
+    feature that a row meets has the factor ``ratio + t``: dividing it away goes from the
+    highest coefficient down and multiplies errors by the ratio, below 1. One it does not meet
+    has the constant factor ``ratio``.
+    """
+    shared = spark.sparkContext.broadcast(paths.__dict__)
+    n_features = len(paths.columns)
+
+    @F.pandas_udf("array<double>")
+    def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from math import factorial
+
+        import numpy as np
+        import pandas as pd
+
+        p = shared.value
+
+        def block(x: np.ndarray) -> np.ndarray:
+            n = len(x)
+            phi = np.zeros((n_features, n))
+            for feature, low, high, ratio, value in zip(
+                    p["feature"], p["low"], p["high"], p["ratio"], p["value"]):
+                slots = np.flatnonzero(np.isfinite(low) | np.isfinite(high))
+                k = len(slots)
+                own = x[:, feature[slots]].T
+                met = (own > low[slots, None]) & (own <= high[slots, None])
+                whole = np.zeros((k + 1, n))
+                whole[0] = 1.0
+                for s, r in enumerate(ratio[slots]):
+                    whole[1:s + 2] = r * whole[1:s + 2] + met[s] * whole[:s + 1]
+                    whole[0] *= r
+                weights = [factorial(j) * factorial(k - j - 1) / factorial(k) for j in range(k)]
+                # For an unmet feature -ratio times the rest is the whole with its sign changed.
+                unmet = -np.tensordot(weights, whole[:k], 1)
+                for s, (f, r) in enumerate(zip(feature[slots], ratio[slots])):
+                    rest, total = np.zeros(n), np.zeros(n)
+                    for j in range(k, 0, -1):
+                        rest = whole[j] - r * rest
+                        total += weights[j - 1] * rest
+                    phi[f] += value * np.where(met[s], (1 - r) * total, unmet)
+            return phi.T
+
+        for batch in batches:
+            out = np.zeros((len(batch), n_features))
+            if len(batch):
+                x = np.stack(batch.to_numpy()).astype(np.float64)
+                for start in range(0, len(x), 4096):
+                    out[start:start + 4096] = block(x[start:start + 4096])
+            yield pd.Series(list(out))
+
+    return explain(values)
+
+
 def contributions(spark: SparkSession, paths: PathTable, values: Column) -> Column:
     """``phi`` for an array column of feature values in the model's column order.
 
@@ -181,6 +249,8 @@ def contributions(spark: SparkSession, paths: PathTable, values: Column) -> Colu
     other columns stay. The helper is self-contained, so executors need nothing but
     numpy and pandas.
     """
+    if paths.table is None:
+        return deep_contributions(spark, paths, values)
     shared = spark.sparkContext.broadcast(paths.__dict__)
     n_features = len(paths.columns)
 

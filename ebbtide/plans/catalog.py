@@ -713,6 +713,17 @@ def boosted_rounds(spark: SparkSession, folder: str) -> DataFrame:
         (F.get(losses, F.col("tree")) > 0).alias("loss_taken"))
 
 
+@query
+def deep_additivity(spark: SparkSession, folder: str) -> DataFrame:
+    """Attributions of trees of up to twelve levels add up to the log-odds of every row."""
+    config = ModelConfig(trees=2, depth=12, leaves=40, step=0.3, least_rows=2)
+    rows = _sides(spark, folder)
+    model = leafwise.fit(rows.where("is_train"), config=config)
+    paths = attribution.path_table(model.ensemble(), model.columns)
+    explained = attribution.explain_trees(spark, paths, model.score(rows))
+    return explain.additivity_audit(explained).select("rows", "audited", "additive")
+
+
 # A small ensemble on the log-odds scale, for attributions any engine can recompute.
 def _stump_forest() -> list[tuple[float, dict[int, Node]]]:
     c = {name: i for i, name in enumerate(FEATURE_COLUMNS)}

@@ -137,6 +137,32 @@ def test_attributions_equal_the_definition(spark, seed):
         assert math.isclose(sum(row.phi) + row.bias, total, abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_deep_contributions_equal_the_definition(spark, monkeypatch, seed):
+    monkeypatch.setattr(attribution, "MAX_SLOTS", 1)
+    rng = random.Random(seed)
+    trees = [(rng.uniform(0.2, 1), random_tree(rng, 5, 5)) for _ in range(4)]
+    paths = attribution.path_table(trees, list("abcde"))
+    assert paths.table is None
+    xs = [[rng.random() for _ in range(5)] for _ in range(20)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(xs)], "key long, a double, b double, c double, d double, e double")
+    for row, x in zip(attribution.explain_trees(spark, paths, df).orderBy("key").collect(), xs):
+        np.testing.assert_allclose(row.phi, brute_phi(trees, x), atol=1e-12)
+
+
+def test_twelve_levels_add_up(spark):
+    rng = random.Random(12)
+    names = [f"x{i}" for i in range(14)]
+    trees = [(1.0, random_tree(rng, 14, 12)) for _ in range(2)]
+    paths = attribution.path_table(trees, names)
+    assert paths.table is None and paths.feature.shape[1] > 9
+    xs = [[rng.random() for _ in names] for _ in range(12)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(xs)], "key long, " + ", ".join(f"{n} double" for n in names))
+    for row, x in zip(attribution.explain_trees(spark, paths, df).orderBy("key").collect(), xs):
+        total = sum(value_of(t, t[0], x, set(range(14))) for _, t in trees)
+        assert math.isclose(sum(row.phi) + row.bias, total, abs_tol=1e-9)
+
+
 def test_a_lone_leaf_has_no_contributions(spark):
     paths = attribution.path_table([(1.0, {0: Node(0, 0.7, 10.0)})], ["a"])
     row = attribution.explain_trees(spark, paths, spark.createDataFrame([(1.0,)], "a double")).first()
