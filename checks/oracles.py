@@ -847,6 +847,9 @@ ORACLES["stream_score"] = with_(
 FROM scored s JOIN ranked r ON s.key = r.key AND r.rank = 0"""
 ORACLES["stream_ingest"] = with_(TELCO, DAMAGED) + "SELECT key, raw FROM damaged"
 
+ORACLES["stream_capped"] = with_(TELCO, DAMAGED) + """SELECT least(count(*), 1000) AS rows,
+  least(count(DISTINCT (key, raw)), 1000) AS records, least(count(*), 1000) AS counted FROM damaged"""
+
 
 def counted(unit: str, limit: int) -> str:
     start = f"date_trunc('{unit}', ts)"

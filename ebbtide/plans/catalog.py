@@ -869,6 +869,17 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return stream.ingested(spark, target, "key")
 
 
+@query
+def stream_capped(spark: SparkSession, folder: str) -> DataFrame:
+    """Records taken in until there are 1,000: how many, of how many customers."""
+    target, checkpoint = fresh_path(spark, "capped"), fresh_path(spark, "checkpoint")
+    rows = stream.record_stream(spark, _arrived(spark, folder), files_per_batch=1)
+    taken = stream.CappedIngest(rows, target, checkpoint, "key", 1000).run()
+    return stream.ingested(spark, target, "key").agg(
+        F.count("*").alias("rows"), F.count_distinct("key", "raw").alias("records")).withColumn(
+        "counted", F.lit(taken).cast("bigint"))
+
+
 def _request_log(events: DataFrame) -> DataFrame:
     return events.select("ts", F.col("user_id").alias("client"))
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
+import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ebbtide.operators.validate import check_records, quarantine, valid_records
@@ -20,18 +22,23 @@ class IngestProgress(StreamingQueryListener):
     """Counts the rows of one stream and logs them from time to time.
 
     A report is due after each tenth of the expected rows, but not more often than every
-    1,000. :func:`start_ingest` adds one for its own stream; it hears no other.
+    1,000. :func:`start_ingest` adds one for its own stream; it hears no other, and goes when
+    the stream ends.
     """
 
-    def __init__(self, expected: int, name: str | None = None) -> None:
+    def __init__(self, expected: int, name: str | None = None,
+                 spark: SparkSession | None = None) -> None:
         self.expected = expected
+        self.spark = spark
+        self.run: str | None = None
         self.name = name
         self.every = max(expected // 10, 1000)
         self.rows = 0
         self.reported = 0
 
     def onQueryStarted(self, event) -> None:
-        pass
+        if self.name is not None and event.name == self.name:
+            self.run = str(event.runId)
 
     def onQueryProgress(self, event) -> None:
         if self.name is not None and event.progress.name != self.name:
@@ -45,7 +52,8 @@ class IngestProgress(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        if self.spark is not None and str(event.runId) == self.run:
+            self.spark.streams.removeListener(self)
 
 
 def record_stream(
@@ -99,7 +107,8 @@ def start_ingest(
     writer = rows.writeStream
     if expected is not None:
         name = f"ingest-{uuid.uuid4().hex}"
-        rows.sparkSession.streams.addListener(IngestProgress(expected, name))
+        spark = rows.sparkSession
+        spark.streams.addListener(IngestProgress(expected, name, spark))
         writer = writer.queryName(name)
     return (
         writer.format("parquet")
@@ -110,6 +119,62 @@ def start_ingest(
     )
 
 
+class CappedIngest:
+    """Takes rows from a stream until there are ``max_rows`` of them, and then stops it.
+
+    Every batch has a folder of its own in ``target``. Of a batch that would exceed the cap
+    the first rows by key are taken, and nothing is read after it. What a batch may take
+    follows from the folders of the batches before, so one that is run again, after a failure
+    or by a new driver on the same checkpoint, takes the same rows and leaves no copies.
+    """
+
+    def __init__(self, rows: DataFrame, target: str, checkpoint: str, key: str, max_rows: int) -> None:
+        self.rows, self.target, self.checkpoint = rows, target, checkpoint
+        self.key, self.max_rows = key, max_rows
+        self.full = threading.Event()
+
+    def _taken(self, spark: SparkSession, batch_id: int | None = None) -> int:
+        """Rows of all batches, or of those before one. Only footers are read."""
+        try:
+            schema = T.StructType([*self.rows.schema, T.StructField("batch", T.LongType())])
+            stored = spark.read.schema(schema).parquet(self.target)
+        except AnalysisException:
+            return 0
+        return (stored if batch_id is None else stored.where(F.col("batch") < batch_id)).count()
+
+    def _take(self, batch: DataFrame, batch_id: int) -> None:
+        left = self.max_rows - self._taken(batch.sparkSession, batch_id)
+        if left > 0:
+            batch = batch.persist()
+            try:
+                n = batch.count()
+                some = batch if n <= left else first_rows(batch, self.key, left)
+                some.write.mode("overwrite").parquet(f"{self.target}/batch={batch_id}")
+            finally:
+                batch.unpersist()
+            left -= min(n, left)
+        if left <= 0:
+            self.full.set()
+
+    def run(self, poll: float = 0.2) -> int:
+        """Take what has arrived, or as much as the cap allows; the number of rows taken."""
+        spark = self.rows.sparkSession
+        if self._taken(spark) >= self.max_rows:
+            return self.max_rows
+        query = (
+            self.rows.writeStream.foreachBatch(self._take)
+            .option("checkpointLocation", self.checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        while not query.awaitTermination(poll):
+            if self.full.is_set():
+                query.stop()
+        if not self.full.is_set():
+            finish(query)
+        return self._taken(spark)
+
+
 def ingested(
     spark: SparkSession, target: str, key: str, max_rows: int | None = None
 ) -> DataFrame:

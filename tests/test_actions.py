@@ -4,18 +4,19 @@ import pytest
 from ebbtide.operators import actions, brief, explain
 from ebbtide.schema import DRIVER_TYPE
 
+# A customer on a monthly contract, lately unhappy, of unknown charges.
 SAMPLE = [
-    ("SatisfactionScore", 1.0, 0.42, "up"),
-    ("Tenure", 2.0, 0.18, "up"),
-    ("Contract", None, 0.15, "up"),
-    ("StreamingTV", 0.0, 0.04, "down"),
+    ("Contract", 1.0, 0.61, "up"),
+    ("MonthlyCharges", None, 0.275, "up"),
+    ("SatisfactionScore", 2.0, 0.09, "up"),
+    ("OnlineBackup", 1.0, 0.0625, "down"),
 ]
 KIND = f"array<{DRIVER_TYPE.simpleString()}>"
 
 
 @pytest.fixture
 def frame(spark):
-    def make(features=SAMPLE, p=0.62, tier="Medium", missing=None):
+    def make(features=SAMPLE, p=0.58, tier="Medium", missing=None):
         return spark.createDataFrame(
             [(p, tier, features, missing)],
             f"churn_probability double, retention_risk string, feature_importance {KIND}, missing array<string>",
@@ -30,23 +31,22 @@ def titles(df):
 def test_top_drivers(frame):
     df = frame()
     got = df.select(explain.top_drivers(F.col("feature_importance"), 2)).first()[0]
-    assert [d.feature for d in got] == ["SatisfactionScore", "Tenure"]
+    assert [d.feature for d in got] == ["Contract", "MonthlyCharges"]
     assert frame(None).select(explain.top_drivers(F.col("feature_importance"))).first()[0] == []
     assert frame([]).select(explain.top_drivers(F.col("feature_importance"))).first()[0] == []
 
 
 def test_driver_text(frame):
     text = frame().select(actions.driver_text(F.col("feature_importance"))).first()[0]
-    assert text == ("SatisfactionScore=1 (+0.420); Tenure=2 (+0.180); Contract=? (+0.150); "
-                    "StreamingTV=0 (-0.040)")
+    assert text == ("Contract=1 (+0.610); MonthlyCharges=? (+0.275); SatisfactionScore=2 (+0.090); "
+                    "OnlineBackup=1 (-0.063)")
 
 
 def test_precautions_follow_the_drivers(frame):
     assert titles(frame()) == [
-        "Satisfaction-recovery outreach", "Early-tenure retention play",
-        "Contract migration incentive", "Above-baseline alert"]
-    first = actions.with_precautions(frame()).first().precautions[0]
-    assert first.id == "satisfaction-0.42"
+        "Contract migration incentive", "Satisfaction-recovery outreach", "Above-baseline alert"]
+    made = actions.with_precautions(frame()).first().precautions
+    assert [p.id for p in made[:2]] == ["contract-mtm", "satisfaction-0.09"]
 
 
 def test_alert_and_caution(frame):
@@ -69,8 +69,8 @@ def test_one_precaution_per_label_and_none_for_others(frame):
 def test_request(frame):
     df = actions.with_retention_request(actions.with_precautions(frame()))
     request = df.first().request
-    assert request.risk_level == "Medium" and request.probability_pct == 62.0
-    assert request.top_drivers == ["SatisfactionScore (0.420)", "Tenure (0.180)", "Contract (0.150)"]
+    assert request.risk_level == "Medium" and request.probability_pct == 58.0
+    assert request.top_drivers == ["Contract (0.610)", "MonthlyCharges (0.275)", "SatisfactionScore (0.090)"]
     assert request.risk_signals[-1] == "Above-baseline alert"
 
 

@@ -115,6 +115,14 @@ def test_names_are_sanitised_and_may_not_collide(spark):
     ("Payment_Method_Credit_Card", "Payment: Method Credit Card", "Payment Method: Credit Card"),
     ("PaymentMethod_Other", "Payment Method: Other", "Payment Method: Other"),
     ("unknown", "unknown", "unknown"),
+    ("ReferredAFriend_1", "Referred a Friend: 1", "Referred a Friend: 1"),
+    ("Under30_0", "Under 30: 0", "Under 30: 0"),
+    ("StreamingTV_Yes", "Streaming TV: Yes", "Streaming TV: Yes"),
+    ("DeviceProtection_No_internet_service", "Device Protection: No internet service",
+     "Device Protection: No internet service"),
+    ("InternetType_Fiber_Optic", "Internet Type: Fiber Optic", "Internet Type: Fiber Optic"),
+    ("Plan_Month_to_Month", "Plan: Month-to-Month", "Plan: Month-to-Month"),
+    ("MonthlyCharges_high", "MonthlyCharges: high", "MonthlyCharges: high"),
 ])
 def test_labels(column, faithful, pretty):
     assert label_feature(column) == faithful

@@ -115,6 +115,56 @@ def test_capped_ingest(spark):
     assert stream.ingested(spark, target, "key").count() == 500
 
 
+def arriving(spark, files, rows):
+    """A folder with so many files of so many rows each."""
+    source = fresh_path(spark, "source")
+    spark.range(files * rows).selectExpr("id AS key", "concat('x', id) AS raw").repartition(
+        files).write.parquet(source)
+    return source
+
+
+@pytest.mark.parametrize("cap, taken", [(0, 0), (90, 90), (100, 100), (250, 250), (900, 500)])
+def test_capped_ingest_stops_at_the_cap(spark, cap, taken):
+    source = arriving(spark, 5, 100)
+    target, checkpoint = fresh_path(spark, "target"), fresh_path(spark, "check")
+    rows = stream.record_stream(spark, source, files_per_batch=1)
+    ingest = stream.CappedIngest(rows, target, checkpoint, "key", cap)
+    assert ingest.run() == taken
+    if taken:
+        got = stream.ingested(spark, target, "key")
+        assert got.count() == got.select("key").distinct().count() == taken
+        # No more batches than the cap needs.
+        assert got.select("batch").distinct().count() <= -(-taken // 80)
+    # Once full, nothing is taken any more, whatever arrives.
+    spark.range(1000, 1100).selectExpr("id AS key", "'y' AS raw").write.mode("append").parquet(source)
+    assert stream.CappedIngest(rows, target, checkpoint, "key", cap).run() == min(cap, 600)
+
+
+def test_a_capped_batch_run_again_takes_the_same_rows(spark):
+    source, target = arriving(spark, 1, 50), fresh_path(spark, "target")
+    rows = stream.record_stream(spark, source)
+    ingest = stream.CappedIngest(rows, target, fresh_path(spark, "check"), "key", 70)
+    first = spark.range(50).selectExpr("id AS key", "'a' AS raw")
+    second = spark.range(50, 100).selectExpr("id AS key", "'b' AS raw")
+    for batch, batch_id in ((first, 0), (second, 1), (second, 1), (first, 0), (second, 1)):
+        ingest._take(batch, batch_id)
+    assert sorted(r.key for r in stream.ingested(spark, target, "key").collect()) == list(range(70))
+
+
+def test_a_listener_goes_with_its_stream(spark, monkeypatch):
+    removed = []
+    monkeypatch.setattr(type(spark.streams), "removeListener", lambda self, x: removed.append(x))
+    source, target, checkpoint = arriving(spark, 1, 10), *(fresh_path(spark, n) for n in "tc")
+    stream.finish(stream.start_ingest(stream.record_stream(spark, source), target, checkpoint, 10))
+    for _ in range(100):
+        if removed:
+            break
+        time.sleep(0.1)
+    monkeypatch.undo()
+    assert len(removed) == 1 and removed[0].rows in (0, 10)
+    spark.streams.removeListener(removed[0])
+
+
 def test_ingest_progress(spark, caplog):
     source, target, checkpoint = (fresh_path(spark, n) for n in ("source", "target", "check"))
     spark.range(5000).selectExpr("id AS key", "'x' AS raw").repartition(5).write.parquet(source)
