@@ -30,6 +30,8 @@ NAMED = (
     "telco_view", "encode_51", "validate_quarantine", "score_linear", "tier_summary",
     "drivers_top8", "precautions", "brief_text", "importance", "train_frame", "split_sides",
     "auc_exact", "rate_breach", "log_summary",
+    # 300 leaf-wise trees as configured, with the area of every round: minutes.
+    "boosted_rounds",
 )
 
 

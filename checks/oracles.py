@@ -740,6 +740,12 @@ def boosted_nodes(t: int) -> str:
 ORACLES["boosted_leaves"] = with_(TELCO, enc_cte("telco"), SPLIT, *boosted_ctes()) + (
     "SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, feature, threshold, value, rows FROM ("
     + " UNION ALL ".join(boosted_nodes(t) for t in range(1, THREE_LEAVES.trees + 1)) + ")")
+ORACLES["target_split"] = with_(TELCO, enc_cte("telco", carry="key, Churn")) + "SELECT key, Churn, 51 AS features, CAST({} AS DOUBLE) AS feature_sum FROM enc".format(
+    " + ".join(f"CAST({c} AS DECIMAL(30,6))" for c in FEATURE_COLUMNS))
+ORACLES["field_map"] = with_(TELCO) + " UNION ALL ".join(
+    f"SELECT {q(f.name)} AS field, {q(f.dataset)} AS dataset, "
+    f"{q(re.sub('[^a-zA-Z0-9_]', '_', f.dataset))} AS \"column\", count({f.name}) AS customers FROM telco"
+    for f in FIELDS)
 ORACLES["deep_additivity"] = ORACLES["additivity_audit"]
 ORACLES["boosted_rounds"] = with_(TELCO, SPLIT) + """SELECT CAST(r AS INTEGER) AS round,
   count(*) FILTER (WHERE is_train) AS train_rows, count(*) FILTER (WHERE NOT is_train) AS test_rows,

@@ -31,7 +31,7 @@ from ebbtide.operators.boosted import fit, load, losses_by_round
 from ebbtide.operators.linear import LinearModel
 from ebbtide.plans import scoring, training
 from ebbtide.schema import (
-    FEATURE_COLUMNS, FIELDS, MONEY, YES_NO_FIELDS, DataConfig, ModelConfig,
+    FEATURE_COLUMNS, FIELDS, MONEY, YES_NO_FIELDS, DataConfig, ModelConfig, check_contract,
 )
 from ebbtide.session import fresh_path
 from ebbtide.sources import files, generator, ledger, profiles, telco
@@ -681,6 +681,28 @@ def _sides(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query
+def target_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Features and target of the encoded customers: both keep the key, no feature is lost."""
+    frame = encode.features(_customers(spark, folder), ("key", "Churn"))
+    features, target = encode.split_target(frame, "Churn")
+    joined = features.join(target, "key")
+    total = sum(F.col(c).cast("decimal(38,6)") for c in FEATURE_COLUMNS)
+    return joined.select("key", "Churn", F.lit(len(features.columns) - 1).alias("features"),
+                         total.cast("double").alias("feature_sum"))
+
+
+@query
+def field_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Every field of the contract by its three names, and how many customers have it."""
+    check_contract()
+    known = _customers(spark, folder).agg(*[F.count(f.name).alias(f.name) for f in FIELDS])
+    rows = F.array(*[F.struct(
+        F.lit(f.name).alias("field"), F.lit(f.dataset).alias("dataset"),
+        F.lit(f.column).alias("column"), F.col(f.name).alias("customers")) for f in FIELDS])
+    return known.select(F.inline(rows))
+
+
 @query
 def boosted_leaves(spark: SparkSession, folder: str) -> DataFrame:
     """Every node of leaf-wise trees of the customer view: tests, rows and Newton values."""
