@@ -8,7 +8,8 @@ a share of its total.
 
 - A group above half a shard's capacity in any measure is cut into pieces of at most about
   a quarter, by a hash of doc_id, so that no group decides a shard's size. There are at
-  most 6 such groups per shard.
+  most 6 such groups per shard. Rows that repeat one text and doc_id (also a null one) so
+  often that the hash could not cut them are numbered, and cut and dealt by that number.
 - Items of at least 1/``FINE`` of a shard in any measure number at most 3 * FINE per shard;
   one task places them all.
 - All others are sorted into classes of similar size (a factor of two), and each class is
@@ -17,7 +18,8 @@ a share of its total.
   thousands of similar items for each shard, so that all bins together stay balanced.
 
 Slots count the rows of a shard from 0 without gaps: rows are numbered inside cells of a
-shard, and cells are offset by the counts of those before.
+shard, and cells are offset by the counts of those before. A cell is a hash of doc_id, text
+and number, so that neither a hot text nor a hot or null doc_id makes a large one.
 
 Null text: no bytes, no tokens, one row; such rows are one group. Null or repeated doc_ids
 and repeated rows are rows like any other. No rows: no rows.
@@ -37,6 +39,10 @@ OVERHEAD = 16
 FINE = 128
 BIN = 50_000
 CELL = 20_000
+#: Rows of one text and doc_id are numbered above this share of a shard, if their text is cut.
+HEAVY = 1 / 16
+#: Up to so many (text, doc_id) pairs that repeat heavily are broadcast, 40 bytes each.
+FEW_PAIRS = 100_000
 MEASURES = ["bytes", "tokens", "rows"]
 ITEM = "key binary, piece int, shard int"
 
@@ -116,19 +122,63 @@ def _small(items: DataFrame, used: np.ndarray, total: dict, shards: int) -> Data
 
 
 def _pieces(rows: DataFrame, cut: DataFrame) -> DataFrame:
-    piece = F.pmod(F.xxhash64(F.lit(8), "id"), F.col("pieces"))
+    piece = F.coalesce(F.pmod("number", F.col("pieces")),
+                       F.pmod(F.xxhash64(F.lit(8), "id"), F.col("pieces")))
     return rows.join(F.broadcast(cut), "key", "left").withColumn(
         "piece", F.coalesce(piece, F.lit(0)).cast("int"))
 
 
-def _items(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """Which groups are cut into how many pieces, and the shard of each (key, piece)."""
+def _groups(rows: DataFrame, shards: int) -> tuple[DataFrame, dict, DataFrame]:
+    """The sums of each group and of all, and which groups are cut into how many pieces."""
     groups = stored(_sums(rows, "key"), "groups")
     total = groups.agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in MEASURES]).first().asDict()
     share = F.greatest(*_shares(total, shards))
     # At most 6 groups per shard exceed half of it in one of three measures.
     cut = stored(groups.where(share > 0.5)
                  .select("key", F.ceil(share * 4).cast("int").alias("pieces")), "cut")
+    return groups, total, cut
+
+
+def _heavy(rows: DataFrame, groups: DataFrame, cut: DataFrame, total: dict,
+           shards: int) -> DataFrame:
+    """``(of, by)``: the (key, id) pairs whose rows are to be numbered.
+
+    Only groups that are cut or have more rows than a cell can have one, so only their rows
+    are counted by pair.
+    """
+    share = F.greatest(*_shares(total, shards))
+    many = groups.join(F.broadcast(cut), "key", "left").where(
+        (F.col("rows") > CELL) | F.col("pieces").isNotNull()).select("key", "pieces")
+    if many.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+        many = F.broadcast(many)
+    pairs = _sums(rows.join(many, "key"), "key", "id", "pieces")
+    heavy = (F.col("rows") > CELL) | (F.col("pieces").isNotNull() & (share > HEAVY))
+    return stored(pairs.where((F.col("rows") > 1) & heavy).select(
+        F.col("key").alias("of"), F.col("id").alias("by")), "heavy")
+
+
+def _numbered(rows: DataFrame, narrow: DataFrame, heavy: DataFrame) -> list[DataFrame]:
+    """Both tables with a ``number``: null but for the rows of the heavy pairs, which are
+    written once so that both have the same numbers."""
+    few = heavy.count()
+    pairs = F.broadcast(heavy) if few <= FEW_PAIRS else heavy
+
+    def side(df: DataFrame, how: str) -> DataFrame:
+        same = (df["key"] == pairs["of"]) & df["id"].eqNullSafe(pairs["by"])
+        return df.join(pairs, same, how)
+
+    none = F.lit(None).cast("long").alias("number")
+    if not few:
+        return [df.select("*", none) for df in (rows, narrow)]
+    hot = stored(side(rows, "left_semi").select(
+        "*", F.monotonically_increasing_id().alias("number")), "hot")
+    return [side(df, "left_anti").select("*", none).unionByName(hot.select(*df.columns, "number"))
+            for df in (rows, narrow.drop("row"))]
+
+
+def _items(rows: DataFrame, groups: DataFrame, total: dict, cut: DataFrame,
+           shards: int) -> DataFrame:
+    """The shard of each (key, piece)."""
     whole = groups.join(F.broadcast(cut), "key", "left_anti").select(
         "key", F.lit(0).alias("piece"), *MEASURES)
     parts = _sums(_pieces(rows, cut).where("pieces IS NOT NULL"), "key", "piece")
@@ -139,28 +189,31 @@ def _items(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     for r in large.groupBy("shard").agg(*[F.sum(m).alias(m) for m in MEASURES]).collect():
         used[r["shard"]] = [r[m] for m in MEASURES]
     small = _small(items.where(~is_large), used, total, shards)
-    return cut, stored(large.select("key", "piece", "shard").unionByName(small), "placed")
+    return stored(large.select("key", "piece", "shard").unionByName(small), "placed")
 
 
 def placed(docs: DataFrame, keep: list[str], shards: int = SHARDS) -> DataFrame:
     """``(row, id, bytes, crc, shard, slot)`` per row; ``row`` has the columns to keep.
 
     Everything is decided on narrow rows. What is kept is read once more and moved twice:
-    to its shard, and within it.
+    to its shard, and within it. Rows that are numbered are written once besides.
     """
     narrow = stored(_rows(docs, ["doc_id"]), "rows")
-    cut, items = _items(narrow, shards)
-    cells = max(1, -(-narrow.count() // (shards * CELL)))
+    groups, total, cut = _groups(narrow, shards)
+    rows = narrow if keep == ["doc_id"] else _rows(docs, keep)
+    heavy = _heavy(narrow, groups, cut, total, shards)
+    rows, narrow = _numbered(rows, narrow, heavy)
+    items = _items(narrow, groups, total, cut, shards)
+    cells = max(1, -(-total["rows"] // (shards * CELL)))
 
     def dealt(rows: DataFrame) -> DataFrame:
-        cell = F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(cells)).cast("int")
+        cell = F.pmod(F.xxhash64(F.lit(9), "id", "key", "number"), F.lit(cells)).cast("int")
         return _pieces(rows, cut).join(items, ["key", "piece"]).withColumn("cell", cell)
 
     counts = dealt(narrow).groupBy("shard", "cell").count()
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(counts.select("shard", "cell", F.coalesce(
         F.sum("count").over(before), F.lit(0)).alias("offset")), "offsets")
-    rows = narrow if keep == ["doc_id"] else _rows(docs, keep)
     inside = Window.partitionBy("shard", "cell").orderBy("id", "crc", "bytes")
     return (dealt(rows).withColumn("place", F.row_number().over(inside))
             .join(offsets, ["shard", "cell"])

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from ebbtide.llm import sharding
 from ebbtide.llm.queries import QUERIES
@@ -70,3 +71,26 @@ def test_nulls_repeats_clashing_columns_and_no_rows(spark):
 def docs_column():
     from pyspark.sql import functions as F
     return F.lit("clash")
+
+
+@pytest.mark.parametrize("columns", [["doc_id"], ["doc_id", "text", "extra"]])
+def test_rows_of_one_null_or_repeated_id_and_text_are_cut(spark, monkeypatch, columns):
+    monkeypatch.setattr(sharding, "CELL", 50)
+    text = "one text for all of them"
+    rows = [(None, text, i) for i in range(1500)] + [(7, text, i) for i in range(500)] + [
+        (None, f"text number {i:05d} of no id", i) for i in range(500)] + [
+        (i, f"text number {i:05d} with an id", i) for i in range(1000, 2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(6)
+    found = sharding.placed(docs, columns).collect()
+    assert len(found) == 4000
+    size, slots, pairs = Counter(), defaultdict(list), Counter()
+    for r in found:
+        size[r.shard] += r.bytes
+        slots[r.shard].append(r.slot)
+        if "extra" in columns:
+            pairs[r.row.doc_id, r.row.text, r.row.extra] += 1
+    if "extra" in columns:
+        assert pairs == Counter(rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(size.values()) / 40
+    assert max(size.values()) < 1.02 * mean and min(size.values()) > 0.97 * mean
