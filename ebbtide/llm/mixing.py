@@ -5,8 +5,9 @@ Targets. Sources in code-point order (null last) have the weights 5, 2, 1 in tur
 by weight: the targets are min(2 * words, level * weight) with the one level that spends the
 whole budget, found by running sums over the sources in the order in which they fill up.
 
-Draws. A hash of doc_id puts a document at a point of [0, 1); equal cells of that line are
-the source's blocks, in permuted order. A source is drawn once whole if its target exceeds
+Draws. A hash of doc_id and text puts a document at a point of [0, 1); equal cells of that
+line are the source's blocks, in permuted order. Where more than 1 / ``HEAVY`` of a source's
+rows or words share a point, being repeats of one row, they are numbered and get a point each. A source is drawn once whole if its target exceeds
 its words; what is left to take is a stretch of the line from 0 to a cut. The cut is found by
 summing words per cell and then per cell of the cell that it falls into, until that last
 cell has few documents; of these the largest that still fit are taken.
@@ -18,8 +19,9 @@ shard gets an exact quota of each source. The quotas are then filled with disjoi
 the source's blocks in another permuted order, and ``position`` shuffles within a shard.
 
 What is joined to the documents is one row per source of at most about 20 KB. Documents move
-nowhere. Null texts have no words. Documents with one doc_id and size in one source are taken
-or left together; null doc_ids share one point. No documents: no rows.
+nowhere, but for numbered repeats, which are written once. Null texts have no words; null
+doc_ids are a value like any other. Repeats of one row below 1 / ``HEAVY`` of their source are
+taken or left together. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -35,18 +37,65 @@ SHARDS = 16
 #: Blocks of a source: a power of two, up to this one, with about 16 documents or more.
 BLOCKS = 1024
 BLOCK_ROWS = 16
-#: The cut is refined until its cell has no more (doc_id, size) groups than this.
+#: The cut is refined until its cell has no more (point, size) groups than this.
 POOL = 1024
 FINER = 256
 #: Up to so many sources their rows, 20 KB each at most, are broadcast.
 FEW_SOURCES = 1024
+#: Repeats above 1 / HEAVY of a source's rows or words are numbered: at most 2 * HEAVY a source.
+HEAVY = 256
+SLICES = 4096
+#: Up to so many slices or points of some 30 bytes are broadcast.
+FEW_POINTS = 200_000
 
 
 def _points(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(
         *[F.struct(*[docs[c] for c in keep]).alias("row")] if keep else [],
         docs["doc_id"].alias("id"), docs["source"].alias("source"),
-        word_count(docs["text"]).alias("size"), hash_share(docs["doc_id"], seed).alias("at"))
+        word_count(docs["text"]).alias("size"),
+        hash_share(F.struct(docs["doc_id"].alias("id"), docs["text"].alias("text")), seed)
+        .alias("at"))
+
+
+def _heavy(points: DataFrame) -> DataFrame:
+    """``(of, point)``: where many rows of a source share a point.
+
+    Slices of the line are added up first; only rows of the slices that hold enough are
+    counted by point.
+    """
+    slice_ = F.floor(F.col("at") * SLICES)
+    measures = [F.count(F.lit(1)).alias("docs"), F.sum("size").alias("words")]
+    total = points.groupBy("source").agg(*measures).select(
+        F.col("source").alias("whose"), F.col("docs").alias("all_docs"),
+        F.col("words").alias("all_words"))
+    many = ((F.col("docs") > 1) & ((F.col("docs") * HEAVY > F.col("all_docs"))
+                                   | (F.col("words") * HEAVY > F.col("all_words"))))
+
+    def large(df: DataFrame, *keys: Column) -> DataFrame:
+        sums = df.groupBy(F.col("source").alias("of"), *keys).agg(*measures)
+        return sums.join(total, sums["of"].eqNullSafe(total["whose"])).where(many)
+
+    slices = stored(large(points, slice_.alias("slice")).select("of", "slice"), "slices")
+    near = F.broadcast(slices) if _few(slices, FEW_POINTS) else slices
+    inside = points.join(near, _same_source(points, near) & (slice_ == near["slice"]), "left_semi")
+    return stored(large(inside, F.col("at").alias("point")).select("of", "point"), "heavy")
+
+
+def _numbered(wide: DataFrame, narrow: DataFrame, seed: int) -> list[DataFrame]:
+    """Both tables, with the repeats of heavy points at points of their own. These rows are
+    written once, so that both tables have the same points."""
+    heavy = _heavy(narrow)
+    if heavy.isEmpty():
+        return [wide, narrow]
+    pairs = F.broadcast(heavy) if _few(heavy, FEW_POINTS) else heavy
+
+    def side(df: DataFrame, how: str) -> DataFrame:
+        return df.join(pairs, _same_source(df, pairs) & (df["at"] == pairs["point"]), how)
+
+    own = hash_share(F.struct(F.col("at"), F.monotonically_increasing_id().alias("number")), seed)
+    hot = stored(side(wide, "left_semi").withColumn("at", own), "hot")
+    return [side(df, "left_anti").unionByName(hot.select(*df.columns)) for df in (wide, narrow)]
 
 
 def targets(points: DataFrame) -> DataFrame:
@@ -95,7 +144,7 @@ def _cuts(points: DataFrame, plan: DataFrame) -> DataFrame:
                              & (F.col("at") < F.col("cut") + F.col("width")))
         part = F.floor((F.col("at") - F.col("cut")) / F.col("width") * F.col("parts"))
         sums = inside.groupBy("of", "cut", "width", "rest", "parts", part.alias("part")).agg(
-            F.sum("size").alias("words"), F.count_distinct("id", "size").alias("groups"))
+            F.sum("size").alias("words"), F.count_distinct("at", "size").alias("groups"))
         run = Window.partitionBy("of").orderBy("part")
         upto = sums.withColumn("upto", F.sum("words").over(run))
         # The first part that exceeds the rest; beyond the last part if none does.
@@ -113,8 +162,8 @@ def _cuts(points: DataFrame, plan: DataFrame) -> DataFrame:
         cells = narrower.drop("groups")
 
 
-def _few(plan: DataFrame) -> bool:
-    return plan.count() <= FEW_SOURCES
+def _few(plan: DataFrame, most: int | None = None) -> bool:
+    return plan.count() <= (FEW_SOURCES if most is None else most)
 
 
 def _picks(points: DataFrame, cuts: DataFrame, few: bool) -> DataFrame:
@@ -123,10 +172,10 @@ def _picks(points: DataFrame, cuts: DataFrame, few: bool) -> DataFrame:
     pool = points.join(F.broadcast(cuts) if few else cuts, _same_source(points, cuts)
                        & (F.col("at") >= F.col("cut"))
                        & (F.col("at") < F.col("cut") + F.col("width")))
-    one = pool.where("size > 0").groupBy("of", "rest", "id", "size").agg(
+    one = pool.where("size > 0").groupBy("of", "rest", "at", "size").agg(
         F.sum("size").alias("words"))
     listed = one.groupBy("of", "rest").agg(F.sort_array(F.collect_list(
-        F.struct("words", "id", "size")), asc=False).alias("pool"))
+        F.struct("words", "at", "size")), asc=False).alias("pool"))
     taken = F.expr("""aggregate(pool,
         named_struct('left', rest, 'taken', filter(pool, p -> false), 'next', element_at(pool, 1)),
         (s, p) -> if(p.words <= s.left,
@@ -138,7 +187,7 @@ def _picks(points: DataFrame, cuts: DataFrame, few: bool) -> DataFrame:
             .withColumn("next_is_left", ~F.expr("array_contains(s.taken, s.next)"))
             .withColumn("chosen", F.when(nearer, F.array_append("s.taken", F.col("s.next")))
                         .otherwise(F.col("s.taken")))
-            .select("of", F.expr("transform(chosen, p -> struct(p.id, p.size))").alias("picks")))
+            .select("of", F.expr("transform(chosen, p -> struct(p.at, p.size))").alias("picks")))
 
 
 # One hypergeometric number: of q.n draws from q.total blocks, how many are among q.k.
@@ -223,9 +272,8 @@ def _dealt(plan: DataFrame, shards: int, seed: int) -> DataFrame:
         F.max(F.when(F.col("turn") == 1, F.col("shards"))).alias("extra"))
 
 
-def plan(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
+def plan(points: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """One row per source: target, blocks, where its cut lies and where its blocks go."""
-    points = stored(_points(docs, seed), "points")
     blocks = F.least(F.lit(float(BLOCKS)), F.pow(F.lit(2.0), F.ceil(F.log2(
         F.greatest(F.col("docs") / BLOCK_ROWS, F.lit(1.0))))))
     whole = F.col("target") >= F.col("words")
@@ -254,27 +302,28 @@ def plan(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
 
 
 def drawn(docs: DataFrame, keep: list[str], shards: int = SHARDS, seed: int = 17) -> DataFrame:
-    """``(row, id, size, words, target, base, extra)`` per document.
+    """``(row, id, at, size, words, target, base, extra)`` per document.
 
-    ``row`` has the columns to keep; ``base`` and ``extra`` are the shards it is drawn into,
+    ``row`` has the columns to keep, ``at`` is its point; ``base`` and ``extra`` are the shards it is drawn into,
     with its whole source and with what is taken besides; null where it is not.
     """
-    by_source = plan(docs, shards, seed)
-    points = _points(docs, seed, tuple(keep))
+    points, narrow = _numbered(_points(docs, seed, tuple(keep)),
+                               stored(_points(docs, seed), "points"), seed)
+    by_source = plan(narrow, shards, seed)
     joined = points.join(F.broadcast(by_source) if _few(by_source) else by_source,
                          _same_source(points, by_source))
     block = F.floor(F.col("at") * F.col("blocks")).cast("int")
     picked = F.expr("CASE WHEN at < cut THEN true WHEN at < cut + width THEN "
-                    "coalesce(array_contains(picks, struct(id, size)), false) ELSE false END")
+                    "coalesce(array_contains(picks, struct(at, size)), false) ELSE false END")
     return joined.select(
-        "row", "id", "size", "words", "target",
+        "row", "id", "at", "size", "words", "target",
         F.when(F.col("whole"), F.get("base", block)).alias("base"),
         F.when(picked, F.get("extra", block)).alias("extra"))
 
 
 def _draws(docs: DataFrame, keep: list[str], shards: int, seed: int) -> DataFrame:
-    """``(row, id, shard)``: a row for every draw of a document."""
-    return drawn(docs, keep, shards, seed).select("row", "id", F.explode(
+    """``(row, at, shard)``: a row for every draw of a document."""
+    return drawn(docs, keep, shards, seed).select("row", "at", F.explode(
         F.filter(F.array("base", "extra"), F.isnotnull)).alias("shard"))
 
 
@@ -287,7 +336,7 @@ def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     keep = [c for c in docs.columns if c.lower() not in ("shard", "position")]
     return _draws(docs, keep, shards, seed).select(
         *[F.col("row")[c].alias(c) for c in keep], "shard",
-        F.xxhash64(F.lit(seed + 2), "id", "shard").alias("position"))
+        F.xxhash64(F.lit(seed + 2), "at", "shard").alias("position"))
 
 
 def repeated(docs: DataFrame, seed: int = 17) -> DataFrame:

@@ -118,3 +118,20 @@ def test_mixed_rows_keep_their_columns_and_go_to_the_shards(spark):
 def test_no_python_on_the_main_path(spark, folder, capsys):
     QUERIES["op3_mixing"](spark, folder).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_repeats_of_one_row_and_null_ids_come_near_the_target(spark):
+    docs = [(None, "five words are in here", "a")] * 3000 + [(3, "three words here", "b")] * 3000
+    docs += [(None, "w " * (1 + i % 7) + str(i), "c") for i in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    taken, target, shards = Counter(), {}, defaultdict(set)
+    for r in mixing.drawn(frame, ["source"]).collect():
+        taken[r.row.source] += r.size * ((r.base is not None) + (r.extra is not None))
+        target[r.row.source] = r.target
+        shards[r.row.source] |= {r.base, r.extra}
+    want = plain_targets({s: sum(plain_size(d[1]) for d in docs if d[2] == s) for s in "abc"})
+    for s in "abc":
+        assert target[s] == pytest.approx(want[s])
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s], (s, taken[s], target[s])
+        assert len(shards[s] - {None}) == 16
+    assert mixing.repeated(frame).where("doc_id IS NULL AND source = 'a'").count() * 5 == taken["a"]
