@@ -891,3 +891,32 @@ ORACLES["stream_still_open"] = """SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS
 ORACLES["log_summary"] = summarised("minute")
 ORACLES["log_summary_stream"] = summarised("hour") + CLOSED.format(
     start="date_trunc('hour', ts)", unit="hour")
+
+
+# Days of the minutes that a stream has closed.
+ORACLES["latency_rollup"] = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  event_type AS path, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failures,
+  CAST(sum(CAST(ms AS DECIMAL(28,9))) AS DOUBLE) / NULLIF(count(ms), 0) AS mean_ms,
+  quantile_disc(ms, 0.5) AS p50_estimate_ms, quantile_disc(ms, 0.95) AS p95_estimate_ms, max(ms) AS max_ms
+FROM (SELECT *, CASE WHEN event_id % 11 <> 0 THEN value / 8 END AS ms FROM events
+      WHERE event_id % 13 NOT IN (1, 2, 3)
+        AND date_trunc('minute', ts) + INTERVAL 1 MINUTE
+          <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events))
+GROUP BY date_trunc('day', ts), event_type"""
+
+
+# Weeks as Spark's windows count them, from the epoch.
+ORACLES["latency_rank_error"] = """SELECT window_start, path, rank, timed, true AS within FROM (
+  SELECT strftime(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start,
+    event_type AS path, count(value) AS timed
+  FROM events WHERE event_id % 13 NOT IN (1, 2, 3) AND event_id % 11 <> 0 GROUP BY 1, 2)
+CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (0.95), (0.99)) AS r(rank) WHERE timed > 0"""
+
+
+ORACLES["onehot_wide"] = """WITH pairs AS (
+  SELECT o_orderkey, unnest(['customer', 'day', 'priority']) AS "column", unnest([
+    CASE WHEN o_custkey % 7 <> 0 THEN 'c' || o_custkey END,
+    strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority]) AS value FROM orders)
+SELECT "column", value, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys,
+  CAST((SELECT count(*) FROM (SELECT DISTINCT "column", value FROM pairs)) AS BIGINT) AS width
+FROM pairs GROUP BY "column", value"""

@@ -20,6 +20,7 @@ from ebbtide.operators import (
     encode,
     evaluate,
     explain,
+    indicators,
     leafwise,
     panel,
     score,
@@ -35,7 +36,7 @@ from ebbtide.schema import (
 )
 from ebbtide.session import fresh_path
 from ebbtide.sources import files, generator, ledger, profiles, telco
-from ebbtide.streaming import requests
+from ebbtide.streaming import requests, rollups
 from ebbtide.streaming import scoring as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -989,3 +990,52 @@ def log_summary_stream(spark: SparkSession, folder: str) -> DataFrame:
     stream.finish(requests.start_table(summary, target, fresh_path(spark, "checkpoint")))
     return _stamped(spark.read.parquet(target))
 
+
+def _closed_minutes(spark: SparkSession, folder: str) -> DataFrame:
+    """The minute table that a stream has written."""
+    arriving = requests.with_lateness(_log_lines(_event_stream(spark, folder)))
+    target = fresh_path(spark, "minutes")
+    stream.finish(requests.start_table(
+        rollups.minutes(requests.parse_log(arriving)), target, fresh_path(spark, "checkpoint")))
+    return spark.read.parquet(target)
+
+
+@query
+def latency_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Days of hours of the minutes that a stream's watermark has closed."""
+    hours = rollups.rolled(_closed_minutes(spark, folder), "1 hour")
+    return _stamped(rollups.summary(rollups.rolled(hours, "1 day")))
+
+
+@query
+def latency_rank_error(spark: SparkSession, folder: str) -> DataFrame:
+    """Latencies in the sketches of weeks merged from minutes, and whether the true rank of
+    each estimate is within the stated bound."""
+    lines = requests.parse_log(_log_lines(_events(spark, folder)))
+    weeks = rollups.rolled(rollups.minutes(lines), "7 days")
+    held = weeks.select(F.col("minute").alias("window_start"), "path",
+                        F.kll_sketch_get_n_double("sketch").alias("timed"))
+    errors = rollups.rank_errors(weeks, lines, "7 days", (0.5, 0.95, 0.99))
+    return _stamped(errors.join(held, ["window_start", "path"]).select(
+        "window_start", "path", "rank", "timed",
+        (F.col("error") <= rollups.RANK_ERROR).alias("within")))
+
+
+@query
+def onehot_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders by customer, day and priority as sparse rows: of every indicator its rows and
+    their order keys, and the width."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    columns = ["customer", "day", "priority"]
+    rows = orders.select(
+        "o_orderkey", F.when(F.col("o_custkey") % 7 != 0, F.concat(
+            F.lit("c"), F.col("o_custkey"))).alias("customer"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.col("o_orderpriority").alias("priority"))
+    words = indicators.learn(rows, columns)
+    encoded = indicators.encode(rows, words, columns, "o_orderkey")
+    sums = encoded.select("o_orderkey", F.explode("indices").alias("number")).groupBy(
+        "number").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+    width = words.agg(F.max("number") + 1).scalar()
+    return words.join(sums, "number").select("column", "value", "rows", "keys",
+                                             width.alias("width"))

@@ -12,7 +12,7 @@ from ebbtide.plans.catalog import QUERIES
 from ebbtide.schema import FIELD_NAMES
 from ebbtide.session import fresh_path
 from ebbtide.sources import files, generator, telco
-from ebbtide.streaming import requests, scoring as stream
+from ebbtide.streaming import requests, rollups, scoring as stream
 
 
 def same(a, b):
@@ -275,3 +275,32 @@ def test_the_run_folder_is_shared_and_its_own(spark):
     spark.range(3).write.parquet(path)
     session.remove(spark, path)
     assert not spark.sparkContext._jvm.java.io.File(path).exists()
+
+
+def test_sketches_merge_to_longer_windows(spark):
+    lines = spark.range(60_000).select(
+        F.timestamp_seconds(F.lit(1_700_006_400) + F.col("id") % 20_000).alias("ts"),
+        F.when(F.col("id") % 3 == 0, "/hot").otherwise("/p").alias("path"),
+        F.lit(200).alias("status"), F.pmod(F.xxhash64("id"), F.lit(50_000)).cast("double")
+        .alias("latency_ms"))
+    minutes = rollups.minutes(lines)
+    hours, day = rollups.rolled(minutes, "1 hour"), rollups.rolled(minutes, "1 day")
+    for table in (day, rollups.rolled(hours, "1 day")):
+        errors = rollups.rank_errors(table, lines, "1 day", (0.01, 0.5, 0.95, 0.999)).collect()
+        assert len(errors) == 8 and max(r.error for r in errors) <= rollups.RANK_ERROR
+    exact = {r.path: r for r in lines.groupBy("path").agg(
+        F.count("*").alias("n"), F.max("latency_ms").alias("top"), F.avg("latency_ms").alias("mean")).collect()}
+    for r in rollups.summary(rollups.rolled(hours, "1 day")).collect():
+        e = exact[r.path]
+        assert (r.requests, r.max_ms, r.failures) == (e.n, e.top, 0)
+        assert r.mean_ms == pytest.approx(e.mean)
+
+
+def test_sketches_without_latencies(spark):
+    rows = [("2024-01-01 00:00:01", "/p", 500, None), ("2024-01-01 00:00:02", "/p", 200, float("nan")),
+            ("2024-01-01 00:00:03", "/q", 200, 4.0), ("2024-01-01 00:00:04", "/q", 200, float("nan"))]
+    df = spark.createDataFrame(rows, "ts string, path string, status int, latency_ms double")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.path: r[2:] for r in rollups.summary(rollups.rolled(rollups.minutes(df), "1 hour")).collect()}
+    assert got == {"/p": (2, 1, None, None, None, None), "/q": (2, 0, 4.0, 4.0, 4.0, 4.0)}
+    assert rollups.summary(rollups.rolled(rollups.minutes(df.where("false")), "1 day")).count() == 0
