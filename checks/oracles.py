@@ -901,7 +901,7 @@ ORACLES["latency_rollup"] = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d
 FROM (SELECT *, CASE WHEN event_id % 11 <> 0 THEN value / 8 END AS ms FROM events
       WHERE event_id % 13 NOT IN (1, 2, 3)
         AND date_trunc('minute', ts) + INTERVAL 1 MINUTE
-          <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events))
+          <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_id % 13 NOT IN (1, 2, 3)))
 GROUP BY date_trunc('day', ts), event_type"""
 
 

@@ -993,10 +993,11 @@ def log_summary_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def _closed_minutes(spark: SparkSession, folder: str) -> DataFrame:
     """The minute table that a stream has written."""
-    arriving = requests.with_lateness(_log_lines(_event_stream(spark, folder)))
+    # Only lines that can be read move the watermark.
+    arriving = requests.with_lateness(requests.parse_log(_log_lines(_event_stream(spark, folder))))
     target = fresh_path(spark, "minutes")
     stream.finish(requests.start_table(
-        rollups.minutes(requests.parse_log(arriving)), target, fresh_path(spark, "checkpoint")))
+        rollups.minutes(arriving), target, fresh_path(spark, "checkpoint")))
     return spark.read.parquet(target)
 
 
