@@ -14,17 +14,20 @@ of its own. No model is held in one place:
 2. A block asks for each of its distinct words and pairs once, with its own counts. Requests
    are dealt by the hash of what they ask for; each share adds up the counts and answers the
    blocks with the counts of all documents and of the targets.
-3. A block meets its answers again and scores its documents.
+3. A block meets its answers again and scores its documents. A document's own words and pairs
+   are taken from the counts first, from the target's too if it is one, so each is scored by
+   models that have not seen it.
 
 Shares are as many as the tokens need, so a task holds one block or one share whatever the
 size of the corpus. A word in every document is one request of each block.
 
-Smoothing adds one to the count of every word, over ``SIZE`` words or, if the corpus has more,
-as many as it has.
+Smoothing adds one to the count of every word of the corpus.
 
-Words are runs of letters, marks and digits, lower-cased. A text without words has 0 tokens
-and null losses. Documents without doc_id are background. Without any target document both
-models are alike and differences are 0. No documents: no rows.
+Words are runs of letters, marks and digits, lower-cased, and runs of other characters that
+are not white space: how a text is punctuated tells junk from prose. A text without words has 0 tokens
+and null losses. Documents without doc_id are background. Rows that repeat an id or a text
+are documents of their own: a copy elsewhere stays in the counts. Without any other target
+document both models are alike and the difference is 0. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -38,9 +41,6 @@ from ebbtide.llm import words as W
 from ebbtide.llm.scratch import stored
 from pyspark.sql import DataFrame, functions as F
 
-WORDS = 1024
-CLASSES = 256
-SIZE = WORDS + CLASSES
 #: Weight of the single-word model inside the pair model, in tokens.
 PRIOR = 20.0
 #: Bytes of texts of a block, if no single text is longer.
@@ -50,40 +50,10 @@ SHARE, LEAST_BITS = 4 << 20, 8
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].alias("doc_id"), W.normalised(docs["text"]).alias("text"))
-
-
-def vocabulary(texts: DataFrame, size: int = WORDS) -> np.ndarray:
-    """Hashes of the most frequent words, in order of the hash. Not used by ``scored``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches):
-            word, n = np.unique(W.words(batch.column(0))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(word)), pa.array(n.astype(np.int64))],
-                                             names=["word", "n"])
-
-    counts = texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(
-        F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()
-    return np.sort(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64))
-
-
-def encoded(texts: DataFrame, known: np.ndarray) -> DataFrame:
-    """``(doc_id, tokens)``: two bytes for every word, those outside the given vocabulary by
-    class. Not used by ``scored``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches):
-            rows, words = W.words(batch.column(1))
-            at = np.searchsorted(known, words)
-            inside = at < len(known)
-            inside[inside] = known[at[inside]] == words[inside]
-            tokens = np.where(inside, at, WORDS + (words % np.uint64(CLASSES)).astype(np.int64))
-            ends = 2 * W.first_words(rows, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(
-                pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)),
-                                              pa.py_buffer(tokens.astype("<u2").tobytes())])],
-                names=["doc_id", "tokens"])
-
-    return texts.mapInArrow(run, "doc_id long, tokens binary")
+    """The documents with one space between words."""
+    apart = F.regexp_replace(F.lower(docs["text"]), r"([^\p{L}\p{M}\p{N}\s]+)", " $1 ")
+    return docs.select(docs["doc_id"].alias("doc_id"),
+                       F.trim(F.regexp_replace(apart, r"\s+", " ")).alias("text"))
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -156,6 +126,19 @@ class _Block:
                          + np.bincount(self.pair[follows], minlength=n),
                          np.bincount(self.word[self.later - 1][follows], minlength=n)], np.int64)
 
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Within its own document, how often each token's word occurs, and of each later
+        token how often its pair does and how often the word before it is followed."""
+        n = len(self.keys)
+
+        def times(code: np.ndarray) -> np.ndarray:
+            _, at, count = np.unique(code, return_inverse=True, return_counts=True)
+            return count[at]
+
+        row = self.row[self.later]
+        return (times(self.row * n + self.word), times(row * n + self.pair),
+                times(row * n + self.word[self.later - 1]))
+
 
 def requests(found: DataFrame, bits: int) -> DataFrame:
     """``(share, block, n, keys, counts)``: what each block asks of each share. Counts are
@@ -211,7 +194,8 @@ def answers(asked: DataFrame) -> DataFrame:
 
 def losses(found: DataFrame, answered: DataFrame, size: int, tokens: tuple[int, int]) -> DataFrame:
     """``(doc_id, tokens, target_loss, background_loss)``, losses per token in nats, from a
-    vocabulary of ``size`` words and the tokens of all documents and of the targets."""
+    vocabulary of ``size`` words and the tokens of all documents and of the targets. Each
+    document's own counts are taken out."""
     names = ["doc_id", "tokens", "target_loss", "background_loss"]
 
     def run(block: pa.Table, answer: pa.Table) -> pa.Table:
@@ -222,13 +206,23 @@ def losses(found: DataFrame, answered: DataFrame, size: int, tokens: tuple[int,
             _unpacked(c.as_py(), 4 * m.as_py()).reshape(4, m.as_py())
             for c, m in zip(answer["counts"], answer["n"])]], axis=1)
         docs = len(at.lengths)
+        wanted = np.zeros(docs, dtype=bool)
+        wanted[row["targets"] or []] = True
+        words, pairs, followed = at.own()
+        # Tokens of both models without the document's own, by document.
+        left = {0: tokens[0] - at.lengths, 2: tokens[1] - at.lengths * wanted}
+        least = np.minimum(left[0], left[2])
         out = []
-        for of, total in ((2, tokens[1]), (0, tokens[0])):
-            scale = min(tokens) / total if total else 0.0
-            seen, followed = counts[of] * scale, counts[of + 1] * scale
-            each = ((seen + 1) / (total * scale + size))[at.word]
-            each[at.later] = (seen[at.pair] + PRIOR * each[at.later]) / (
-                followed[at.word[at.later - 1]] + PRIOR)
+        for of, mine in ((2, wanted), (0, np.ones_like(wanted))):
+            total = left[of]
+            scale = np.divide(least, total, out=np.zeros(docs), where=total > 0)
+            of_token, own = scale[at.row], mine[at.row]
+            each = ((counts[of][at.word] - words * own) * of_token + 1) / (
+                (total * scale)[at.row] + size)
+            of_pair, own = of_token[at.later], own[at.later]
+            seen = (counts[of][at.pair] - pairs * own) * of_pair
+            before = (counts[of + 1][at.word[at.later - 1]] - followed * own) * of_pair
+            each[at.later] = (seen + PRIOR * each[at.later]) / (before + PRIOR)
             loss = -np.bincount(at.row, np.log(each), docs) / np.maximum(at.lengths, 1)
             out.append(pa.array(loss, mask=at.lengths == 0))
         return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(at.lengths), *out],
@@ -252,10 +246,10 @@ def scored(docs: DataFrame, targets: DataFrame) -> DataFrame:
     length = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b)
     n = found.agg(F.sum(length)).first()[0] or 0
     bits = max(LEAST_BITS, (n // SHARE).bit_length())
-    asked = requests(found.join(chosen, "block", "left").select(
-        "block", "lengths", "words", "tokens", "targets"), bits)
-    answered = stored(answers(asked), "answers")
+    found = found.join(chosen, "block", "left").select(
+        "block", "doc_ids", "lengths", "words", "tokens", "targets")
+    answered = stored(answers(requests(found.drop("doc_ids"), bits)), "answers")
     size, every, target = answered.agg(F.sum("words"), F.sum("every"), F.sum("target")).first()
     result = losses(found, answered.select("share", "block", "n", "counts"),
-                    max(SIZE, size or 0), (every or 0, target or 0))
+                    max(1, size or 0), (every or 0, target or 0))
     return result.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
