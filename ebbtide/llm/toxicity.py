@@ -8,13 +8,15 @@ it sees those of the model fitted to all rows.
 
 Fitting uses a bounded sample of the labelled rows, ``max_rows``, chosen by a hash of doc_id.
 Features are chosen by how strongly they tell a category apart in that sample, ``per_category``
-for each. The model is a few thousand numbers. Prediction is a projection: whole texts, no
+for each; the models behind the out-of-fold predictions use features chosen without that fold.
+The model is a few thousand numbers. Prediction is a projection: whole texts, no
 shuffle.
 
 Words are runs of letters, marks and digits, lower-cased; a feature is present or not. Null
 texts and texts without a word have probability 0 in every category. Repeated labels of one
-doc_id count as their maximum; null labels as not given. A category without a positive row
-in the sample has probability 0 everywhere. No documents: no rows.
+doc_id count as their maximum. A null label says nothing: the row still counts for every
+category that its other label decides. A category without a positive row in the sample has
+probability 0 everywhere. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 
 from ebbtide.llm import words as W
 from ebbtide.llm.scratch import hash_share, stored
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: What the labels tell apart, in the order of the chain.
 CATEGORIES = {
@@ -115,10 +117,11 @@ class _Chosen:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``(text, kept, fold, category...)`` of a bounded sample of the labelled documents."""
+    """``(text, kept, fold, category...)`` of a bounded sample of the labelled documents. A
+    category that the labels of a document leave open is null."""
     known = labels.select(labels["doc_id"].alias("id"), labels["quality"].alias("quality"),
                           labels["toxic"].alias("toxic")).where(
-        "id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(
+        "id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("id").agg(
         F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = stored(known, "labels")
     rate = min(1.0, 0.97 * max_rows / max(1, known.count()))
@@ -131,9 +134,11 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
         F.broadcast(chosen), "id")
 
 
-def choose_features(rows: DataFrame, per_category: int = PER_CATEGORY) -> np.ndarray:
-    """Hashes of the features that tell some category apart best, in order."""
+def choose_features(rows: DataFrame, per_category: int = PER_CATEGORY) -> list[np.ndarray]:
+    """Hashes of the features that tell some category apart best, in order: for each fold
+    those of the rows outside it, and at last those of all rows."""
     names = list(CATEGORIES)
+    sums = [f"{kind}_{n}" for n in names for kind in ("known", "is")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches):
@@ -142,29 +147,54 @@ def choose_features(rows: DataFrame, per_category: int = PER_CATEGORY) -> np.nda
                 continue
             at, hashes = _unique(*map(np.concatenate, zip(*found)))
             hashes, group = np.unique(hashes, return_inverse=True)
-            sums = [np.bincount(group, minlength=len(hashes))] + [
-                np.bincount(group, batch.column(n).to_numpy()[at], len(hashes)) for n in names]
+            cell = group * FOLDS + batch.column("fold").to_numpy()[at]
+            cells, cell = np.unique(cell, return_inverse=True)
+            counts = []
+            for name in names:
+                column = batch.column(name)
+                counts += [column.is_valid().to_numpy(zero_copy_only=False),
+                           column.fill_null(0).to_numpy()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(W.signed(hashes)), *[pa.array(s.astype(np.int64)) for s in sums]],
-                names=["feature", "rows", *names])
-
-    counts = rows.select("text", *names).mapInArrow(
-        run, "feature long, rows long, " + ", ".join(f"{n} long" for n in names))
-    counts = stored(counts.groupBy("feature").agg(
-        *[F.sum(c).alias(c) for c in ("rows", *names)]).where(f"rows >= {LEAST_ROWS}"), "features")
-    total = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(n).alias(n) for n in names]).first()
-    chosen: set[int] = set()
-    for name in names:
-        positive = total[name] or 0
-        if not positive:
-            continue
-        share = positive / total["rows"]
-        expected = F.col("rows") * share
-        # Squared distance of the positive rows from what chance gives, in its variance.
-        strength = F.pow(F.col(name) - expected, 2) / (expected * (1 - share) + 0.5)
-        best = counts.orderBy(strength.desc(), "feature").limit(per_category)
-        chosen |= {r["feature"] for r in best.select("feature").collect()}
-    return np.sort(np.array(sorted(chosen), dtype=np.int64).view(np.uint64))
+                [pa.array(W.signed(hashes[cells // FOLDS])), pa.array((cells % FOLDS).astype(np.int32)),
+                 *[pa.array(np.bincount(cell, c[at], len(cells)).astype(np.int64)) for c in counts]],
+                names=["feature", "fold", *sums])
+
+    def without(fold: int, column: str):
+        """The sum over all folds but one; over all, if there is no such fold."""
+        return F.sum(F.when(F.col("fold") != fold, F.col(column)).otherwise(0))
+
+    choices = range(FOLDS + 1)
+    total = rows.groupBy("fold").agg(*[
+        f(n).alias(f"{kind}_{n}") for n in names for kind, f in (("known", F.count), ("is", F.sum))])
+    total = [r.asDict() for r in total.collect()]
+    strengths = []
+    for choice in choices:
+        for name in names:
+            known, positive = (sum(r[f"{kind}_{name}"] or 0 for r in total if r["fold"] != choice)
+                               for kind in ("known", "is"))
+            if not positive:
+                continue
+            share, n = positive / known, without(choice, f"known_{name}")
+            expected = n * share
+            # Squared distance of the positive rows from what chance gives, in its variance.
+            strength = F.pow(without(choice, f"is_{name}") - expected, 2) / (
+                expected * (1 - share) + 0.5)
+            strengths.append(F.struct(
+                F.lit(choice).alias("choice"), F.lit(name).alias("name"),
+                F.when(n >= LEAST_ROWS, strength).alias("strength")))
+    chosen = [set() for _ in choices]
+    if strengths:
+        counts = rows.select("text", "fold", *names).mapInArrow(
+            run, "feature long, fold int, " + ", ".join(f"{c} long" for c in sums))
+        each = counts.groupBy("feature").agg(F.array(*strengths).alias("all")).select(
+            "feature", F.inline("all")).where("strength IS NOT NULL")
+        order = Window.partitionBy("choice", "name").orderBy(F.desc("strength"), "feature")
+        # At most per_category rows of each choice and category.
+        best = each.withColumn("place", F.row_number().over(order)).where(
+            F.col("place") <= per_category)
+        for r in best.select("choice", "feature").distinct().collect():
+            chosen[r["choice"]].add(r["feature"])
+    return [np.sort(np.array(sorted(c), dtype=np.int64).view(np.uint64)) for c in chosen]
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -207,24 +237,30 @@ def fit_linear(row: np.ndarray, column: np.ndarray, columns: int, dense: np.ndar
     return w
 
 
-def _fit_chain(group: pd.DataFrame, columns: int) -> pd.DataFrame:
-    """All models of the chain, from the rows of the sample."""
+def _fit_chain(group: pd.DataFrame, usable: np.ndarray) -> pd.DataFrame:
+    """All models of the chain, from the rows of the sample. ``usable`` says which features
+    the model without a fold may use, in its last row those of the model of all rows."""
     listed = [np.asarray(x, np.int64) for x in group["present"]]
     row = np.repeat(np.arange(len(group)), [len(x) for x in listed])
     column = np.concatenate(listed) if len(listed) else np.zeros(0, np.int64)
+    columns = usable.shape[1]
     figures = np.stack(group["figures"].to_numpy())
     mean, scale = figures.mean(axis=0), figures.std(axis=0) + 1e-6
     dense, fold = (figures - mean) / scale, group["fold"].to_numpy()
     result = [("mean", mean), ("scale", scale)]
     for name in CATEGORIES:
         target = group[name].to_numpy(float)
+        known = ~np.isnan(target)
+        target = np.where(known, target, 0.0)
         out = np.zeros(len(group))
         if target.any():
-            everything = np.ones(len(group))
-            result.append((name, fit_linear(row, column, columns, dense, target, everything)))
-            for f in range(FOLDS):
-                use = (fold != f).astype(float)
-                w = fit_linear(row, column, columns, dense, target, use)
+            for f in range(FOLDS + 1):
+                kept = usable[f][column]
+                w = fit_linear(row[kept], column[kept], columns, dense, target,
+                               (known & (fold != f)).astype(float))
+                if f == FOLDS:
+                    result.append((name, np.concatenate((w[:columns][usable[f]], w[columns:]))))
+                    continue
                 z = np.bincount(row, w[:columns][column], len(group)) + dense @ w[columns:-1] + w[-1]
                 out = np.where(fold == f, _logistic(z), out)
         dense = np.column_stack([dense, out])
@@ -235,7 +271,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
         per_category: int = PER_CATEGORY) -> Chain:
     """The chain, fitted to a bounded sample of the labelled documents."""
     rows = stored(sample(docs, labels, max_rows), "sample")
-    features = choose_features(rows, per_category)
+    choices = choose_features(rows, per_category)
+    features = np.unique(np.concatenate(choices))
+    usable = np.array([np.isin(features, c) for c in choices])
     chosen = _Chosen(features)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,13 +290,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
 
     matrix = rows.mapInArrow(present, "present array<long>, figures array<double>, fold int, "
                              + ", ".join(f"{n} int" for n in CATEGORIES))
-    columns = len(features)
     # The sample is bounded, and so are its rows: numbers of chosen features.
     fitted = matrix.groupBy(F.lit("all").alias("one")).applyInPandas(
-        lambda group: _fit_chain(group, columns), "name string, weights array<double>")
+        lambda group: _fit_chain(group, usable), "name string, weights array<double>")
     found = {r["name"]: np.array(r["weights"]) for r in fitted.collect()}
     none = np.zeros(FIGURES)
-    return Chain(features, found.pop("mean", none), found.pop("scale", none + 1), found)
+    return Chain(choices[-1], found.pop("mean", none), found.pop("scale", none + 1), found)
 
 
 def _predict(chain: Chain, chosen: _Chosen, texts: pa.Array, kept: np.ndarray) -> list[np.ndarray]:

@@ -72,7 +72,12 @@ def test_the_sample_is_bounded_and_labels_may_repeat(spark, planted):
     docs, known, _, _ = planted
     more = known.unionAll(known).unionAll(spark.createDataFrame(
         [(None, 1, 1), (3, None, 1), (6, 1, None)], known.schema))
-    assert toxicity.sample(docs, more).count() == known.count()
+    rows = toxicity.sample(docs, more)
+    assert rows.count() == known.count() + 2
+    open_ones = {tuple(r) for r in rows.where("low_quality IS NULL OR toxic IS NULL").select(
+        *toxicity.CATEGORIES).collect()}
+    # What a null label leaves open is null; a good document is no toxic one of low quality.
+    assert open_ones == {(None, 1, None), (0, None, 0)}
     assert toxicity.sample(docs, more, max_rows=200).count() <= 240
 
 
@@ -98,3 +103,24 @@ def test_query_over_the_whole_table(spark, folder):
     found = QUERIES["op1_toxicity"](spark, folder)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert found.count() == docs.count() and "toxic" in found.columns
+
+
+def test_rows_with_one_label_teach_what_it_says(spark, planted):
+    docs, known, labels, _ = planted
+    half = known.selectExpr("doc_id", "CASE WHEN toxic = 0 THEN quality END AS quality", "toxic")
+    chain = toxicity.fit(docs, half)
+    truth = {i: t for i, _, t in labels if i % 3 == 0}
+    rows = [r for r in toxicity.scored(docs, chain).collect() if r.doc_id in truth]
+    assert sum(r.toxic == bool(truth[r.doc_id]) for r in rows) >= 0.97 * len(rows)
+
+
+def test_features_of_a_fold_do_not_come_from_its_labels(spark):
+    # "onlyone" tells the toxic rows of fold 0 apart, "others" those of the rest.
+    rows = [("onlyone" if f == 0 else "others" if t else "calm", 1.0, f, None, t, 0)
+            for f in range(3) for t in (0, 1) for _ in range(20) if t or f]
+    frame = spark.createDataFrame(
+        rows, "text string, kept double, fold int, low_quality int, toxic int, toxic_low_quality int")
+    found = toxicity.choose_features(frame)
+    assert len(found) == toxicity.FOLDS + 1
+    own = {h for _, h in zip(*toxicity.W.words(toxicity.pa.array(["onlyone"])))}
+    assert [bool(own & set(c)) for c in found] == [False, True, True, True]
