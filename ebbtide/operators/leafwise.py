@@ -3,17 +3,18 @@
 Rows are cut into bins once and kept as blocks: a row of the block table holds the bins of
 some ten thousand customers, their labels, weights and margins as plain buffers. One pass over
 the blocks adds up gradients, hessians and rows per node, feature and bin; tasks add up their
-blocks, then the sums of all tasks are added, and the driver sees one histogram per node of a
-level, whatever the number of rows.
+blocks, then the sums of all tasks are added by stretches of features and searched there, and
+the driver sees the best splits of each node, whatever the number of rows and bins.
 
 A tree grows best first: of all leaves the one whose split gains most is split next, until
 there are enough leaves. A split depends on its own node alone, so the nodes of a level are
 searched in one pass, and the order of the gains then tells which of the splits are made. Leaf
 values are Newton steps, -step * G / (H + l2).
 
-Margins stay beside the rows. A pass adds the trees made since they were last written, and
-every ``FOLD`` trees the blocks are written anew, which also keeps the lineage short. Before
-that, one pass over the held-out blocks gives for each of these trees the distinct margins,
+The training blocks stay in the executors' memory, with margins beside the rows that each tree
+moves on, so a pass is one short job; where one task holds them all, it grows tree after tree. Every ``FOLD`` trees all blocks are written with their
+margins and taken up from there, which keeps the lineage short. Before that, one
+pass over the held-out blocks gives for each of the trees since the distinct margins,
 counted by label in the task; buckets over the range that the leaves allow are put in order,
 and the exact area of every round follows. So no table of rows times rounds arises.
 
@@ -25,16 +26,14 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ebbtide.functions.plans import once
@@ -48,9 +47,9 @@ from ebbtide.session import fresh_path, remove
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Trees after which margins are written beside the rows.
-FOLD = 10
-#: Up to so many tasks hand their sums to the driver, which adds them up.
-FEW_TASKS = 16
+FOLD = 25
+#: Training rows of one task, unless there are more cores than that makes tasks.
+LEAST_ROWS, MOST_ROWS = 50_000, 1_000_000
 #: Ranges of margins that are put in order one by one.
 BUCKETS = 1024
 #: Nodes are numbered as in a heap, so their arrays double with each level.
@@ -240,44 +239,18 @@ def _folded(blocks: DataFrame, trees: Sequence[Tree], features: int) -> DataFram
     return blocks.mapInArrow(run, BLOCK)
 
 
-def histograms(blocks: DataFrame, trees: Sequence[Tree], growing: Tree, level: int,
-               sizes: Sequence[int], tasks: int) -> dict[int, np.ndarray]:
-    """Per node of a level of the growing tree: gradient, hessian and rows by feature and bin,
-    one feature after the other. The sums of many tasks are added in tasks, too."""
-    places = np.concatenate(([0], np.cumsum(sizes)))
-    features, total, first = len(sizes), int(places[-1]), 1 << level
+def _kept(blocks: DataFrame, tasks: int) -> RDD:
+    """Bins, label, weight and margin of every training block, in the executors' memory."""
+    train = blocks.where("NOT held_out").drop("held_out")
+    train = train.coalesce(1) if tasks == 1 else train.repartition(tasks)
+    return train.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((first, 3, total))
-        for _, bins, label, weight, margin in _each(batches, trees, features):
-            node = growing.nodes_of(bins, level) - first
-            here = np.flatnonzero(node >= 0)
-            chance = 1 / (1 + np.exp(-margin[here]))
-            gradient = weight[here] * (chance - label[here])
-            hessian = weight[here] * chance * (1 - chance)
-            at = (node[here] * total + bins[:, here] + places[:-1, None]).ravel()
-            for k, numbers in enumerate((gradient, hessian, None)):
-                own = None if numbers is None else np.broadcast_to(
-                    numbers, (features, len(here))).ravel()
-                found[:, k] += np.bincount(at, own, first * total).reshape(first, total)
-        seen = np.flatnonzero(found[:, 2].any(axis=1))
-        ends = np.arange(0, (len(seen) + 1) * 3 * total, 3 * total, dtype=np.int32)[:len(seen) + 1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen + first), pa.ListArray.from_arrays(pa.array(ends), pa.array(found[seen].ravel()))],
-            names=["node", "sums"])
-
-    sums = blocks.where("NOT held_out").mapInArrow(run, "node long, sums array<double>")
-    if tasks > FEW_TASKS:
-        sums = sums.groupBy("node").agg(
-            vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
-    # At most one row for every node of the level, or for each and every one of a few tasks.
-    rows = sums.toArrow().combine_chunks()
-    found: dict[int, np.ndarray] = {}
-    values = rows["sums"].combine_chunks().flatten().to_numpy().reshape(-1, 3, total) \
-        if rows.num_rows else ()
-    for node, own in zip(rows["node"].to_pylist(), values):
-        found[node] = found[node] + own if node in found else own
-    return found
+
+def _moved(block: tuple, tree: Tree, features: int) -> tuple:
+    """A block with margins after one more tree."""
+    bins, label, weight, margin = block
+    return bins, label, weight, _margins(
+        (tree,), np.frombuffer(bins, np.uint8).reshape(features, -1), np.frombuffer(margin)).tobytes()
 
 
 @dataclass(frozen=True)
@@ -290,65 +263,168 @@ class Split:
     right: np.ndarray
 
 
-def best_split(sums: np.ndarray, sizes: Sequence[int], config: ModelConfig) -> Split | None:
-    """The split of a node that gains most; of equal ones the first by feature and bin."""
-    best: list[tuple[float, int, int, np.ndarray, np.ndarray]] = []
-    at = 0
-    for f, size in enumerate(sizes):
-        own, at = sums[:, at:at + size], at + size
-        upto = np.cumsum(own, axis=1)
-        whole, left = upto[:, -1:], upto[:, :-1]
+def _sums(blocks: Iterable[tuple], growing: Tree, level: int, nodes: Sequence[int],
+          sizes: Sequence[int]) -> list[np.ndarray]:
+    """For each feature gradient, hessian and rows by node and bin."""
+    places = np.full(2 << level, -1)
+    places[list(nodes)] = np.arange(len(nodes))
+    found = [np.zeros((len(nodes), 3, size)) for size in sizes]
+    for bins, label, weight, margin in blocks:
+        bins = np.frombuffer(bins, np.uint8).reshape(len(sizes), -1)
+        place = places[growing.nodes_of(bins, level)]
+        here = np.flatnonzero(place >= 0)
+        if len(here) < len(place):
+            bins, place = bins[:, here], place[here]
+        label, weight, margin = (np.frombuffer(v, kind)[here] for v, kind in (
+            (label, np.uint8), (weight, float), (margin, float)))
+        chance = 1 / (1 + np.exp(-margin))
+        gradient = weight * (chance - label)
+        hessian = weight * chance * (1 - chance)
+        for f, size in enumerate(sizes):
+            at, n = place * size + bins[f], len(nodes) * size
+            for k, numbers in enumerate((gradient, hessian, None)):
+                found[f][:, k] += np.bincount(at, numbers, n).reshape(-1, size)
+    return found
+
+
+def _candidates(nodes: Sequence[int], sums: Sequence[np.ndarray], first: int, config: ModelConfig
+                ) -> list[tuple]:
+    """The best split of every node by each of some features, from ``first`` on, unless another
+    of them is clearly better: node, gain, feature, cut, and the sums of both sides."""
+    found, most = [], {}
+    for f, own in enumerate(sums, first):
+        upto = np.cumsum(own, axis=2)
+        whole, left = upto[:, :, -1:], upto[:, :, :-1]
         right = whole - left
-        allowed = (np.minimum(left[2], right[2]) >= config.least_rows) \
-            & (np.minimum(left[1], right[1]) >= config.least_hessian)
-        if not allowed.any():
+        allowed = (np.minimum(left[:, 2], right[:, 2]) >= config.least_rows) \
+            & (np.minimum(left[:, 1], right[:, 1]) >= config.least_hessian)
+        some = np.flatnonzero(allowed.any(axis=1))
+        if not len(some):
             continue
-        sides = [np.divide(g**2, h + config.l2, out=np.zeros_like(g), where=allowed)
-                 for g, h in (left[:2], right[:2])]
-        gain = np.where(allowed, sum(sides) - whole[0]**2 / (whole[1] + config.l2), -np.inf)
-        cut = int(np.flatnonzero(gain >= gain.max() - SAME * abs(gain.max()))[0])
-        best.append((float(gain[cut]), f, cut, left[:, cut], right[:, cut]))
-    most = max((b[0] for b in best), default=0.0)
-    if most <= 1e-12:
-        return None
-    return Split(*next(b for b in best if b[0] >= most * (1 - SAME)))
-
-
-def grow(level_sums: Callable[[Tree, int], dict[int, np.ndarray]], sizes: Sequence[int],
+        allowed, whole, left, right = allowed[some], whole[some], left[some], right[some]
+        sides = [np.divide(x[:, 0]**2, x[:, 1] + config.l2, out=np.zeros(allowed.shape), where=allowed)
+                 for x in (left, right)]
+        gain = np.where(allowed, sum(sides) - whole[:, 0]**2 / (whole[:, 1] + config.l2), -np.inf)
+        top = gain.max(axis=1, keepdims=True)
+        cuts = np.argmax(gain >= top - SAME * abs(top), axis=1)
+        for i, (at, cut) in enumerate(zip(some.tolist(), cuts.tolist())):
+            node, own_gain = nodes[at], float(gain[i, cut])
+            most[node] = max(most.get(node, 0.0), own_gain)
+            found.append((node, own_gain, f, cut, left[i, :, cut], right[i, :, cut]))
+    return [x for x in found if x[1] >= most[x[0]] * (1 - SAME)]
+
+
+def _best(candidates: Iterable[tuple]) -> dict[int, Split]:
+    """The split of each node that gains most; of equal ones the first by feature."""
+    by_node: dict[int, list[Split]] = {}
+    for node, *split in candidates:
+        by_node.setdefault(node, []).append(Split(*split))
+    found = {}
+    for node, splits in by_node.items():
+        most = max(s.gain for s in splits)
+        if most > 1e-12:
+            found[node] = min((s for s in splits if s.gain >= most * (1 - SAME)),
+                              key=lambda s: s.feature)
+    return found
+
+
+def level_splits(kept: RDD, growing: Tree, level: int, nodes: Sequence[int], sizes: Sequence[int],
+                 config: ModelConfig) -> tuple[np.ndarray, dict[int, Split]]:
+    """Gradient, hessian and rows of some nodes of a level of the growing tree together, and the
+    best split of each of them that gains; of equal splits the first by feature and bin.
+
+    Each task adds up its rows. The sums of a stretch of features meet in one task, which looks
+    for the best cuts, so the driver sees a few splits per node and no sums, whatever the
+    numbers of tasks and bins.
+    """
+    stretches = np.array_split(np.arange(len(sizes)), min(len(sizes), kept.getNumPartitions()))
+
+    def add(blocks: Iterator[tuple]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        found = _sums(blocks, growing, level, nodes, sizes)
+        for i, stretch in enumerate(stretches):
+            yield i, [found[f] for f in stretch]
+
+    def search(parts: Iterator[tuple[int, list[np.ndarray]]]) -> Iterator[tuple]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for i, own in parts:
+            if i in sums:
+                for x, y in zip(sums[i], own):
+                    x += y
+            else:
+                sums[i] = own
+        for i, own in sums.items():
+            yield own[0].sum(axis=(0, 2)) if i == 0 else None, _candidates(
+                nodes, own, int(stretches[i][0]), config)
+
+    # A few rows for each node.
+    found = kept.mapPartitions(add).partitionBy(len(stretches), int).mapPartitions(search).collect()
+    totals = [total for total, _ in found if total is not None]
+    return totals[0], _best(x for _, candidates in found for x in candidates)
+
+
+def trees_of_one_task(kept: RDD, trees: int, sizes: Sequence[int], config: ModelConfig) -> list[Tree]:
+    """The next trees where all training rows are few enough for one task: nothing has to be
+    exchanged between levels, so one job grows them."""
+    def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        own = list(blocks)
+
+        def search(growing: Tree, level: int, nodes: Sequence[int]) -> tuple[np.ndarray, dict[int, Split]]:
+            sums = _sums(own, growing, level, nodes, sizes)
+            return sums[0].sum(axis=(0, 2)), _best(_candidates(nodes, sums, 0, config))
+
+        for _ in range(trees):
+            tree = grow(search, config)
+            yield tree.feature, tree.cut, tree.value, tree.rows
+            own = [_moved(block, tree, len(sizes)) for block in own]
+
+    return [Tree(*parts) for parts in kept.mapPartitions(run).collect()]
+
+
+def _in_turn(splits: dict[int, Split], leaves: int) -> list[int]:
+    """The nodes that are split, best first, until there are enough leaves."""
+    made: list[int] = []
+    open_ = [(-splits[1].gain, 1)] if 1 in splits else []
+    while open_ and len(made) + 1 < leaves:
+        _, node = heappop(open_)
+        made.append(node)
+        for child in (2 * node, 2 * node + 1):
+            if child in splits:
+                heappush(open_, (-splits[child].gain, child))
+    return made
+
+
+def grow(search: Callable[[Tree, int, Sequence[int]], tuple[np.ndarray, dict[int, Split]]],
          config: ModelConfig) -> Tree:
-    """One tree, best first. ``level_sums`` gives the histograms of a level's nodes."""
+    """One tree, best first. ``search`` gives the best splits of some nodes of a level.
+
+    A split whose turn does not come among those known so far has none when deeper ones are known,
+    too: they only come in between. So of a level only the children of splits in turn are
+    searched, fewer than twice the leaves."""
     n = 2 << config.depth
     tree = Tree(np.full(n, -1), np.zeros(n, np.int64), np.zeros(n), np.zeros(n))
     splits: dict[int, Split] = {}
-    whole = None
+    nodes, whole = [1], np.zeros(3)
     for level in range(config.depth):
-        sums = level_sums(tree, level)
-        if level == 0 and 1 in sums:
-            whole = sums[1][:, :sizes[0]].sum(axis=1)
-        for node, own in sums.items():
-            found = best_split(own, sizes, config)
-            if found:
-                splits[node] = found
-                tree.feature[node], tree.cut[node] = found.feature, found.cut
-        if not any(node >> level for node in splits):
+        total, found = search(tree, level, nodes)
+        if level == 0:
+            whole = total
+        splits |= found
+        made = _in_turn(splits, config.leaves)
+        tree.feature[:] = -1
+        for node in made:
+            tree.feature[node], tree.cut[node] = splits[node].feature, splits[node].cut
+        nodes = [child for node in made if node >> level for child in (2 * node, 2 * node + 1)]
+        if not nodes:
             break
-    # Of the splits that were found, make the best ones first.
-    kept = Tree(np.full(n, -1), tree.cut, np.zeros(n), np.zeros(n))
-    totals = {1: whole if whole is not None else np.zeros(3)}
-    open_ = [(-splits[1].gain, 1)] if 1 in splits else []
-    while open_ and len(totals) < config.leaves:
-        _, node = heappop(open_)
+    totals = {1: whole}
+    for node in _in_turn(splits, config.leaves):
         own = splits[node]
-        kept.feature[node] = own.feature
-        kept.rows[node] = totals.pop(node)[2]
-        for child, sums in ((2 * node, own.left), (2 * node + 1, own.right)):
-            totals[child] = sums
-            if child in splits:
-                heappush(open_, (-splits[child].gain, child))
+        tree.rows[node] = totals.pop(node)[2]
+        totals[2 * node], totals[2 * node + 1] = own.left, own.right
     for node, (g, h, rows) in totals.items():
-        kept.value[node] = -config.step * g / (h + config.l2) if rows else 0.0
-        kept.rows[node] = rows
-    return kept
+        tree.value[node] = -config.step * g / (h + config.l2) if rows else 0.0
+        tree.rows[node] = rows
+    return tree
 
 
 def areas_and_losses(blocks: DataFrame, trees: Sequence[Tree], features: int,
@@ -422,18 +498,28 @@ def fit(frame: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS, label: str =
     _blocks(weighted, columns, edges, start).write.parquet(paths[0])
     blocks = spark.read.schema(BLOCK).parquet(paths[0])
     sizes, features = [len(e) + 1 for e in edges], len(columns)
-    tasks = blocks.rdd.getNumPartitions()
+    rows = blocks.where("NOT held_out").agg(F.sum(F.length("label"))).head()[0] or 0
+    tasks = min(1 + rows // LEAST_ROWS, max(spark.sparkContext.defaultParallelism, 1 + rows // MOST_ROWS))
     trees: list[Tree] = []
     folded, measured, reach, low, high = 0, [], [], start, start
+    kept, used = _kept(blocks, tasks), []
     while len(trees) < config.trees:
-        since = tuple(trees[folded:])
-        tree = grow(lambda growing, level: histograms(blocks, since, growing, level, sizes, tasks),
-                    sizes, config)
-        trees.append(tree)
-        leaves = tree.value[(tree.feature < 0) & (tree.rows > 0)]
-        low, high = low + leaves.min(initial=0.0), high + leaves.max(initial=0.0)
-        reach.append((low, high))
+        if tasks == 1:
+            made = trees_of_one_task(kept, min(FOLD, config.trees - len(trees)), sizes, config)
+        else:
+            made = [grow(lambda growing, level, nodes: level_splits(
+                kept, growing, level, nodes, sizes, config), config)]
+        for old in used:
+            old.unpersist()
+        used = [kept]
+        for tree in made:
+            leaves = tree.value[(tree.feature < 0) & (tree.rows > 0)]
+            low, high = low + leaves.min(initial=0.0), high + leaves.max(initial=0.0)
+            reach.append((low, high))
+        trees += made
         if len(trees) - folded < FOLD and len(trees) < config.trees:
+            kept = kept.map(lambda block, tree=trees[-1]: _moved(block, tree, features)).persist(
+                StorageLevel.MEMORY_AND_DISK)
             continue
         if held_out:
             measured += areas_and_losses(blocks, trees[folded:], features, reach[folded:])
@@ -441,7 +527,10 @@ def fit(frame: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS, label: str =
             paths.append(fresh_path(spark, "blocks"))
             _folded(blocks, trees[folded:], features).write.parquet(paths[-1])
             blocks, folded = spark.read.schema(BLOCK).parquet(paths[-1]), len(trees)
+            kept = _kept(blocks, tasks)
             remove(spark, paths[-2])
+    for old in used:
+        old.unpersist()
     remove(spark, paths[-1])
     return LeafwiseModel(tuple(trees), edges, tuple(columns), start,
                          tuple(a for a, _ in measured), tuple(b for _, b in measured))

@@ -165,3 +165,30 @@ def test_many_values_become_quantile_bins(spark):
     many, few, none = leafwise.bin_edges(df, ("a", "b", "c"), 50)
     assert len(many) == 49 and np.abs(np.diff(many) - 100).max() < 30
     assert few.tolist() == [0.5, 1.5] and len(none) == 0
+
+
+def test_many_tasks_grow_the_trees_of_one(spark, monkeypatch):
+    monkeypatch.setattr(leafwise, "FOLD", 3)
+    x, y = sample(400)
+    frame = frame_of(spark, x, y, [i % 5 == 0 for i in range(400)]).repartition(6)
+    config = ModelConfig(trees=5, depth=6, leaves=9, step=0.3, l2=0.5, least_rows=3)
+    one = leafwise.fit(frame, COLUMNS, config=config, held_out="held")
+    monkeypatch.setattr(leafwise, "LEAST_ROWS", 100)
+    many = leafwise.fit(frame, COLUMNS, config=config, held_out="held")
+    for a, b in zip(one.trees, many.trees, strict=True):
+        assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
+        assert a.rows.tolist() == b.rows.tolist() and np.allclose(a.value, b.value, atol=1e-12)
+    assert np.allclose(one.areas, many.areas) and np.allclose(one.losses, many.losses)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_few_rows_need_few_jobs(spark):
+    x, y = sample(300)
+    frame = frame_of(spark, x, y).cache()
+    spark.sparkContext.setJobGroup("few-rows", "trees")
+    leafwise.fit(frame, COLUMNS, config=ModelConfig(trees=60, depth=5, least_rows=2))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-rows")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    frame.unpersist()
+    assert 0 < len(jobs) < 60
+
