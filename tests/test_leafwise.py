@@ -192,3 +192,40 @@ def test_few_rows_need_few_jobs(spark):
     frame.unpersist()
     assert 0 < len(jobs) < 60
 
+
+def test_only_splits_whose_turn_may_come_are_searched():
+    draw, config, searched = random.Random(4), ModelConfig(depth=10, leaves=12, l2=0.0), []
+    gains = {node: draw.random() for node in range(1, 1 << 10)}
+    half = np.array([1.0, 2.0, 3.0])
+
+    def search(tree, level, nodes):
+        searched.append(len(nodes))
+        assert all(node >> level == 1 for node in nodes)
+        return 2 * half, {n: leafwise.Split(gains[n], 0, 1, half, half) for n in nodes}
+
+    tree = leafwise.grow(search, config)
+    made, open_ = set(), {1}
+    while len(made) + 1 < config.leaves:
+        best = max(open_, key=gains.get)
+        open_ = open_ - {best} | {n for n in (2 * best, 2 * best + 1) if n in gains}
+        made.add(best)
+    assert set(np.flatnonzero(tree.feature >= 0)) == made
+    assert max(searched) <= 2 * (config.leaves - 1) and len(searched) > 6
+
+
+def test_the_driver_sees_no_sums(spark):
+    """Of 40 features with 200 bins the splits that compare with the best come back."""
+    draw = np.random.default_rng(5)
+    bins = draw.integers(0, 200, (40, 3000)).astype(np.uint8)
+    label, weight, margin = draw.integers(0, 2, 3000).astype(np.uint8), np.ones(3000), np.zeros(3000)
+    rows = [tuple(np.ascontiguousarray(v[..., i::4]).tobytes() for v in (bins, label, weight, margin))
+            for i in range(4)]
+    blocks = spark.sparkContext.parallelize(rows, 4)
+    config = ModelConfig(l2=0.5)
+    empty = leafwise.Tree(np.full(64, -1), np.zeros(64, np.int64), np.zeros(64), np.zeros(64))
+    total, found = leafwise.level_splits(blocks, empty, 0, [1], [200] * 40, config)
+    sums = leafwise._sums(rows, empty, 0, [1], [200] * 40)
+    assert total.tolist() == [sum(0.5 - label), 750.0, 3000.0]
+    candidates = leafwise._candidates([1], sums, 0, config)
+    assert len(candidates) == 1 and leafwise._best(candidates)[1].gain == pytest.approx(found[1].gain)
+    assert (found[1].feature, found[1].cut) == candidates[0][2:4]
