@@ -21,6 +21,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ebbtide.functions.plans import once
@@ -195,12 +196,12 @@ def deep_contributions(spark: SparkSession, paths: PathTable, values: Column) ->
     shared = spark.sparkContext.broadcast(paths.__dict__)
     n_features = len(paths.columns)
 
-    @F.pandas_udf("array<double>")
-    def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def explain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from math import factorial
 
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         p = shared.value
 
@@ -230,12 +231,12 @@ def deep_contributions(spark: SparkSession, paths: PathTable, values: Column) ->
             return phi.T
 
         for batch in batches:
-            out = np.zeros((len(batch), n_features))
-            if len(batch):
-                x = np.stack(batch.to_numpy()).astype(np.float64)
-                for start in range(0, len(x), 4096):
-                    out[start:start + 4096] = block(x[start:start + 4096])
-            yield pd.Series(list(out))
+            x = batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_features)
+            out = np.zeros(x.shape)
+            for start in range(0, len(x), 4096):
+                out[start:start + 4096] = block(x[start:start + 4096])
+            ends = np.arange(0, out.size + 1, n_features, dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
     return explain(values)
 
@@ -254,10 +255,10 @@ def contributions(spark: SparkSession, paths: PathTable, values: Column) -> Colu
     shared = spark.sparkContext.broadcast(paths.__dict__)
     n_features = len(paths.columns)
 
-    @F.pandas_udf("array<double>")
-    def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def explain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         p = shared.value
         tests, plan = {}, []
@@ -297,12 +298,12 @@ def contributions(spark: SparkSession, paths: PathTable, values: Column) -> Colu
             return phi.T
 
         for batch in batches:
-            out = np.zeros((len(batch), n_features))
-            if len(batch):
-                x = np.stack(batch.to_numpy()).astype(np.float64)
-                for start in range(0, len(x), 8192):
-                    out[start:start + 8192] = block(x[start:start + 8192])
-            yield pd.Series(list(out))
+            x = batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_features)
+            out = np.zeros(x.shape)
+            for start in range(0, len(x), 8192):
+                out[start:start + 8192] = block(x[start:start + 8192])
+            ends = np.arange(0, out.size + 1, n_features, dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
     return explain(values)
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators import attribution, boosted, clean, derive, encode, evaluate, explain, split
 from ebbtide.operators.attribution import Node
-from ebbtide.plans import scoring, training
+from ebbtide.plans import catalog, scoring, training
 from ebbtide.plans.catalog import FOREST
-from ebbtide.schema import FEATURE_COLUMNS, ModelConfig
+from ebbtide.schema import FEATURE_COLUMNS, FIELDS, ModelConfig
 from ebbtide.session import fresh_path
 from ebbtide.sources import generator, ledger, telco
 
@@ -320,3 +320,25 @@ def test_training_by_a_text_key_with_a_sample(spark):
     assert set(result.areas) == {1, 3} and len(result.losses) == 3
     assert result.areas[3] == pytest.approx(result.auc)
     assert training.some_rounds(300) == list(range(30, 301, 30)) and training.some_rounds(2) == [1, 2]
+
+
+def test_a_draw_is_made_once_for_all_columns_that_ask_for_it(spark, folder):
+    place = [f.name for f in FIELDS].index("Contract")
+    plan = catalog._generated_features(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    drawn = generator.customers_for(spark.range(3).withColumnRenamed("id", "key")).select("Contract")
+    one = drawn._jdf.queryExecution().optimizedPlan().toString()
+    number = f"* {generator.multiplier(place)})"
+    # Once for the column and once for the label.
+    assert 0 < plan.count(number) <= 2 * one.count(number)
+
+
+def test_contributions_of_no_rows_and_of_missing_values(spark):
+    model_columns = FEATURE_COLUMNS[:2]
+    tree = {0: Node(0, 0.0, 10, 1, 2, 0, 1.5), 1: Node(1, 1.0, 4), 2: Node(2, -1.0, 6)}
+    paths = attribution.path_table([(1.0, tree)], model_columns)
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, None), (None, 1.0)],
+                               ", ".join(f"{c} double" for c in model_columns))
+    assert attribution.explain_trees(spark, paths, df.limit(0)).collect() == []
+    phi = [r.phi for r in attribution.explain_trees(spark, paths, df).collect()]
+    assert phi[0] == pytest.approx([1.2, 0]) and phi[1] == pytest.approx([-0.8, 0])
+    assert phi[2][1] == 0
