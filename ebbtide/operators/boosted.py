@@ -14,10 +14,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ebbtide.functions.plans import once
-from ebbtide.operators.split import with_class_weight
+from ebbtide.operators.split import few_classes, with_class_weight
 from ebbtide.schema import FEATURE_COLUMNS, ModelConfig
 
 VECTOR = "features"
+#: Rows of one task of a fit, unless there are fewer tasks than cores.
+LEAST_ROWS, MOST_ROWS = 20_000, 250_000
 
 
 class ModelNotFound(FileNotFoundError):
@@ -59,10 +61,12 @@ def fit(
 
     Trees grow level by level over binned features, one aggregation per level; the
     predictions so far are checkpointed so the lineage stays short over many trees. The
-    input is rebalanced once, since every one of the passes runs as wide as it is cut.
+    input is dealt out once, since every one of the passes runs as wide as it is cut, and a
+    pass reads what MLlib keeps of a row, some 800 bytes: so the rows of a task are bounded.
     """
     labelled = train.filter(F.col(label).isNotNull())
-    weighted = with_class_weight(labelled, label, "_weight").withColumn(
+    counts = few_classes(labelled, label)
+    weighted = with_class_weight(labelled, label, "_weight", counts).withColumn(
         label, F.col(label).cast("double")
     )
     assembler = VectorAssembler(inputCols=list(columns), outputCol=VECTOR)
@@ -71,7 +75,9 @@ def fit(
         maxIter=config.trees, maxDepth=config.depth, stepSize=config.step, seed=config.seed,
         lossType="logistic", maxMemoryInMB=512, checkpointInterval=10,
     ).setProbabilityCol("_chances").setRawPredictionCol("_raw")
-    needed = weighted.select(*columns, label, "_weight").hint("rebalance")
+    rows, cores = sum(counts.values()), train.sparkSession.sparkContext.defaultParallelism
+    tasks = min(1 + rows // LEAST_ROWS, max(cores, 1 + rows // MOST_ROWS))
+    needed = weighted.select(*columns, label, "_weight").repartition(tasks)
     return ChurnModel(Pipeline(stages=[assembler, boosted]).fit(needed), tuple(columns))
 
 

@@ -39,10 +39,12 @@ def few_classes(df: DataFrame, label: str = "Churn") -> dict[Label, int]:
     return found
 
 
-def with_class_weight(df: DataFrame, label: str = "Churn", name: str = "weight") -> DataFrame:
+def with_class_weight(df: DataFrame, label: str = "Churn", name: str = "weight",
+                      counts: Mapping[Label, int] | None = None) -> DataFrame:
     """Add the balanced weight, null for a row without a label. The weights are at most
-    ``MAX_CLASSES`` numbers and enter the plan as constants: no join."""
-    counts = few_classes(df, label)
+    ``MAX_CLASSES`` numbers and enter the plan as constants: no join. ``counts`` are those of
+    :func:`few_classes`, if they are known."""
+    counts = few_classes(df, label) if counts is None else counts
     total = sum(counts.values())
     weight = F.lit(None).cast("double")
     for value, n in counts.items():

@@ -342,3 +342,16 @@ def test_contributions_of_no_rows_and_of_missing_values(spark):
     phi = [r.phi for r in attribution.explain_trees(spark, paths, df).collect()]
     assert phi[0] == pytest.approx([1.2, 0]) and phi[1] == pytest.approx([-0.8, 0])
     assert phi[2][1] == 0
+
+
+def test_rows_of_a_task_of_a_fit_are_bounded(spark, monkeypatch):
+    frame = encode.features(generator.with_planted_churn(generator.generated(spark, 300)), ("Churn",))
+    monkeypatch.setattr(boosted, "LEAST_ROWS", 20)
+    monkeypatch.setattr(boosted, "MOST_ROWS", 20)
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("bounded-fit", "trees")
+    boosted.fit(frame, config=TINY)
+    jobs = status.getJobIdsForGroup("bounded-fit")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [status.getStageInfo(s) for j in jobs for s in status.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) == 16
