@@ -44,7 +44,8 @@ from ebbtide.operators.split import with_class_weight
 from ebbtide.schema import FEATURE_COLUMNS, ModelConfig
 from ebbtide.session import fresh_path, remove
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+for _module in (__name__, ModelConfig.__module__):
+    cloudpickle.register_pickle_by_value(sys.modules[_module])
 
 #: Trees after which margins are written beside the rows.
 FOLD = 25

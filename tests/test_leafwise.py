@@ -1,8 +1,11 @@
 import math
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ebbtide.operators import attribution, leafwise
@@ -229,3 +232,14 @@ def test_the_driver_sees_no_sums(spark):
     candidates = leafwise._candidates([1], sums, 0, config)
     assert len(candidates) == 1 and leafwise._best(candidates)[1].gain == pytest.approx(found[1].gain)
     assert (found[1].feature, found[1].cut) == candidates[0][2:4]
+
+
+def test_a_search_needs_no_package_where_it_runs():
+    def search(config=ModelConfig(leaves=3), grow=leafwise.grow, split=leafwise.Split):
+        half = np.array([1.0, 2.0, 3.0])
+        return grow(lambda *_: (2 * half, {1: split(1.0, 0, 1, half, half)}), config)
+
+    code = "import sys, pickle; print(pickle.load(sys.stdin.buffer)().rows[1:4].tolist(), 'ebbtide' in sys.modules)"
+    found = subprocess.run([sys.executable, "-I", "-c", code], input=cloudpickle.dumps(search),
+                           capture_output=True, cwd="/", timeout=60)
+    assert found.stdout.decode().strip() == "[6.0, 3.0, 3.0] False", found.stderr.decode()[-500:]
